@@ -197,16 +197,13 @@ def _level(length: int, min_len: int, before: int | None, buckets: int):
                 points, sizes = _points(part)
                 begins = np.cumsum(sizes) - sizes
                 ok = np.zeros(len(points), bool)  # starts of a span of min_len characters that can be shared
+                repeated = np.zeros(len(points), bool)  # windows that occur elsewhere at the length before
                 for begin, size, found in zip(begins, sizes, earlier[i : i + 256]):
-                    last = begin + size - min_len
-                    if last < begin:
-                        continue
-                    if before is None:
-                        ok[begin : last + 1] = True
-                    else:
-                        for x in found:
-                            for p in _merged(np.column_stack(_around(np.frombuffer(x, np.int32), before, min_len))):
-                                ok[begin + max(0, p[0]) : min(last, begin + p[1]) + 1] = True
+                    ok[begin : max(begin, begin + size - min_len + 1)] = True
+                    for x in found or ():
+                        repeated[begin + np.frombuffer(x, np.int32)] = True
+                if before:
+                    ok &= _chosen_repeats(window_hashes(points, before), repeated, min_len - before + 1)
                 h = window_hashes(points, length)
                 at = chosen_places(h, ok, width)
                 owner = np.searchsorted(begins, at, side="right") - 1
@@ -223,10 +220,12 @@ def _level(length: int, min_len: int, before: int | None, buckets: int):
     return run
 
 
-def _around(places: np.ndarray, length: int, min_len: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of spans of min_len that hold the window at each place: first, last (exclusive end of merge)."""
-    places = np.sort(places).astype(np.int64)
-    return places - (min_len - length), places
+def _chosen_repeats(h: np.ndarray, repeated: np.ndarray, width: int) -> np.ndarray:
+    """Starts whose chosen window, the one of the smallest hash, is a repeated one. Two records
+    that share the span at a start choose the same window in it, so other starts are out."""
+    none = np.uint64(2**64 - 1)
+    least = _running(np.where(repeated, h, none), width, np.minimum)
+    return (least == _running(h, width, np.minimum)) & (least < none)
 
 
 def _to_spans(min_len: int):
