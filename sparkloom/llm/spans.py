@@ -121,12 +121,11 @@ def _pack(h: np.ndarray, keys: np.ndarray, places: np.ndarray, buckets: int) ->
     if not len(h):
         return
     order = np.argsort(h, kind="stable")
-    h, keys, places = h[order], keys[order], places[order]
-    starts = _runs(h)
-    several = np.repeat(_several(keys, starts), np.diff(starts))
-    first = np.zeros(len(h), bool)
-    first[starts[:-1]] = True
-    send = ~several | first
+    starts = _runs(h[order])
+    several, first = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    several[order] = np.repeat(_several(keys[order], starts), np.diff(starts))
+    first[order[starts[:-1]]] = True
+    send = ~several | first  # the entries stay in the order of the texts, in which keys and places compress
     where = (h % np.uint64(buckets)).astype(np.int32)
     rows = {k: [] for k in ("bucket", "hashes", "keys", "places", "many")}
     for b in range(buckets):
