@@ -94,8 +94,8 @@ def blank_set(text: Column) -> Column:
 
 
 def key_terms(text: Column, least: int = 4, stop: Sequence[str] = ()) -> Column:
-    """Distinct runs of at least ``least`` letters a-z that stand as whole words."""
-    got = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"\b([a-z]{{{least},}})\b"), F.lit(1)))
+    """Distinct words that are at least ``least`` letters a-z and nothing else."""
+    got = F.filter(token_set(text), lambda w: w.rlike(rf"^[a-z]{{{least},}}$"))
     return F.array_except(got, F.array(*map(F.lit, stop))) if stop else got
 
 

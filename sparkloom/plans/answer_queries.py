@@ -183,7 +183,7 @@ def citation_verify(spark, d):
 
 
 def _terms(x: str, n: int) -> str:
-    return rf"list_distinct(regexp_extract_all(lower({x}), '\b([a-z]{{{n},}})\b', 1))"
+    return f"list_filter({tokset(x)}, lambda w: regexp_full_match(w, '[a-z]{{{n},}}'))"
 
 
 _PLAIN = "plain AS (SELECT run_id, regexp_replace(answer, ' 【Source \\d+】', '', 'g') AS answer FROM answers)"
