@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textform import _PLAIN, consistent_form, is_invisible, words
+from .textform import _PLAIN, TATWEEL, consistent_form, is_invisible, words
 
 
 def word_offsets(text: str) -> list[tuple[str, int, int]]:
@@ -33,7 +33,7 @@ def word_offsets(text: str) -> list[tuple[str, int, int]]:
     i, open_word = 0, False
     while i < len(text):
         j = i + 1
-        while j < len(text) and (unicodedata.combining(text[j]) or is_invisible(text[j]) or unicodedata.category(text[j])[0] == "M"):
+        while j < len(text) and (unicodedata.combining(text[j]) or is_invisible(text[j]) or text[j] == TATWEEL or unicodedata.category(text[j])[0] == "M"):
             j += 1
         form = consistent_form(text[i:j])
         if not form and _PLAIN[ord(text[i])].isspace():

@@ -108,6 +108,8 @@ def _several(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _by_key(keys: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(keys):
+        return
     order = np.lexsort((places, keys))
     keys, places = keys[order], places[order]
     cuts = _runs(keys)

@@ -1,10 +1,9 @@
 """One consistent form for text that looks the same (problem 5) and its words.
 
 The form, in order: compatibility decomposition (full-width, ligature and presentation
-forms become plain), invisible characters removed, look-alike letters, hyphens and spaces
-replaced, combining marks put in canonical order, canonical composition, Arabic vowel marks
-and lengthening strokes removed, Arabic letter variants folded, white space collapsed and
-trimmed.
+forms become plain), invisible characters, Arabic vowel marks and lengthening strokes removed,
+look-alike letters, hyphens and spaces replaced, combining marks put in canonical order,
+canonical composition, Arabic letter variants folded, white space collapsed and trimmed.
 
 Two implementations give the same result and are tested against each other:
 ``consistent_form`` works on one Python string (for use inside Arrow batches of other
@@ -36,6 +35,7 @@ HYPHENS = "‐‑‒–—―−⁃﹘﹣－"
 # The ranges of Arabic vowel and annotation marks, and the lengthening stroke.
 ARABIC_MARKS = "ً-ٰٟۖ-ۜ۟-۪ۤۧۨ-ۭ"
 TATWEEL = "ـ"
+COMPOSING = "\u0653\u0654\u0655"  # marks that form letters; removed only where they formed none
 # Arabic letter variants and digits, and what each is folded to.
 ARABIC_FOLDS = {
     "آ": "ا", "أ": "ا", "إ": "ا", "ٱ": "ا", "ٲ": "ا", "ٳ": "ا",
@@ -59,7 +59,7 @@ def is_invisible(ch: str) -> bool:
 
 def plain(ch: str) -> str:
     """What a fully decomposed character becomes before marks are ordered."""
-    if is_invisible(ch):
+    if is_invisible(ch) or ch == TATWEEL or (ch not in COMPOSING and _MARKS.match(ch)):
         return ""
     if ch in LOOK_ALIKES:
         return LOOK_ALIKES[ch]
@@ -92,7 +92,9 @@ def consistent_form(text: str | None) -> str | None:
         return None
     if not text.isascii():
         text = unicodedata.normalize("NFC", text.translate(_PLAIN))
-        text = _MARKS.sub("", text).translate(_FOLDS)
+        if _MARKS.search(text):
+            text = unicodedata.normalize("NFC", _MARKS.sub("", text))
+        text = text.translate(_FOLDS)
     return " ".join(text.split())
 
 
@@ -153,8 +155,8 @@ def _untouched() -> str:
     return r"\x09-\x0d" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
 
 
-USUAL = "aé،بلپ中"
-_FOLLOW = r"\p{M}\p{Cf}\x{034f}\x{115f}-\x{11ff}\x{17b4}\x{17b5}\x{3164}\x{ffa0}\x{e0100}-\x{e01ef}"
+USUAL = "aé،غبلپ中"
+_FOLLOW = r"\p{M}\p{Cf}\x{0640}\x{034f}\x{115f}-\x{11ff}\x{17b4}\x{17b5}\x{3164}\x{ffa0}\x{e0100}-\x{e01ef}"
 
 
 def rebuilt_pieces(pieces: DataFrame) -> DataFrame:
@@ -185,7 +187,7 @@ def _composed(acc: Column, x: Column, pairs: Column) -> Column:
     joined = F.when(free & (acc["starter"] != ""), F.try_element_at(pairs, F.concat(acc["starter"], x["c"])))
     one = F.coalesce(joined, F.when(x["ccc"] == 0, x["c"]), acc["starter"])
     new = joined.isNull() & (x["ccc"] == 0)
-    kept = joined.isNull() & (x["ccc"] != 0)
+    kept = joined.isNull() & (x["ccc"] != 0) & ~x["c"].isin(*COMPOSING)
     return F.struct(
         F.when(new, F.concat(acc["done"], acc["starter"], acc["marks"])).otherwise(acc["done"]).alias("done"),
         one.alias("starter"),

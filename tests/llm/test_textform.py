@@ -1,0 +1,48 @@
+import random
+import unicodedata
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparkloom.llm import textform as T
+
+ALPHABET = "aeAoO éáâñأإآؤئیکگىي٠۵،ـًّٕ́̀̂̈̃ٔ‌‍​­﻿  ‐−–ﬁﬀﻻﷺＡ１％（аеосοѕӏɡıỗ①½가ㄱक़\n\t.-_"
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [("ＡＢ１", "AB1"), ("é", "é"), ("ﬁn", "fin"), ("a​b c", "ab c"), ("сhat", "chat"), ("a‑b", "a-b"), ("كِتـاب", "كتاب"), ("إلى گ", "الي غ"), ("  x \n y ", "x y"), ("", ""), ("   ", ""), (None, None)],
+)
+def test_forms(text, want):
+    assert T.consistent_form(text) == want
+
+
+def test_both_implementations_agree(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 16))) for _ in range(1500)] + [None, "", "x" * 50_000 + "é", "plain"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = {r["id"]: r["form"] for r in T.with_forms(df, "text", "form").collect()}
+    assert got == {i: T.consistent_form(t) for i, t in enumerate(texts)}
+
+
+def test_shuffled_dictionary_gives_the_same(spark, monkeypatch):
+    monkeypatch.setattr(T, "DICTIONARY", -1)
+    df = spark.createDataFrame([(1, "ﬁn é"), (2, "ＡＢ")], "id int, text string")
+    assert {r["id"]: r["form"] for r in T.with_forms(df, "text", "form").collect()} == {1: "fin é", 2: "AB"}
+
+
+def test_form_is_idempotent_and_composed():
+    rng = random.Random(9)
+    for _ in range(500):
+        f = T.consistent_form("".join(rng.choice(ALPHABET) for _ in range(10)))
+        assert T.consistent_form(f) == f and unicodedata.normalize("NFC", f) == f
+
+
+def test_pairs_against_brute_force(spark):
+    rows = [("a", "ﬁn"), ("b", "fin"), ("c", "fin"), ("d", "Fin"), ("e", "..."), ("f", "．．．"), ("g", None), ("h", ""), ("b", "fin"), ("i", "f​in"), (None, "ﬁn")]
+    got = {tuple(r) for r in T.look_alike_pairs(spark.createDataFrame(rows, "name string, text string").withColumn("key", F.lit(1)), "name", "text").collect()}
+    assert got == {("a", "b"), ("a", "c"), ("a", "i"), ("b", "i"), ("c", "i")}
+
+
+def test_empty_table(spark):
+    assert T.look_alike_pairs(spark.createDataFrame([], "name string, text string"), "name", "text").count() == 0
