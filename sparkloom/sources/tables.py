@@ -32,7 +32,7 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """A registry as one JSON object keyed by document name, or a list of objects with
     ``document_name``; one row a document."""
     raw = spark.read.text(path, wholetext=True)
-    listed = F.from_json("value", f"array<struct<document_name:string,{ENTRY[7:]}")
+    listed = F.from_json("value", f"array<struct<document_name:string,{ENTRY[7:]}>")
     keyed = F.from_json("value", f"map<string,{ENTRY}>")
     is_list = F.col("value").rlike(r"^\s*\[")
     a = raw.where(is_list).select(F.explode(listed).alias("e")).select("e.*")

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def _once(events: DataFrame, delay: str) -> DataFrame:
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     if events.isStreaming:
         return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
     return events.dropDuplicates(["event_id"])
