@@ -145,14 +145,18 @@ def before_folding_lines(text: str) -> str:
 def train(samples: list[tuple[str, str]], epochs: int = 6, rounds: int = 2) -> np.ndarray:
     """Weights (machines x dimensions) from (label, text) rows by averaged hinge-loss descent.
     The rows are in a fixed order, so the result is the same each time."""
-    rows = []
+    rows, known = [], {}
     for label, text in samples:
         for s in sentences(before_folding_lines(text)):
             family, words = family_words(s)
             if family and len(words) >= 3 and label in FAMILIES[family]:
-                f = [_features(w) for w in words]
+                for w in words:
+                    if w not in known:
+                        known[w] = np.array(_features(w))
+                f = [known[w] for w in words]
                 values = np.concatenate([np.full(len(x), len(x) ** -0.5 / len(f), np.float32) for x in f])
-                rows.append((label, np.array([i for x in f for i in x]), values))
+                at, back = np.unique(np.concatenate(f), return_inverse=True)
+                rows.append((label, at, np.bincount(back, values).astype(np.float32)))
     keep = np.ones(len(rows), bool)
     weights = np.zeros((len(PAIRS), DIMENSIONS), np.float32)
     for turn in range(rounds):
@@ -165,7 +169,7 @@ def train(samples: list[tuple[str, str]], epochs: int = 6, rounds: int = 2) -> n
                     label, at, x = rows[i]
                     y = 1.0 if label == a else -1.0
                     if y * float(w[at] @ x) < 1:
-                        np.add.at(w, at, rate * y * x)
+                        w[at] += rate * y * x
                 total += w
                 rate *= 0.7
             weights[m] = total / epochs

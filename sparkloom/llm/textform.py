@@ -12,6 +12,7 @@ operators), ``with_consistent_form`` is the relational operator over a DataFrame
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from functools import cache
@@ -109,6 +110,9 @@ def words(text: str | None) -> list[str]:
 
 #: Rows of the two tables below: one per code point of Unicode that changes (under 20,000),
 #: and one per canonical composition (about 1,000). Bounded by Unicode, so they are broadcast.
+_CHANGING = {"Cc", "Cf", "Mn", "Zs", "Zl", "Zp", "Pd", "Lm", "Lo", "Sm", "Po"}  # categories of all characters ``plain`` may change
+
+
 @cache
 def _decompositions() -> list[tuple[str, list[tuple[str, int]]]]:
     out = []
@@ -116,6 +120,8 @@ def _decompositions() -> list[tuple[str, list[tuple[str, int]]]]:
         if 0xD800 <= point <= 0xDFFF or 0xAC00 <= point <= 0xD7A3:  # Hangul syllables stay whole
             continue
         ch = chr(point)
+        if not (unicodedata.decomposition(ch) or unicodedata.combining(ch) or ch in LOOK_ALIKES or unicodedata.category(ch) in _CHANGING):
+            continue
         to = _PLAIN[point]
         if to != ch or unicodedata.combining(ch):
             out.append((ch, [(x, unicodedata.combining(x)) for x in to]))
@@ -175,7 +181,7 @@ def rebuilt_pieces(pieces: DataFrame) -> DataFrame:
     ordered = spread.withColumn("starter", starters).groupBy("piece").agg(
         F.array_sort(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("starter", "ccc", "at", "sub", "c")))).alias("xs")
     )
-    pairs = F.create_map(*[F.lit(x) for item in _compositions().items() for x in item])
+    pairs = F.from_json(F.lit(json.dumps(_compositions())), "map<string,string>")  # folded to a constant
     # Left to right, a mark joins the last starter unless one of its class or higher stands between.
     begin = F.struct(F.lit("").alias("done"), F.lit("").alias("starter"), F.lit("").alias("marks"), F.lit(-1).alias("last"))
     text = F.aggregate("xs", begin, lambda acc, x: _composed(acc, x, pairs), lambda acc: F.concat(acc["done"], acc["starter"], acc["marks"]))
