@@ -14,7 +14,7 @@ def postings(rows: DataFrame, id_col: str, fields: Sequence[tuple[str, str]]) ->
     """(id, weight, term, tf, first_position) for the (column, weight) ``fields``. One row per
     term of a field; null and blank fields post nothing."""
     parts = F.array(*[F.struct(F.lit(w).alias("weight"), F.coalesce(T.tokens(F.col(c)), F.array()).alias("terms")) for c, w in fields])
-    spread = rows.select(F.col(id_col).alias("id"), F.explode(parts).alias("part")).select("id", "part.weight", F.posexplode("part.terms").alias("position", "term"))
+    spread = rows.select(F.col(id_col).alias("id"), F.explode(parts).alias("part")).select("id", "part.weight", F.posexplode_outer("part.terms").alias("position", "term")).where("term is not null")
     return spread.groupBy("id", "weight", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("position").alias("first_position"))
 
 

@@ -6,7 +6,7 @@ Spans are rows (doc, page, block_no, line_no, span_no, y0, y1, page_height, font
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -73,14 +73,16 @@ def split_text(text: str, most: int, overlap: int, count: Callable[[str], int])
             return parts(t, separators[1:])
         return [y for x in t.split(separators[0]) if x for y in parts(x, separators[1:])]
 
-    out, held = [], []
+    out, held, n = [], [], 0
     for piece in parts(text, ["\n\n", "\n", ". ", " "]):
-        if held and count(" ".join([*held, piece])) > most:
-            out.append(" ".join(held))
-            while held and (count(" ".join(held)) > overlap or count(" ".join([*held, piece])) > most):
-                held.pop(0)
-        held.append(piece)
-    return [*out, " ".join(held)] if held else out
+        size = count(piece)
+        if held and n + size > most:
+            out.append(" ".join(x for x, _ in held))
+            while held and (n > overlap or n + size > most):
+                n -= held.pop(0)[1]
+        held.append((piece, size))
+        n += size
+    return [*out, " ".join(x for x, _ in held)] if held else out
 
 
 def chunks(rows: DataFrame, least: int = 300, most: int = 700, overlap: int = 50, count: Callable[[str], int] = count_words) -> DataFrame:
@@ -88,37 +90,52 @@ def chunks(rows: DataFrame, least: int = 300, most: int = 700, overlap: int = 50
     block_no, text, section). Blocks are merged until the token count is within bounds; a new
     section flushes a chunk that is large enough; an oversize block is flushed before it is
     split, so no text is lost; a small chunk that crosses a section takes the later title.
-    Sequential within a document, so one Arrow group per document; ``count`` is pluggable."""
+    Documents are laid out whole and in order, and each task folds its rows as they stream by,
+    holding one chunk at a time; ``count`` is pluggable and the tokens of joined blocks are the
+    sum of theirs."""
+    doc_type = rows.schema["doc"].dataType.simpleString()
+    schema = f"doc {doc_type}, chunk_no int, section string, pages string, text string"
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        out, text, pages, section = [], "", set(), None
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        doc, number, section, text, pages, n = None, 0, None, [], set(), 0
 
         def flush():
-            nonlocal text, pages
-            if text.strip():
-                out.append((section or "Unknown Section", "-".join(sorted(pages)), text.strip()))
-            text, pages = "", set()
-
-        for r in group.sort_values(["page", "block_no"]).itertuples():
-            if section is not None and r.section != section and count(text) >= least:
-                flush()
-            section = r.section
-            joined = f"{text} {r.text}" if text else r.text
-            if count(joined) <= most:
-                text = joined
-                pages.add(str(r.page))
-            elif count(r.text) <= most:
-                flush()
-                text, pages = r.text, {str(r.page)}
-            else:
-                flush()
-                for part in split_text(r.text, most, overlap, count):
-                    text, pages = part, {str(r.page)}
+            nonlocal number, text, pages, n
+            whole = " ".join(text).strip()
+            if whole:
+                out.append((doc, number, section or "Unknown Section", "-".join(sorted(pages)), whole))
+                number += 1
+            text, pages, n = [], set(), 0
+
+        for frame in frames:
+            for d, page, block, new_section in zip(frame["doc"], frame["page"], frame["text"], frame["section"]):
+                if d != doc:
                     flush()
-            if least <= count(text) <= most:
-                flush()
+                    doc, number, section = d, 0, None
+                if section is not None and new_section != section and n >= least:
+                    flush()
+                section = new_section
+                size = count(block)
+                if size > most:
+                    flush()
+                    for part in split_text(block, most, overlap, count):
+                        text, pages = [part], {str(page)}
+                        flush()
+                    continue
+                if n + size > most:
+                    flush()
+                text.append(block)
+                pages.add(str(page))
+                n += size
+                if least <= n <= most:
+                    flush()
+            if out:
+                yield pd.DataFrame(out, columns=["doc", "chunk_no", "section", "pages", "text"])
+                out = []
         flush()
-        return pd.DataFrame({"doc": group["doc"].iloc[0], "chunk_no": range(len(out)), "section": [x[0] for x in out], "pages": [x[1] for x in out], "text": [x[2] for x in out]})
+        if out:
+            yield pd.DataFrame(out, columns=["doc", "chunk_no", "section", "pages", "text"])
 
-    kind = rows.schema["doc"].dataType.simpleString()
-    return rows.select("doc", "page", "block_no", "text", "section").groupBy("doc").applyInPandas(fold, f"doc {kind}, chunk_no int, section string, pages string, text string")
+    laid = rows.select("doc", "page", "block_no", "text", "section").repartition("doc").sortWithinPartitions("doc", "page", "block_no")
+    return laid.mapInPandas(fold, schema)

@@ -2,8 +2,9 @@
 
 Vector search multiplies blocks of queries with Arrow batches of vectors and keeps the best k of
 each query inside a task, so a task sends k rows a query, not a row a pair. Lexical search is an
-equi-join on terms: the query terms, whose number is that of the stated queries' words, select
-postings before anything is shuffled.
+equi-join on terms: the query terms, whose number is that of the stated queries' words, are
+broadcast (24 bytes a word of a query: take queries in blocks beyond some 100,000) and select
+postings where the texts lie.
 """
 
 from __future__ import annotations
@@ -87,8 +88,13 @@ def query_terms(queries: DataFrame, expanded: bool = False) -> DataFrame:
 def matched_terms(asked: DataFrame, rows: DataFrame) -> DataFrame:
     """(query_id, id, n_terms, matched) for ``rows`` (id, text): how many of a query's terms a
     row holds. Only terms that some query asks for are exploded out of a row."""
-    terms = rows.select("id", F.explode(T.token_set(F.col("text"))).alias("term"))
-    return terms.join(asked, "term").groupBy("query_id", "id").agg(F.first("n_terms").alias("n_terms"), F.count(F.lit(1)).alias("matched"))
+    return _terms_by_row(rows).join(F.broadcast(asked), "term").groupBy("query_id", "id").agg(F.first("n_terms").alias("n_terms"), F.count(F.lit(1)).alias("matched"))
+
+
+def _terms_by_row(rows: DataFrame) -> DataFrame:
+    """(id, term) laid out by id: the texts are shuffled once, and what is grouped by query and
+    id afterwards needs no further shuffle. Without it the pairs of queries and rows would be."""
+    return rows.select("id", "text").repartition("id").select("id", F.explode(T.token_set(F.col("text"))).alias("term"))
 
 
 def match_all(queries: DataFrame, rows: DataFrame) -> DataFrame:
@@ -109,23 +115,22 @@ def expanded_coverage(queries: DataFrame, rows: DataFrame, weight: float = 0.7)
     wide = query_terms(queries, expanded=True).select("query_id", "term", F.col("n_terms").alias("n_wide"))
     sizes = own.groupBy("query_id").agg(F.first("n_terms").alias("n_own"))
     asked = wide.join(own.select("query_id", "term", "own"), ["query_id", "term"], "left").join(sizes, "query_id").select("query_id", "term", "n_wide", "n_own", F.coalesce("own", F.lit(0)).alias("own"))
-    terms = rows.select("id", F.explode(T.token_set(F.col("text"))).alias("term"))
-    got = terms.join(asked, "term").groupBy("query_id", "id").agg(F.sum("own").alias("a"), F.count(F.lit(1)).alias("b"), F.first("n_own").alias("na"), F.first("n_wide").alias("nb"))
+    got = _terms_by_row(rows).join(F.broadcast(asked), "term").groupBy("query_id", "id").agg(F.sum("own").alias("a"), F.count(F.lit(1)).alias("b"), F.first("n_own").alias("na"), F.first("n_wide").alias("nb"))
     return got.select("query_id", "id", F.greatest(F.col("a") / F.col("na"), weight * F.col("b") / F.col("nb")).alias("score"))
 
 
 def bm25(queries: DataFrame, rows: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Top k by Okapi BM25 (an extension: saturated term frequency, length norm, idf)."""
-    held = rows.select("id", T.tokens(F.col("text")).alias("terms")).where("terms is not null")
+    held = rows.where("text is not null").select("id", "text").repartition("id").select("id", T.tokens(F.col("text")).alias("terms"))
     total = held.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("mean"))  # one row
     asked = query_terms(queries).select("query_id", "term")
     vocabulary = asked.select("term").distinct()
-    tf = held.select("id", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(vocabulary, "term").groupBy("id", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
+    tf = held.select("id", F.size("terms").alias("len"), F.explode_outer("terms").alias("term")).join(F.broadcast(vocabulary), "term").groupBy("id", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = df.crossJoin(F.broadcast(total)).select("term", weight.alias("idf"), "mean")  # one row on the right
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    scored = tf.join(idf, "term").join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = tf.join(F.broadcast(idf), "term").join(F.broadcast(asked), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return top_ranked(scored, k)
 
 

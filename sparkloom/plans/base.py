@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ..sources import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """For work that is heavy per row: the table's columns over all cores, see ``spread``."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def first_chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """One row per chunk_id, that of the smallest id, with the content to show and to search."""
     first = Window.partitionBy("chunk_id").orderBy("id")

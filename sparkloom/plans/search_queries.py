@@ -132,7 +132,7 @@ def _lexical(spark, d, k: int) -> DataFrame:
     side = asked.select("query_id", T.token_set(F.col("text")).alias("terms"), fusion.phrase_mask(F.col("text")).alias("qm"))
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     names = chunks.select("id", low("document_name").alias("name"), low("section_title").alias("section"), fusion.phrase_mask(F.col("original_text")).alias("tm"))
-    joined = base.join(side, "query_id").join(names, "id")
+    joined = base.join(F.broadcast(side), "query_id").join(names, "id")
     boost = fusion.name_boost(F.col("terms"), F.col("name"), F.col("section")) * fusion.phrase_boost(F.col("qm"), F.col("tm"))
     return search.top_ranked(joined.select("query_id", "id", F.round(F.col("score") * boost, 6).alias("score")), k)
 

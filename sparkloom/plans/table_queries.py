@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import layout
 from ..streaming import usage
-from .base import S, query, registry, table
+from .base import S, query, registry, spread_table, table
 
 KEY = r"regexp_replace(document_name, '(?i)\.(pdf|docx?)$', '')"
 ONE = "one AS (SELECT * FROM source_registry QUALIFY row_number() OVER (PARTITION BY document_name ORDER BY title, url) = 1)"
@@ -65,7 +65,7 @@ heads AS (SELECT *, ((size >= body * 1.25 AND size BETWEEN 9 AND 30) OR (upper(l
 
 
 def _lines(spark, d) -> DataFrame:
-    rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "line")).withColumn("line", F.trim("line")).where("line != ''")
+    rows = spread_table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "line")).withColumn("line", F.trim("line")).where("line != ''")
     short = F.length("line").between(3, 80) & ~F.col("line").rlike(r"[.!?؟:;]$") & ~F.col("line").rlike(r"^[-*•]")
     return rows.withColumn("size", F.when(short, 14.0).otherwise(10.0 + (F.col("doc_id") % 3) * 0.5))
 

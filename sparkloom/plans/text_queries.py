@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import index
-from .base import FIRST_CHUNKS, JUDGED, RUNS, first_chunks, judged, query, runs, sentences, squeeze, table, tok, tokset
+from .base import FIRST_CHUNKS, JUDGED, RUNS, first_chunks, judged, query, runs, sentences, spread_table, squeeze, table, tok, tokset
 
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 
@@ -33,23 +33,23 @@ def _language(x: str) -> str:
 
 @query(f"SELECT doc_id, {_latin('text')} AS normalized FROM documents")
 def normalize_english(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.normalize_latin(F.col("text")).alias("normalized"))
+    return spread_table(spark, d, "documents", "doc_id", "text").select("doc_id", T.normalize_latin(F.col("text")).alias("normalized"))
 
 
 @query(f"SELECT id, {_arabic('original_text')} AS normalized FROM chunks")
 def normalize_arabic(spark, d):
-    return table(spark, d, "chunks").select("id", T.normalize_arabic(F.col("original_text")).alias("normalized"))
+    return spread_table(spark, d, "chunks", "id", "original_text").select("id", T.normalize_arabic(F.col("original_text")).alias("normalized"))
 
 
 @query(f"SELECT id, CASE WHEN {_language('original_text')} IN ('ar', 'mixed') THEN {_arabic('original_text')} ELSE {_latin('original_text')} END AS normalized FROM chunks")
 def normalize_by_language(spark, d):
-    return table(spark, d, "chunks").select("id", T.normalize(F.col("original_text")).alias("normalized"))
+    return spread_table(spark, d, "chunks", "id", "original_text").select("id", T.normalize(F.col("original_text")).alias("normalized"))
 
 
 @query()
 def normalize_composed(spark, d):
     """With compatibility composition, which SQL lacks; tested against Python's own."""
-    return table(spark, d, "chunks").select("id", T.normalize(F.col("original_text"), compose=True).alias("normalized"))
+    return spread_table(spark, d, "chunks", "id", "original_text").select("id", T.normalize(F.col("original_text"), compose=True).alias("normalized"))
 
 
 @query(rf"SELECT doc_id, trim(regexp_replace({squeeze('text')}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{ff}}]', '', 'g')) AS cleaned FROM documents")
@@ -59,12 +59,12 @@ def legacy_clean(spark, d):
 
 @query(f"SELECT id, {_language('original_text')} AS detected FROM chunks")
 def detect_language(spark, d):
-    return table(spark, d, "chunks").select("id", T.detect_language(F.col("original_text")).alias("detected"))
+    return spread_table(spark, d, "chunks", "id", "original_text").select("id", T.detect_language(F.col("original_text")).alias("detected"))
 
 
 @query(f"SELECT {_language('original_text')} AS detected, count(*) AS chunks FROM chunks GROUP BY 1")
 def language_histogram(spark, d):
-    return table(spark, d, "chunks").groupBy(T.detect_language(F.col("original_text")).alias("detected")).agg(F.count(F.lit(1)).alias("chunks"))
+    return spread_table(spark, d, "chunks", "original_text").groupBy(T.detect_language(F.col("original_text")).alias("detected")).agg(F.count(F.lit(1)).alias("chunks"))
 
 
 @query(f"SELECT doc_id, CASE WHEN {_language('title')} = 'ar' THEN 'searchify: ' ELSE 'Represent this sentence for searching relevant passages: ' END || title AS prefixed FROM documents")
@@ -80,7 +80,7 @@ def tokenize_terms(spark, d):
 
 @query(f"SELECT term, count(DISTINCT id) AS document_frequency, count(*) AS collection_frequency FROM (SELECT id, unnest({tok('original_text')}) AS term FROM chunks) GROUP BY term")
 def term_frequency(spark, d):
-    return index.term_statistics(table(spark, d, "chunks"), "id", "original_text")
+    return index.term_statistics(spread_table(spark, d, "chunks", "id", "original_text"), "id", "original_text")
 
 
 def _posted(column: str, weight: str) -> str:
@@ -90,7 +90,7 @@ def _posted(column: str, weight: str) -> str:
 @query(f"""SELECT id, weight, term, count(*) AS tf, min(position)::INT AS first_position FROM ({_posted('section_title', 'A')}
   UNION ALL {_posted('document_name', 'B')} UNION ALL {_posted('coalesce(normalized_text, original_text)', 'C')}) GROUP BY id, weight, term""")
 def inverted_index_postings(spark, d):
-    rows = table(spark, d, "chunks").select("id", "section_title", "document_name", F.coalesce("normalized_text", "original_text").alias("content"))
+    rows = spread_table(spark, d, "chunks", "id", "section_title", "document_name", "normalized_text", "original_text").select("id", "section_title", "document_name", F.coalesce("normalized_text", "original_text").alias("content"))
     return index.postings(rows, "id", [("section_title", "A"), ("document_name", "B"), ("content", "C")])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -21,3 +21,10 @@ def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> Spark
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores when its files give work to under half of them, as one small file
+    does; larger inputs are left as they lie, so nothing is shuffled at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
