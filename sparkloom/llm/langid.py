@@ -182,7 +182,7 @@ def train(samples: list[tuple[str, str]], epochs: int = 6, rounds: int = 2) -> n
 
 def label_of(label: Column) -> Column:
     """A given label as one of the languages, mixed, null when missing, or itself when foreign."""
-    low = F.lower(F.trim(F.coalesce(label, F.lit(""))))
+    low = F.lower(F.trim(F.regexp_replace(F.coalesce(label, F.lit("")), r"[\s\p{Z}]+", " ")))
     head = F.split(low, "[-_ ]").getItem(0)
     names = F.coalesce(*[F.when(head.isin([k for k, v in LABELS.items() if v == lang]), lang) for lang in sorted(set(LABELS.values()))])
     return F.when(low.isin(MISSING), F.lit(None)).otherwise(F.coalesce(names, head))

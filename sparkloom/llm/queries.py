@@ -64,7 +64,7 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.when(F.trim(F.regexp_replace("normalized_text", r"\s+", " ")) != "", F.col("normalized_text")).otherwise(F.col("original_text"))
+    text = F.when(F.regexp_replace("normalized_text", r"[\s\p{Z}]+", "") != "", F.col("normalized_text")).otherwise(F.col("original_text"))
     return table(spark, sf_dir, "chunks").select("id", text.alias("text"), F.col("language").alias("label"))
 
 
