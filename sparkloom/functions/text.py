@@ -24,6 +24,11 @@ TASHKEEL = _class(L.TASHKEEL)
 ARABIC = _class(L.ARABIC_BLOCKS)
 
 
+def strip(text: Column) -> Column:
+    """White space of every kind removed at both ends (``trim`` removes blanks only)."""
+    return F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
+
+
 def squeeze(text: Column) -> Column:
     """White space runs become one blank; ends trimmed."""
     return F.trim(F.regexp_replace(text, SPACE, " "))
@@ -130,14 +135,14 @@ def expand_synonyms(text: Column, pairs: Sequence[tuple[str, str]] = L.SYNONYMS)
 
 
 def strip_thinking(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
+    return strip(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
 
 
 def sanitize_chunk(text: Column) -> Column:
     """Image markup and image-reader errors removed."""
     for pattern in (r"!\[.*?\]\([^)]*\)", r"(?i)image\.png|image\.jpg|image\.jpeg|figure\.png|fig\.png", r"(?i)<img[^>]*>", r"(?i)ERROR:\s*Cannot read.*?Inform the user\.\s*"):
         text = F.regexp_replace(text, pattern, "")
-    return F.trim(text)
+    return strip(text)
 
 
 def sanitize_answer(text: Column) -> Column:
@@ -151,7 +156,7 @@ def sanitize_answer(text: Column) -> Column:
     low = F.lower(text)
     for needed, pattern in patterns:
         text = F.when(low.contains(needed), F.regexp_replace(text, pattern, "")).otherwise(text)
-    return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
 def pretty_name(name: Column) -> Column:

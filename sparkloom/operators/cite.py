@@ -114,3 +114,21 @@ def context(hits: DataFrame, top: int = 5, width: int = 600) -> DataFrame:
 def with_disclaimer(answer: Column, verdict: Column, disclaimer: str) -> Column:
     """NEEDS_CAUTION answers get the disclaimer, and HIGH confidence in them becomes MEDIUM."""
     return F.when(verdict == "NEEDS_CAUTION", F.concat(F.replace(answer, F.lit("Confidence: HIGH"), F.lit("Confidence: MEDIUM")), F.lit("\n\n" + disclaimer))).otherwise(answer)
+
+
+def answer_sections(text: Column) -> Column:
+    """A formatted answer as struct<answer, evidence array<struct<idx, text>>, confidence,
+    disclaimer>: what precedes the first section mark without its heading; the numbered evidence
+    in order; MEDIUM where no confidence is stated; a disclaimer of more than 20 characters, else
+    empty. Null stays null in every part but the confidence."""
+    body = T.strip(F.regexp_replace(text, r"(?s)(?:📚\s*\*\*|\*\*Supporting Evidence\*\*|🎯\s*\*\*|\*\*Confidence\*\*|⚕).*$", ""))
+    body = T.strip(F.regexp_replace(body, r"^\s*(?:📋\s*\*{0,2}|\*\*)\s*(?:Answer|الإجابة)\s*\*{0,2}\s*\n?", ""))
+    pattern = r"(?s)【Source (\d+)】\s*(.*?)(?=【Source|\n\n|$)"
+    numbers, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
+    evidence = F.zip_with(numbers, parts, lambda n, t: F.struct(n.cast("int").alias("idx"), T.strip(t).alias("text")))
+    stated = F.upper(F.regexp_extract(text, r"(?i)(?:🎯|Confidence|الثقة)[^:]*:\s*\*{0,2}\s*(HIGH|MEDIUM|LOW|INSUFFICIENT)", 1))
+    note = T.strip(F.regexp_extract(text, r"(?s)⚕\x{FE0F}?\s*(.*?)(?:\n\n|$)", 1))
+    return F.struct(
+        body.alias("answer"), evidence.alias("evidence"), F.when(F.length(stated) > 0, stated).otherwise("MEDIUM").alias("confidence"),
+        F.when(F.length(note) > 20, note).otherwise("").alias("disclaimer"),
+    )

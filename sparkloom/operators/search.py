@@ -165,3 +165,19 @@ def cover_density(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     places = spread.join(asked, "term").groupBy("query_id", "id", "term", "n_terms").agg(F.collect_list("position").alias("places"))
     grouped = places.groupBy("query_id", "id", "n_terms").agg(F.collect_list("places").alias("terms")).where(F.size("terms") == F.col("n_terms"))
     return top_ranked(grouped.select("query_id", "id", F.round(_cover_density("terms"), 6).alias("score")), k)
+
+
+def expand_queries(queries: DataFrame, translations: DataFrame, entities: DataFrame, most: int = 5) -> DataFrame:
+    """(query_id, text, expanded): Arabic queries become their known translation (text,
+    translation), or else get, in brackets, the expansions of the first ``most`` entities
+    (ordinal, term, expansion) they contain, each once; others stay as they are. Both tables are
+    small dimensions, one row a phrase."""
+    known = translations.select(F.trim("text").alias("_t"), "translation").dropDuplicates(["_t"])
+    rows = queries.join(known, F.trim("text") == F.col("_t"), "left").withColumn("arabic", T.detect_language(F.col("text")) == "ar")
+    hit = queries.join(entities, F.contains("text", "term")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "expansion"))).alias("found"))
+    added = F.array_join(F.array_distinct(F.transform(F.slice("found", 1, most), lambda x: x["expansion"])), " ")
+    rows = rows.join(hit, "query_id", "left")
+    return rows.select(
+        "query_id", "text",
+        F.when(~F.col("arabic"), F.col("text")).when(F.col("translation").isNotNull(), F.col("translation")).when(F.col("found").isNotNull(), F.concat("text", F.lit(" ["), added, F.lit("]"))).otherwise(F.col("text")).alias("expanded"),
+    )

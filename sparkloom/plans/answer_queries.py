@@ -244,3 +244,16 @@ def distinct_citation_keys(spark, d):
     return rows.groupBy("run_id", "key").agg(F.min("rank").alias("first_rank"))
 
 
+
+
+NOTE = "This output does not replace the judgement of a clinician."
+
+
+@query(rf"""WITH {ANSWERS}, shown AS (SELECT run_id, '📋 **Answer**' || chr(10) || answer || chr(10) || chr(10) || '🎯 **Confidence**: LOW' || chr(10) || chr(10) || '⚕️ {NOTE}' AS text FROM answers)
+SELECT run_id, trim(regexp_replace(regexp_replace(text, '(?s)🎯.*$', ''), '^📋 \*\*Answer\*\*\n', ''), ' ' || chr(10)) AS answer, len(regexp_extract_all(text, '【Source \d+】'))::INT AS evidence,
+  regexp_extract(text, 'Confidence\*\*: ([A-Z]+)', 1) AS confidence, '{NOTE}' AS disclaimer FROM shown""")
+def answer_parse(spark, d):
+    """Formatted answers taken apart again."""
+    shown = _answers(spark, d).select("run_id", F.concat(F.lit("📋 **Answer**\n"), "answer", F.lit(f"\n\n🎯 **Confidence**: LOW\n\n⚕️ {NOTE}")).alias("text"))
+    parts = shown.select("run_id", cite.answer_sections(F.col("text")).alias("s"))
+    return parts.select("run_id", F.trim(F.regexp_replace("s.answer", r"\s+$", "")).alias("answer"), F.size("s.evidence").alias("evidence"), "s.confidence", "s.disclaimer")

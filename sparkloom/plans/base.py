@@ -87,6 +87,10 @@ def squeeze(x: str) -> str:
     return f"trim(regexp_replace({x}, '{SPACE}', ' ', 'g'))"
 
 
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{SPACE}|{SPACE}$', '', 'g')"
+
+
 def sentences(x: str) -> str:
     return rf"string_split(regexp_replace({x}, '([.!?]){SPACE}', '\1' || chr(1), 'g'), chr(1))"
 

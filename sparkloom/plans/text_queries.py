@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import index
-from .base import FIRST_CHUNKS, JUDGED, RUNS, first_chunks, judged, query, runs, sentences, spread_table, squeeze, table, tok, tokset
+from .base import FIRST_CHUNKS, JUDGED, RUNS, first_chunks, judged, query, runs, sentences, spread_table, squeeze, strip, table, tok, tokset
 
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 
@@ -149,7 +149,7 @@ for _p in (r"!\[.*?\]\([^)]*\)", r"(?i)image\.png|image\.jpg|image\.jpeg|figure\
     _SANE = f"regexp_replace({_SANE}, '{_p}', '', 'g')"
 
 
-@query(f"SELECT doc_id, trim(regexp_replace(trim({_SANE}), '(?s)<think>.*?</think>', '', 'g')) AS clean FROM documents")
+@query("SELECT doc_id, " + strip(f"regexp_replace({strip(_SANE)}, '(?s)<think>.*?</think>', '', 'g')") + " AS clean FROM documents")
 def sanitize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", T.strip_thinking(T.sanitize_chunk(F.col("text"))).alias("clean"))
 
@@ -162,7 +162,7 @@ for _p in (
     _ANSWER = f"regexp_replace({_ANSWER}, '{_p}', '', 'g')"
 
 
-@query(rf"SELECT doc_id, trim(regexp_replace({_ANSWER}, '\n{{3,}}', chr(10) || chr(10), 'g')) AS clean FROM documents")
+@query("SELECT doc_id, " + strip(rf"regexp_replace({_ANSWER}, '\n{{3,}}', chr(10) || chr(10), 'g')") + " AS clean FROM documents")
 def sanitize_answer(spark, d):
     return table(spark, d, "documents").select("doc_id", T.sanitize_answer(F.col("text")).alias("clean"))
 

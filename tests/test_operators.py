@@ -233,3 +233,21 @@ def test_models(spark):
 
     f = models.Fallback({"one": broken, "two": lambda p: p + "!"}, preferred="one")
     assert f("hi") == "hi!" and f.last == "two"
+
+
+def test_answer_sections(spark):
+    text = "📋 **Answer**\nUse it. 【Source 2】\n\n📚 **Supporting Evidence**\n【Source 2】 first part\n\n🎯 **Confidence**: high\n\n⚕️ Not a substitute for professional advice."
+    rows = spark.createDataFrame([(text,), ("plain",), (None,)], "t string").select(cite.answer_sections(F.col("t")).alias("s")).collect()
+    a, b, c = (r["s"] for r in rows)
+    assert (a["answer"], a["confidence"], a["disclaimer"]) == ("Use it. 【Source 2】", "HIGH", "Not a substitute for professional advice.")
+    assert [tuple(e) for e in a["evidence"]] == [(2, "📚 **Supporting Evidence**"), (2, "first part")]  # a mark without text takes what follows
+    assert (b["answer"], b["confidence"], b["evidence"], b["disclaimer"]) == ("plain", "MEDIUM", [], "")
+    assert c["answer"] is None and c["confidence"] == "MEDIUM"
+
+
+def test_expand_queries(spark):
+    q = spark.createDataFrame([(1, " فحص التوحد "), (2, "علاج الأعراض والأدوية"), (3, "English علاج"), (4, "كتاب"), (5, None)], "query_id int, text string")
+    known = spark.createDataFrame([("فحص التوحد", "screening")], "text string, translation string")
+    entities = spark.createDataFrame([(2, "الأعراض", "symptoms"), (1, "علاج", "treatment"), (3, "الأدوية", "treatment")], "ordinal int, term string, expansion string")
+    got = {r["query_id"]: r["expanded"] for r in search.expand_queries(q, known, entities).collect()}
+    assert got == {1: "screening", 2: "علاج الأعراض والأدوية [treatment symptoms]", 3: "English علاج", 4: "كتاب", 5: None}
