@@ -99,13 +99,15 @@ def content_overlap(query: Column, content: Column, stop_words: Sequence[str], l
     return F.when(F.size(F.filter(words, lambda w: F.contains(low, w))) >= least, factor).otherwise(1.0)
 
 
-def rule_factors(rows: DataFrame, rules: DataFrame, factor: float, query: str = "query", name: str = "document_name") -> DataFrame:
+def rule_factors(rows: DataFrame, rules: DataFrame, factor: float, asked: DataFrame, query: str = "query", name: str = "document_name") -> DataFrame:
     """``rows`` with ``rule_factor``: ``factor`` when some rule (term, pattern) has its term in
-    the query and its pattern in the document name, else 1. Rules are a small dimension table
-    (one row per registered document or so); adaptive execution broadcasts it when it is."""
-    keyed = rows.select(query, name).distinct()
-    hit = keyed.join(rules, F.lower(query).contains(F.lower("term")) & F.lower(F.col(name)).contains(F.lower("pattern"))).select(query, name).distinct()
-    return rows.join(hit.withColumn("_hit", F.lit(1)), [query, name], "left").withColumn("rule_factor", F.when(F.col("_hit") == 1, factor).otherwise(1.0)).drop("_hit")
+    the query and its pattern in the document name, else 1. ``asked`` holds the stated queries in
+    the column ``query``; they meet the rules (one row per registered document or so) before the
+    rows do, so the rows are neither paired with rules nor computed twice."""
+    met = asked.select(query).distinct().join(rules, F.lower(query).contains(F.lower("term")))
+    patterns = met.groupBy(query).agg(F.collect_set(F.lower("pattern")).alias("_patterns"))
+    hit = F.exists("_patterns", lambda p: F.contains(F.lower(F.coalesce(name, F.lit(""))), p))
+    return rows.join(patterns, query, "left").withColumn("rule_factor", F.when(hit, factor).otherwise(1.0)).drop("_patterns")
 
 
 def deduplicate(ranked: DataFrame, top: int, max_per_doc: int, by: str = "query_id", rank: str = "rank") -> DataFrame:

@@ -75,6 +75,10 @@ def _questions(spark, d) -> DataFrame:
     return table(spark, d, "eval_items").select(F.col("id").alias("query_id"), F.col("question").alias("text"))
 
 
+def _asked(spark, d) -> DataFrame:
+    return _questions(spark, d).select(F.col("text").alias("query"))
+
+
 def _texts(spark, d) -> DataFrame:
     return table(spark, d, "chunks").select("id", F.col("original_text").alias("text"))
 
@@ -243,7 +247,7 @@ def _hits(spark, d) -> DataFrame:
 
 @query(f"WITH {RULES}, {HITS} SELECT hit_id, ({_org_sql(1.5)})::DOUBLE AS factor FROM hits")
 def org_boost(spark, d):
-    return fusion.rule_factors(_hits(spark, d), _org_rules(spark, d), 1.5).select("hit_id", F.col("rule_factor").alias("factor"))
+    return fusion.rule_factors(_hits(spark, d), _org_rules(spark, d), 1.5, _asked(spark, d)).select("hit_id", F.col("rule_factor").alias("factor"))
 
 
 @query(f"WITH {HITS} SELECT hit_id, ({_section_sql(SERVER)})::DOUBLE AS server_factor, ({_section_sql(DEMO)})::DOUBLE AS demo_factor FROM hits")
@@ -281,7 +285,7 @@ def dedup_max_per_doc(spark, d):
 def hybrid(spark, d, profile: Profile, top: int = 5) -> DataFrame:
     """Both legs, fusion, boosts, order and deduplication for every question at once."""
     rows = _fused(spark, d, profile, top)
-    rows = fusion.rule_factors(rows, _org_rules(spark, d), profile.org_factor)
+    rows = fusion.rule_factors(rows, _org_rules(spark, d), profile.org_factor, _asked(spark, d))
     boosts = F.col("rule_factor") * fusion.section_overlap(F.col("query"), F.col("section_title"), profile)
     if profile is not SERVER:
         boosts = boosts * fusion.section_keywords(F.col("section_title")) * fusion.content_overlap(F.col("query"), F.col("original_text"), profile.stop_words)
