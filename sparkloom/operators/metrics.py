@@ -49,6 +49,18 @@ def run_metrics(hits: DataFrame, keep: list[str] = ()) -> DataFrame:
     )
 
 
+def document_ndcg(hits: DataFrame, k: int = 5) -> DataFrame:
+    """(run_id, ndcg): nDCG at ``k`` in which each document of the ground truth gains once, at
+    its first rank; names that match several documents at once are cut off at 1, so it never
+    exceeds 1. 0 without ground truth."""
+    named = F.coalesce("document_name", F.lit(""))
+    found = hits.where(F.col("rank") <= k).select("run_id", "rank", F.explode(F.filter("ground_truth", lambda g: T.related(named, F.coalesce(g, F.lit(""))))).alias("g"))
+    gains = found.groupBy("run_id", "g").agg(F.min("rank").alias("rank")).groupBy("run_id").agg(F.sum(1.0 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
+    sizes = hits.groupBy("run_id").agg(F.max(F.coalesce(F.size("ground_truth"), F.lit(0))).alias("n"))
+    score = F.least(F.lit(1.0), F.coalesce("dcg", F.lit(0.0)) / ideal_dcg(F.col("n"), k))
+    return sizes.join(gains, "run_id", "left").select("run_id", F.round(F.when(F.col("n") > 0, score).otherwise(0.0), 6).alias("ndcg"))
+
+
 def failure_modes(hits: DataFrame, same_doc: int = 4) -> DataFrame:
     """(run_id, failure_mode, detail): null without ground truth; DUPLICATE_CHUNKS when one
     document fills ``same_doc`` of the top 5 (detail: that document); MISSING_SOURCE when none

@@ -1,18 +1,19 @@
 """Vector and lexical search of a stated query set against all rows.
 
-Vector search multiplies blocks of queries with Arrow batches of vectors and keeps the best k of
-each query inside a task, so a task sends k rows a query, not a row a pair. Lexical search is an
-equi-join on terms: the query terms, whose number is that of the stated queries' words, are
-broadcast (24 bytes a word of a query: take queries in blocks beyond some 100,000) and select
-postings where the texts lie.
+Vector search multiplies a block of queries with Arrow batches of vectors and keeps the best k of
+each query inside a task, so a task sends k rows a query, not a row a pair. One block of queries
+goes to the tasks with the code; more are laid out with the rows in a grid of cells by shuffle and
+never pass through the driver. Lexical search is an equi-join on terms: the terms of the stated
+queries are broadcast up to ``SMALL`` rows, counted first, and select postings where the texts
+lie; more of them are joined by shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,19 @@ from pyspark.sql.types import DoubleType
 from ..functions import text as T
 from ..functions import vectors as V
 
+SMALL = 200_000  # rows of query terms that are broadcast (some 50 bytes each, so 10 MB)
+CELL = 20_000  # rows of a cell of the grid of vector search (64 floats each: 5 MB)
+
+
+def fits(rows: DataFrame) -> bool:
+    """Whether ``rows`` are few enough to broadcast; counted up to the bound."""
+    return rows.limit(SMALL + 1).count() <= SMALL
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """``rows`` marked for broadcast if they are few, else as they are: then the join shuffles."""
+    return F.broadcast(rows) if fits(rows) else rows
+
 
 def top_ranked(rows: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "id") -> DataFrame:
     """``rank`` 1..k by score, ties to the smaller id."""
@@ -54,25 +68,44 @@ def _best_of_batches(ids: list, matrix: np.ndarray, k: int, key_type: pa.DataTyp
     return run
 
 
-def vector_topk(queries: DataFrame, rows: DataFrame, k: int, dim: int, block: int = 1000) -> DataFrame:
+def _cell(k: int, key_type: pa.DataType, id_type: pa.DataType):
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        names = ["query_id", "id", "score"]
+        if not asked.num_rows or not rows.num_rows:
+            return pa.table([pa.array([], t) for t in (key_type, id_type, pa.float64())], names)
+        matrix = asked.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(asked.num_rows, -1)
+        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+        best = _best_of_batches(asked.column("query_id").to_pylist(), matrix, k, key_type, id_type)
+        return pa.Table.from_batches(best(iter(rows.combine_chunks().to_batches(max_chunksize=4096))))
+
+    return run
+
+
+def vector_topk(queries: DataFrame, rows: DataFrame, k: int, dim: int, block: int = 1000, cell: int = CELL) -> DataFrame:
     """(query_id, id, score, rank): the k rows of highest cosine (double precision, rounded to 6
-    decimals, ties to the smaller id) for each query. ``queries`` (query_id, v) are taken in
-    blocks; ``rows`` (id, v). Vectors that are null, of another length, with NaN or infinite
-    entries or all zero neither ask nor answer. A query whose id equals a row's is answered by
-    that row too."""
-    spark = rows.sparkSession
+    decimals, ties to the smaller id) for each query of ``queries`` (query_id, v) in ``rows`` (id,
+    v). Up to ``block`` queries are held against the rows where these lie. More are cut into
+    blocks, the rows into groups of about ``cell``; each pair of a block and a group is one task's
+    work and sends at most k rows a query on. Vectors that are null, of another length, with NaN
+    or infinite entries or all zero neither ask nor answer. A query whose id equals a row's is
+    answered by that row too."""
     key, name = queries.schema["query_id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    asked = queries.where(V.usable(F.col("v"), dim)).select("query_id", "v").toLocalIterator()
-    found, known = None, rows.where(V.usable(F.col("v"), dim)).select("id", "v")
-    while part := list(islice(asked, block)):
-        matrix = np.array([r["v"] for r in part], np.float64)
+    asked, known = queries.where(V.usable(F.col("v"), dim)).select("query_id", "v"), rows.where(V.usable(F.col("v"), dim)).select("id", "v")
+    schema = f"query_id {key}, id {name}, score double"
+    first = asked.limit(block + 1).collect()  # at most block + 1 rows
+    if not first:
+        return top_ranked(rows.sparkSession.createDataFrame([], schema), k)
+    if len(first) <= block:
+        matrix = np.array([r["v"] for r in first], np.float64)
         matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-        got = known.mapInArrow(_best_of_batches([r["query_id"] for r in part], matrix, k, kinds[key], kinds[name]), f"query_id {key}, id {name}, score double")
-        found = got if found is None else found.unionByName(got)
-    if found is None:
-        found = spark.createDataFrame([], f"query_id {key}, id {name}, score double")
-    return top_ranked(found, k)
+        return top_ranked(known.mapInArrow(_best_of_batches([r["query_id"] for r in first], matrix, k, kinds[key], kinds[name]), schema), k)
+    blocks, groups = -(-asked.count() // block), max(1, -(-known.count() // cell))
+    every = lambda n, c: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c)
+    left = asked.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_block"), every(groups, "_group"))
+    right = known.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("_group"), every(blocks, "_block"))
+    at = ["_block", "_group"]
+    return top_ranked(left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_cell(k, kinds[key], kinds[name]), schema), k)
 
 
 def above(hits: DataFrame, threshold: float, strict: bool = True) -> DataFrame:
@@ -88,7 +121,7 @@ def query_terms(queries: DataFrame, expanded: bool = False) -> DataFrame:
 def matched_terms(asked: DataFrame, rows: DataFrame) -> DataFrame:
     """(query_id, id, n_terms, matched) for ``rows`` (id, text): how many of a query's terms a
     row holds. Only terms that some query asks for are exploded out of a row."""
-    return _terms_by_row(rows).join(F.broadcast(asked), "term").groupBy("query_id", "id").agg(F.first("n_terms").alias("n_terms"), F.count(F.lit(1)).alias("matched"))
+    return _terms_by_row(rows).join(bounded(asked), "term").groupBy("query_id", "id").agg(F.first("n_terms").alias("n_terms"), F.count(F.lit(1)).alias("matched"))
 
 
 def _terms_by_row(rows: DataFrame) -> DataFrame:
@@ -115,22 +148,22 @@ def expanded_coverage(queries: DataFrame, rows: DataFrame, weight: float = 0.7)
     wide = query_terms(queries, expanded=True).select("query_id", "term", F.col("n_terms").alias("n_wide"))
     sizes = own.groupBy("query_id").agg(F.first("n_terms").alias("n_own"))
     asked = wide.join(own.select("query_id", "term", "own"), ["query_id", "term"], "left").join(sizes, "query_id").select("query_id", "term", "n_wide", "n_own", F.coalesce("own", F.lit(0)).alias("own"))
-    got = _terms_by_row(rows).join(F.broadcast(asked), "term").groupBy("query_id", "id").agg(F.sum("own").alias("a"), F.count(F.lit(1)).alias("b"), F.first("n_own").alias("na"), F.first("n_wide").alias("nb"))
+    got = _terms_by_row(rows).join(bounded(asked), "term").groupBy("query_id", "id").agg(F.sum("own").alias("a"), F.count(F.lit(1)).alias("b"), F.first("n_own").alias("na"), F.first("n_wide").alias("nb"))
     return got.select("query_id", "id", F.greatest(F.col("a") / F.col("na"), weight * F.col("b") / F.col("nb")).alias("score"))
 
 
 def bm25(queries: DataFrame, rows: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Top k by Okapi BM25 (an extension: saturated term frequency, length norm, idf)."""
-    held = rows.where("text is not null").select("id", "text").repartition("id").select("id", T.tokens(F.col("text")).alias("terms"))
-    total = held.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("mean"))  # one row
+    known = rows.where("text is not null").select("id", "text")
+    n, mean = known.agg(F.count(F.lit(1)), F.avg(F.size(T.tokens(F.col("text"))))).first()  # one row
     asked = query_terms(queries).select("query_id", "term")
-    vocabulary = asked.select("term").distinct()
-    tf = held.select("id", F.size("terms").alias("len"), F.explode_outer("terms").alias("term")).join(F.broadcast(vocabulary), "term").groupBy("id", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
+    marked = F.broadcast if fits(asked) else lambda df: df  # the terms and their weights are no more than these
+    held = known.repartition("id").select("id", T.tokens(F.col("text")).alias("terms")).select("id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
+    tf = held.join(marked(asked.select("term").distinct()), "term").groupBy("id", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.crossJoin(F.broadcast(total)).select("term", weight.alias("idf"), "mean")  # one row on the right
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    scored = tf.join(F.broadcast(idf), "term").join(F.broadcast(asked), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    idf = df.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean or 1.0)))
+    scored = tf.join(marked(idf), "term").join(marked(asked), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return top_ranked(scored, k)
 
 
@@ -148,12 +181,10 @@ def _covers(batch_terms: list[list[int]]) -> list[tuple[int, int]]:
     return out
 
 
-@F.udf(DoubleType())
-def _cover_density(terms):  # small per-row helper: positions of the matched terms of one text
-    if not terms or any(not t for t in terms):
-        return 0.0
-    n = len(terms)
-    return float(sum(n / max(n, q - p + 1) for p, q in _covers(terms)))
+@F.pandas_udf(DoubleType())
+def _cover_density(places: pd.Series) -> pd.Series:
+    """From the positions of each term in a text, for a batch of texts."""
+    return pd.Series([float(sum(len(t) / max(len(t), q - p + 1) for p, q in _covers(t))) for t in places])
 
 
 def cover_density(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
@@ -161,8 +192,8 @@ def cover_density(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     terms, the sum of (number of terms / length of the stretch). Texts without all terms are
     out. This is the published cover-density idea, not one database's exact weighting."""
     asked = query_terms(queries)
-    spread = rows.select("id", F.posexplode(T.tokens(F.col("text"))).alias("position", "term"))
-    places = spread.join(asked, "term").groupBy("query_id", "id", "term", "n_terms").agg(F.collect_list("position").alias("places"))
+    held = rows.select("id", "text").repartition("id").select("id", F.posexplode(T.tokens(F.col("text"))).alias("position", "term"))
+    places = held.join(bounded(asked), "term").groupBy("query_id", "id", "term", "n_terms").agg(F.collect_list("position").alias("places"))
     grouped = places.groupBy("query_id", "id", "n_terms").agg(F.collect_list("places").alias("terms")).where(F.size("terms") == F.col("n_terms"))
     return top_ranked(grouped.select("query_id", "id", F.round(_cover_density("terms"), 6).alias("score")), k)
 

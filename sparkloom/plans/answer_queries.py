@@ -44,6 +44,14 @@ def ndcg_at_k(spark, d):
     return _metrics(spark, d).select("run_id", "ndcg_at_5")
 
 
+@query(f"""WITH {METRICS}, g AS (SELECT run_id, unnest(found) AS g, rank FROM rel WHERE rank <= 5), f AS (SELECT run_id, g, min(rank) AS rank FROM g GROUP BY 1, 2),
+d AS (SELECT run_id, sum(1.0::DOUBLE / log2(rank + 1.0)) AS once FROM f GROUP BY 1)
+SELECT run_id, round(CASE WHEN n_truth > 0 THEN least(1.0, coalesce(once, 0) / ({_IDCG})) ELSE 0.0 END, 6) AS ndcg FROM sums LEFT JOIN d USING (run_id)""")
+def ndcg_document_at_k(spark, d):
+    """One gain for each document of the ground truth, so at most 1."""
+    return metrics.document_ndcg(judged(spark, d))
+
+
 @query(f"WITH {METRICS} SELECT run_id, hit_ratio_at_10 FROM metrics")
 def hit_ratio_at_k(spark, d):
     return _metrics(spark, d).select("run_id", "hit_ratio_at_10")

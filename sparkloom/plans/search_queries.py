@@ -136,7 +136,7 @@ def _lexical(spark, d, k: int) -> DataFrame:
     side = asked.select("query_id", T.token_set(F.col("text")).alias("terms"), fusion.phrase_mask(F.col("text")).alias("qm"))
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     names = chunks.select("id", low("document_name").alias("name"), low("section_title").alias("section"), fusion.phrase_mask(F.col("original_text")).alias("tm"))
-    joined = base.join(F.broadcast(side), "query_id").join(names, "id")
+    joined = base.join(search.bounded(side), "query_id").join(names, "id")
     boost = fusion.name_boost(F.col("terms"), F.col("name"), F.col("section")) * fusion.phrase_boost(F.col("qm"), F.col("tm"))
     return search.top_ranked(joined.select("query_id", "id", F.round(F.col("score") * boost, 6).alias("score")), k)
 
@@ -176,7 +176,7 @@ def _fused(spark, d, profile: Profile, top: int) -> DataFrame:
     """Candidates with fused score and all that the boosts need."""
     n = profile.fetch * top
     weights = _questions(spark, d).select("query_id", F.col("text").alias("query"), fusion.keyword_weight(F.col("text"), profile.lexical_weight).alias("w"))
-    fused = fusion.fuse(_semantic(spark, d, n), _lexical(spark, d, n), profile, top, F.lit(1.0)).drop("score").join(F.broadcast(weights), "query_id")
+    fused = fusion.fuse(_semantic(spark, d, n), _lexical(spark, d, n), profile, top, F.lit(1.0)).drop("score").join(search.bounded(weights), "query_id")
     fused = fusion_score(fused, profile, n)
     return fused.join(first_chunks(spark, d, "document_name", "section_title", "original_text").drop("chunk_id"), "id")
 

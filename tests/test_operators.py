@@ -113,7 +113,9 @@ def test_vector_topk_against_brute_force(spark):
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, [1.0])]
     df = spark.createDataFrame(rows, "id long, v array<float>")
     asked = df.where("id < 20 or id >= 900").withColumnRenamed("id", "query_id")
-    got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for block in (7,) for r in search.vector_topk(asked, df, 5, 8, block).collect()}
+    got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in search.vector_topk(asked, df, 5, 8).collect()}
+    grid = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in search.vector_topk(asked, df, 5, 8, block=7, cell=50).collect()}
+    assert grid == got
     u = m.astype(np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     for q in range(20):
@@ -123,6 +125,23 @@ def test_vector_topk_against_brute_force(spark):
     assert not any(q >= 900 for q, _ in got)
 
 
+def test_lexical_search_is_the_same_when_terms_are_too_many_to_broadcast(spark, monkeypatch):
+    q = spark.createDataFrame([(1, "red fox"), (2, "a red hen"), (3, ""), (4, None)], "query_id int, text string")
+    rows = spark.createDataFrame([(1, "Red fox and red hen"), (2, "hen"), (3, None), (4, "a fox a"), (5, "")], "id int, text string")
+    every = lambda: [sorted(map(tuple, f(q, rows, 3).collect())) for f in (search.coverage, search.bm25, search.cover_density)] + [sorted(map(tuple, f(q, rows).collect())) for f in (search.match_all, search.expanded_coverage)]
+    few = every()
+    monkeypatch.setattr(search, "SMALL", 0)
+    assert every() == few and all(few)
+    assert search.bm25(q, rows.where("id < 0"), 3).count() == 0
+
+
+def test_document_ndcg_is_at_most_one(spark):
+    assert metrics.document_ndcg(hits(spark, ["a", "a", "a"], ["a"])).first()["ndcg"] == 1.0
+    assert metrics.document_ndcg(hits(spark, ["x", "a", "b", "a"], ["a", "b", "c"])).first()["ndcg"] == round((1 / math.log2(3) + 0.5) / sum(1 / math.log2(i + 2) for i in range(3)), 6)
+    assert metrics.document_ndcg(hits(spark, ["x"], [])).first()["ndcg"] == 0.0
+    assert metrics.document_ndcg(hits(spark, ["", None], ["a"])).first()["ndcg"] == 0.0
+
+
 def test_vector_topk_without_queries_or_rows(spark):
     none = spark.createDataFrame([], "id long, v array<float>")
     assert search.vector_topk(none.withColumnRenamed("id", "query_id"), none, 5, 8).count() == 0
