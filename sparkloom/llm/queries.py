@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import knn, langid, leakage, neardup, packing, spans, textform, tokens
@@ -16,9 +16,7 @@ ANSWERS = ["question", "ground_truth_answer"]
 
 def _first_of_each(chunks: DataFrame) -> DataFrame:
     """The record of each chunk_id with the smallest id (others were ingested again)."""
-    first = Window.partitionBy("chunk_id").orderBy("id")
-    ids = chunks.select("chunk_id", "id").withColumn("n", F.row_number().over(first)).where("n = 1").select("id")
-    return chunks.join(ids, "id")
+    return chunks.join(chunks.groupBy("chunk_id").agg(F.min("id").alias("id")).select("id"), "id")
 
 
 def _label(c: str) -> Column:
