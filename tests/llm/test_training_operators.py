@@ -69,7 +69,7 @@ def test_knn_small_tables(spark):
 def test_footrule_gain():
     a = np.array([[3, 1, 2]], np.int32)
     b = np.array([[3, 2, 9], [7, 8, 9]], np.int32)
-    assert knn.footrule_gain(a, b).tolist() == [[3 + 1, 0]]
+    assert knn.footrule_gain(a, knn.places_table(b)).tolist() == [[3 + 1, 0]]
 
 
 # --- near duplicates -------------------------------------------------------------------
