@@ -1,20 +1,20 @@
 """Near-duplicate records with small edits (problem 3).
 
-Byte-position inverted index with count filtering. Each record's set of word shingles gives a
-signature of 60 positional bytes (the low byte of a minimum hash at each position). The index
-posts a record under every aligned triple of positional bytes; records that meet are candidates
-once a bit sketch carried in the posting agrees in enough places. For each candidate pair the
-shared positional bytes are tallied and pairs under the guaranteed minimum are dropped. The rest
-are verified exactly on the shingle sets, made again from the texts of the records concerned.
-
-The minimum is guaranteed in probability: at the threshold the tally is a binomial count and
-the minimum lies three standard deviations under its mean; a pair at the threshold meets in
-at least one of the 20 triples with probability 0.93 at similarity 0.5, 0.998 at 0.65, and 1
-for nearly equal records.
+Inverted index over word shingles with exact filters. The shingles of a record are put in one
+order for all records, rare ones first, and the record is posted under the first n - ceil(t n) + 1
+of its n shingles: two records of Jaccard similarity t or more share one of these, whatever the
+order. Within a list each pair is held against three bounds that no pair at the threshold fails:
+the ratio of the sizes, the shingles left behind the place at which they meet, and the places in
+which parity sketches differ (at most the size of the symmetric difference). What remains is
+verified on the shingle sets, made again from the texts of the records concerned. No pair at or
+over the threshold is lost.
 
 Distribution: records with equal shingle sets are collapsed first by digest, so copies, however
-many, post once; no list is cut and no pair is dropped but by the tally and the verification.
-Texts are shuffled once, for the records in retained pairs.
+many, post once; no list is cut. The order comes from a sample of the records, of which at most
+``FREQUENT`` counts reach the driver; it decides the length of the lists, never the result. A list
+is read by one task in blocks of pairs. Work follows the pairs that share a shingle among their
+rarest, so on texts of a closed set of phrases it grows faster than the number of records. Texts are
+shuffled once, for the records in retained pairs.
 
 Edge cases: null or blank texts and texts with fewer than ``least`` distinct shingles are left
 out; records with the same id are one record; further columns are ignored.
@@ -33,8 +33,12 @@ from pyspark.sql import functions as F
 from .common import connected, stage
 from .textform import words
 
-BYTES, BITS = 60, 192  # positional bytes of the signature, bits of the sketch
-_FEATURES = "id long, name string, digest binary, n int, sig array<long>, sketch array<long>"
+BITS = 256  # of the parity sketch
+SAMPLE, FREQUENT = 20_000, 200_000  # records whose shingles are counted for the order, counts kept
+BLOCK = 500_000  # pairs looked at together
+SLACK = 1e-6  # bounds are loosened by this, so rounding drops no pair
+_FEATURES = "id long, name string, digest binary, n int, keys array<int>, sketch array<long>"
+_POSTS = ["key", "id", "n", "at", *[f"s{i}" for i in range(BITS // 64)]]
 
 
 class Shingler:
@@ -67,53 +71,105 @@ class Shingler:
         return np.unique((run >> np.uint64(32)).astype(np.uint32))
 
 
-def _multipliers() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240229)
-    return rng.integers(1, 1 << 32, BYTES + BITS, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, BYTES + BITS, np.uint32)
+def _order(every: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often each shingle occurs in the sample; 0 for those that are not frequent."""
+    if not len(frequent):
+        return np.zeros(len(every), np.int64)
+    at = np.minimum(np.searchsorted(frequent, every), len(frequent) - 1)
+    return np.where(frequent[at] == every, counts[at], 0)
 
 
-def _minima(sets: list[np.ndarray]) -> np.ndarray:
-    """Minimum hash of each set at each position: (sets, positions)."""
-    every = np.concatenate(sets)
-    begins = np.cumsum([0, *map(len, sets[:-1])])
-    mult, add = _multipliers()
-    out = np.empty((len(mult), len(sets)), np.uint32)
+def _parity(every: np.ndarray, owner: np.ndarray, records: int) -> np.ndarray:
+    """For each record, at each of ``BITS`` places, whether it has an odd number of shingles there."""
     with np.errstate(over="ignore"):
-        for i, (m, a) in enumerate(zip(mult, add)):
-            x = every * m + a
-            x ^= x >> np.uint32(15)
-            x *= np.uint32(0x2C1B3C6D)
-            out[i] = np.minimum.reduceat(x, begins)
-        out ^= out >> np.uint32(12)
-        out *= np.uint32(0x297A2D39)
-        out ^= out >> np.uint32(15)
-    return out.T
-
-
-def _features(size: int, least: int):
+        place = (every * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS.bit_length() + 1)
+    odd = np.bincount(owner * BITS + place, minlength=records * BITS).reshape(records, BITS) & 1
+    return np.ascontiguousarray(np.packbits(odd.astype(np.uint8), axis=1)).view(np.int64)
+
+
+def _features(size: int, threshold: float, least: int, frequent: np.ndarray, counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(size)
         for batch in batches:
             ids, names, texts = (batch.column(i).to_pylist() for i in range(3))
             for i in range(0, len(ids), 500):
-                got = [(a, b, s) for a, b, t in zip(ids[i : i + 500], names[i : i + 500], texts[i : i + 500]) if len(s := shingles(t)) >= least]
+                got = [(a, b, s) for a, b, t in zip(ids[i : i + 500], names[i : i + 500], texts[i : i + 500]) if len(s := shingles(t)) >= max(least, 1)]
                 if not got:
                     continue
-                low = _minima([s for _, _, s in got])
-                sig = (low[:, :BYTES] & 0xFF).astype(np.int64).reshape(len(got), BYTES // 6, 6) @ (1 << np.arange(0, 48, 8, dtype=np.int64))
-                bits = np.ascontiguousarray(np.packbits((low[:, BYTES:] & 1).astype(np.uint8), axis=1)).view(np.int64)
+                n = np.array([len(s) for _, _, s in got])
+                every, owner = np.concatenate([s for _, _, s in got]), np.repeat(np.arange(len(got)), n)
+                begins = np.cumsum(n) - n
+                prefix = n - np.ceil(threshold * n - SLACK).astype(np.int64) + 1
+                sort = np.lexsort((every, _order(every, frequent, counts), owner))
+                first = np.arange(len(every)) - np.repeat(begins, n) < np.repeat(prefix, n)
+                keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.minimum(prefix, n))), pa.int32()), pa.array(every[sort][first].view(np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([a for a, _, _ in got], pa.int64()), pa.array([b for _, b, _ in got], pa.string()),
-                        pa.array([xxhash.xxh128_digest(s.tobytes()) for _, _, s in got], pa.binary()), pa.array([len(s) for _, _, s in got], pa.int32()),
-                        pa.array(list(sig), pa.list_(pa.int64())), pa.array(list(bits), pa.list_(pa.int64())),
+                        pa.array([xxhash.xxh128_digest(s.tobytes()) for _, _, s in got], pa.binary()), pa.array(n, pa.int32()),
+                        keys, pa.array(list(_parity(every, owner, len(got))), pa.list_(pa.int64())),
                     ],
-                    ["id", "name", "digest", "n", "sig", "sketch"],
+                    ["id", "name", "digest", "n", "keys", "sketch"],
                 )
 
     return run
 
 
+def _met(threshold: float):
+    """Pairs of postings of one key that pass every bound, from rows in order of key and n."""
+    least, most = threshold / (1 + threshold), (1 - threshold) / (1 + threshold)  # of both sizes: shared, different
+
+    def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(rows)
+        key, ids, n, at, *sketch = (whole.column(c).to_numpy().astype(np.int64) for c in _POSTS)
+        line = key * (1 << 31) + n
+        here = np.arange(len(key))
+        end = np.searchsorted(line, key * (1 << 31) + np.floor(n / threshold + SLACK).astype(np.int64), "right")
+        left = here[(n - at >= 2 * least * n - SLACK) & (end > here + 1)]  # the smaller of two
+        many = end[left] - left - 1
+        total = np.cumsum(many)
+        i = 0
+        while i < len(left):
+            until = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + BLOCK, "right")))
+            a, m = np.repeat(left[i:until], many[i:until]), many[i:until]
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
+            i = until
+            both = n[a] + n[b]
+            ok = np.minimum(n[a] - at[a], n[b] - at[b]) >= least * both - SLACK
+            a, b, both = a[ok], b[ok], both[ok]
+            ok = sum(np.bitwise_count((s[a] ^ s[b]).view(np.uint64)).astype(np.int64) for s in sketch) <= most * both + SLACK
+            if ok.any():
+                x, y = ids[a[ok]], ids[b[ok]]
+                found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            if cut or (held and held[-1].column("key")[-1].as_py() != key[0]):
+                yield from pairs([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from pairs(held)
+
+    return run
+
+
+def _frequent(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur most often in a sample of the records, ascending, and their counts."""
+    step = max(1, rows.count() // SAMPLE)
+    sets = rows.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("id", "text").mapInArrow(_sets(size), "id long, shingles array<long>")
+    counts = sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
+    s, n = counts["s"].to_numpy().astype(np.uint32), counts["n"].to_numpy().astype(np.int64)
+    sort = np.argsort(s)
+    return s[sort], n[sort]
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(size)
@@ -141,29 +197,13 @@ def near_duplicates(
     rows = records.select(F.col(id_col).cast("long").alias("id"), F.col(name_col).cast("string").alias("name"), F.col(text_col).alias("text")).where(
         F.col("id").isNotNull() & F.col("name").isNotNull() & F.col("text").isNotNull()
     )
-    feats = stage(rows.mapInArrow(_features(size, least), _FEATURES), "features")
+    feats = stage(rows.mapInArrow(_features(size, threshold, least, *_frequent(rows, size)), _FEATURES), "features")
     classes = feats.groupBy("digest").agg(F.min("id").alias("rep"))
     members = feats.select("digest", "name").join(classes, "digest").select("name", "rep").distinct()
-    reps = feats.join(classes.select(F.col("rep").alias("id")), "id")
-    posts = reps.select(
-        "id", F.col("sketch")[0].alias("s0"), F.col("sketch")[1].alias("s1"), F.col("sketch")[2].alias("s2"),
-        F.explode(F.array(*[  # a triple of positional bytes, and which one
-            F.shiftright(F.col("sig")[j // 2], 24 * (j % 2)).bitwiseAND(F.lit(0xFFFFFF)).bitwiseOR(F.lit(j << 24).cast("long")) for j in range(BYTES // 3)
-        ])).alias("key"),
-    )
-    mean = BITS * (1 + threshold) / 2
-    agree = int(mean - 2.9 * (mean * (1 - threshold) / 2) ** 0.5)
-    p = threshold + (1 - threshold) / 256
-    minimum = int(BYTES * p - 3 * (BYTES * p * (1 - p)) ** 0.5)
-    a, b = posts.alias("a"), posts.alias("b")
-    differ = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(3)), F.lit(0))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (differ <= BITS - agree))
-    pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    sigs = reps.select("id", *[F.col("sig")[i].alias(f"g{i}") for i in range(BYTES // 6)])
-    left = sigs.select(F.col("id").alias("a"), *[F.col(f"g{i}").alias(f"l{i}") for i in range(BYTES // 6)])
-    right = sigs.withColumnRenamed("id", "b")
-    tally = sum((shared_bytes(F.col(f"l{i}"), F.col(f"g{i}")) for i in range(BYTES // 6)), F.lit(0))
-    kept = stage(pairs.join(left, "a").join(right, "b").where(tally >= minimum).select("a", "b"), "pairs")
+    reps = feats.join(classes.select(F.col("rep").alias("id")), "id").dropDuplicates(["id"])
+    posts = reps.select("id", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(BITS // 64)], F.posexplode("keys").alias("at", "key"))
+    lists = posts.select(_POSTS).repartition("key").sortWithinPartitions("key", "n", "id")
+    kept = stage(lists.mapInArrow(_met(threshold), "a long, b long").distinct(), "pairs")
     concerned = kept.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = rows.select("id", "text").join(concerned, "id").mapInArrow(_sets(size), "id long, shingles array<long>")
     both = kept.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")

@@ -120,6 +120,25 @@ def test_near_duplicates_against_brute_force(spark, size, threshold):
         assert groups[a]["group_id"] == groups[b]["group_id"]
 
 
+@pytest.mark.parametrize("size, threshold", [(3, 0.5), (1, 0.6), (2, 0.8)])
+def test_no_pair_at_the_threshold_is_lost(spark, size, threshold):
+    """Pairs whose similarity is just the threshold or little above: none may be missing."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(250):
+        n = rng.randint(10, 90)
+        same = -(-round(100 * threshold) * (2 * n) // round(100 * (1 + threshold)))  # shingles to share
+        base = [f"w{g}x{i}" for i in range(n + size - 1)]
+        rows += [base, base[: min(n, same) + size - 1] + [f"v{g}x{i}" for i in range(n - min(n, same))]]
+    vocabulary = [f"c{i}" for i in range(12)]
+    rows += [[rng.choice(vocabulary) for _ in range(rng.randint(12, 30))] for _ in range(150)]  # shingles all share
+    rows = [(i, f"n{i:04d}", " ".join(w)) for i, w in enumerate(rows)]
+    members, links = neardup.near_duplicates(spark.createDataFrame(rows, "id long, name string, text string"), "id", "name", "text", size, threshold, 10)
+    want = brute_pairs(rows, size, threshold, 10)
+    assert len(want) >= 250
+    assert {tuple(r) for r in neardup.record_pairs(members, links).collect()} == want
+
+
 def test_near_duplicates_of_nothing(spark):
     members, links = neardup.near_duplicates(spark.createDataFrame([], "id long, name string, text string"), "id", "name", "text")
     assert members.count() == 0 and links.count() == 0 and neardup.record_groups(members, links).count() == 0
