@@ -6,15 +6,14 @@ of its n shingles: two records of Jaccard similarity t or more share one of thes
 order. Within a list each pair is held against three bounds that no pair at the threshold fails:
 the ratio of the sizes, the shingles left behind the place at which they meet, and the places in
 which parity sketches differ (at most the size of the symmetric difference). What remains is
-verified on the shingle sets, made again from the texts of the records concerned. No pair at or
-over the threshold is lost.
+verified on the shingle sets. No pair at or over the threshold is lost.
 
 Distribution: records with equal shingle sets are collapsed first by digest, so copies, however
 many, post once; no list is cut. The order comes from a sample of the records, of which at most
 ``FREQUENT`` counts reach the driver; it decides the length of the lists, never the result. A list
 is read by one task in blocks of pairs. Work follows the pairs that share a shingle among their
 rarest, so on texts of a closed set of phrases it grows faster than the number of records. Texts are
-shuffled once, for the records in retained pairs.
+never shuffled, and shingle sets only for the records in retained pairs.
 
 Edge cases: null or blank texts and texts with fewer than ``least`` distinct shingles are left
 out; records with the same id are one record; further columns are ignored.
@@ -33,11 +32,11 @@ from pyspark.sql import functions as F
 from .common import connected, stage
 from .textform import words
 
-BITS = 256  # of the parity sketch
-SAMPLE, FREQUENT = 20_000, 200_000  # records whose shingles are counted for the order, counts kept
+BITS, WIDE = 512, 80  # of the parity sketch; up to so many shingles it is folded to half
+SAMPLE, FREQUENT = 8_000, 200_000  # records whose shingles are counted for the order, counts kept
 BLOCK = 500_000  # pairs looked at together
 SLACK = 1e-6  # bounds are loosened by this, so rounding drops no pair
-_FEATURES = "id long, name string, digest binary, n int, keys array<int>, sketch array<long>"
+_FEATURES = "id long, name string, digest binary, n int, prefix int, keys array<int>, sketch array<long>"
 _POSTS = ["key", "id", "n", "at", *[f"s{i}" for i in range(BITS // 64)]]
 
 
@@ -80,10 +79,14 @@ def _order(every: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.nd
 
 
 def _parity(every: np.ndarray, owner: np.ndarray, records: int) -> np.ndarray:
-    """For each record, at each of ``BITS`` places, whether it has an odd number of shingles there."""
+    """For each record, at each of ``BITS`` places, whether it has an odd number of shingles there.
+    The halves of small records are added up and the second is left 0, which compresses."""
     with np.errstate(over="ignore"):
         place = (every * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS.bit_length() + 1)
     odd = np.bincount(owner * BITS + place, minlength=records * BITS).reshape(records, BITS) & 1
+    small = np.bincount(owner, minlength=records) <= WIDE
+    odd[small, : BITS // 2] ^= odd[small, BITS // 2 :]
+    odd[small, BITS // 2 :] = 0
     return np.ascontiguousarray(np.packbits(odd.astype(np.uint8), axis=1)).view(np.int64)
 
 
@@ -98,18 +101,16 @@ def _features(size: int, threshold: float, least: int, frequent: np.ndarray, cou
                     continue
                 n = np.array([len(s) for _, _, s in got])
                 every, owner = np.concatenate([s for _, _, s in got]), np.repeat(np.arange(len(got)), n)
-                begins = np.cumsum(n) - n
                 prefix = n - np.ceil(threshold * n - SLACK).astype(np.int64) + 1
                 sort = np.lexsort((every, _order(every, frequent, counts), owner))
-                first = np.arange(len(every)) - np.repeat(begins, n) < np.repeat(prefix, n)
-                keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.minimum(prefix, n))), pa.int32()), pa.array(every[sort][first].view(np.int32), pa.int32()))
+                keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(every[sort].view(np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([a for a, _, _ in got], pa.int64()), pa.array([b for _, b, _ in got], pa.string()),
                         pa.array([xxhash.xxh128_digest(s.tobytes()) for _, _, s in got], pa.binary()), pa.array(n, pa.int32()),
-                        keys, pa.array(list(_parity(every, owner, len(got))), pa.list_(pa.int64())),
+                        pa.array(prefix, pa.int32()), keys, pa.array(list(_parity(every, owner, len(got))), pa.list_(pa.int64())),
                     ],
-                    ["id", "name", "digest", "n", "keys", "sketch"],
+                    ["id", "name", "digest", "n", "prefix", "keys", "sketch"],
                 )
 
     return run
@@ -119,9 +120,14 @@ def _met(threshold: float):
     """Pairs of postings of one key that pass every bound, from rows in order of key and n."""
     least, most = threshold / (1 + threshold), (1 - threshold) / (1 + threshold)  # of both sizes: shared, different
 
+    def differ(sketch: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count((s[a] ^ s[b]).view(np.uint64)).astype(np.int64) for s in sketch)
+
     def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(rows)
         key, ids, n, at, *sketch = (whole.column(c).to_numpy().astype(np.int64) for c in _POSTS)
+        half = len(sketch) // 2
+        folded = [x ^ y for x, y in zip(sketch[:half], sketch[half:])]
         line = key * (1 << 31) + n
         here = np.arange(len(key))
         end = np.searchsorted(line, key * (1 << 31) + np.floor(n / threshold + SLACK).astype(np.int64), "right")
@@ -137,7 +143,9 @@ def _met(threshold: float):
             both = n[a] + n[b]
             ok = np.minimum(n[a] - at[a], n[b] - at[b]) >= least * both - SLACK
             a, b, both = a[ok], b[ok], both[ok]
-            ok = sum(np.bitwise_count((s[a] ^ s[b]).view(np.uint64)).astype(np.int64) for s in sketch) <= most * both + SLACK
+            ok = differ(folded, a, b) <= most * both + SLACK
+            a, b, both = a[ok], b[ok], both[ok]
+            ok = (np.minimum(n[a], n[b]) <= WIDE) | (differ(sketch, a, b) <= most * both + SLACK)
             if ok.any():
                 x, y = ids[a[ok]], ids[b[ok]]
                 found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
@@ -201,11 +209,11 @@ def near_duplicates(
     classes = feats.groupBy("digest").agg(F.min("id").alias("rep"))
     members = feats.select("digest", "name").join(classes, "digest").select("name", "rep").distinct()
     reps = feats.join(classes.select(F.col("rep").alias("id")), "id").dropDuplicates(["id"])
-    posts = reps.select("id", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(BITS // 64)], F.posexplode("keys").alias("at", "key"))
+    posts = reps.select("id", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(BITS // 64)], F.posexplode(F.slice("keys", F.lit(1), F.col("prefix"))).alias("at", "key"))
     lists = posts.select(_POSTS).repartition("key").sortWithinPartitions("key", "n", "id")
     kept = stage(lists.mapInArrow(_met(threshold), "a long, b long").distinct(), "pairs")
     concerned = kept.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = rows.select("id", "text").join(concerned, "id").mapInArrow(_sets(size), "id long, shingles array<long>")
+    sets = reps.join(concerned, "id").select("id", F.col("keys").alias("shingles"))
     both = kept.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     links = both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("either"))
