@@ -16,7 +16,7 @@ rarest, so on texts of a closed set of phrases it grows faster than the number o
 never shuffled, and shingle sets only for the records in retained pairs.
 
 Edge cases: null or blank texts and texts with fewer than ``least`` distinct shingles are left
-out; records with the same id are one record; further columns are ignored.
+out (``short_members`` gives them classes); records with the same id are one record; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -220,6 +220,25 @@ def near_duplicates(
     return members, links.where(F.col("shared") >= threshold * F.col("either")).select("a", "b", "shared", (F.col("shared") / F.col("either")).alias("similarity"))
 
 
+def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = [words(t) for t in batch.column("text").to_pylist()]
+        same = [xxhash.xxh128_hexdigest(" ".join(w)) if w else None for w in lists]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("name"), pa.array(same, pa.string())], ["id", "name", "same"])
+
+
+def short_members(records: DataFrame, members: DataFrame, id_col: str, name_col: str, text_col: str) -> DataFrame:
+    """(name, rep) of the records whose name has no class in ``members``, because their texts are
+    null, blank or have too few shingles: equal word lists are one class, represented by the
+    smallest id; a record without words is a class of its own."""
+    rows = records.select(F.col(id_col).cast("long").alias("id"), F.col(name_col).cast("string").alias("name"), F.col(text_col).alias("text"))
+    rows = rows.where(F.col("id").isNotNull() & F.col("name").isNotNull()).join(members.select("name").distinct(), "name", "left_anti")
+    lists = stage(rows.select("id", "name", "text").mapInArrow(_word_lists, "id long, name string, same string"), "short")
+    alike = F.struct(F.col("same").alias("same"), F.when(F.col("same").isNull(), F.col("name")).alias("own"))
+    keyed = lists.select("id", "name", F.to_json(alike).alias("key"))
+    return keyed.select("name", "key").distinct().join(keyed.groupBy("key").agg(F.min("id").alias("rep")), "key").select("name", "rep")
+
+
 def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """Every pair of records (a < b by name) within a class or linked across classes."""
     one, two = members.select(F.col("name").alias("n1"), "rep"), members.select(F.col("name").alias("n2"), "rep")

@@ -57,8 +57,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per chunk: its group at five words and 0.8, and its number of linked classes."""
-    members, links = neardup.near_duplicates(table(spark, sf_dir, "chunks"), "id", "chunk_id", "original_text")
-    return neardup.record_groups(members, links).select(F.col("name").alias("chunk_id"), F.col("rep").alias("class_id"), "group_id", "n_links", "group_size")
+    chunks = table(spark, sf_dir, "chunks")
+    members, links = neardup.near_duplicates(chunks, "id", "chunk_id", "original_text")
+    short = neardup.short_members(chunks, members, "id", "chunk_id", "original_text")
+    return neardup.record_groups(members.unionByName(short), links).select(F.col("name").alias("chunk_id"), F.col("rep").alias("class_id"), "group_id", "n_links", "group_size")
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

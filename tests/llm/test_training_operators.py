@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import common, knn, langid, leakage, neardup, packing, spans, tokens
+from sparkloom.llm import common, knn, langid, leakage, neardup, packing, queries, spans, tokens
 from sparkloom.llm.textform import words
 
 
@@ -139,6 +139,15 @@ def test_no_pair_at_the_threshold_is_lost(spark, size, threshold):
     assert {tuple(r) for r in neardup.record_pairs(members, links).collect()} == want
 
 
+def test_short_records_have_a_group(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, "a", long), (2, "b", long), (3, "c", "two words"), (4, "d", "Two, words!"), (5, "d", "Two, words!"), (6, "e", "other"), (7, "f", ""), (8, "g", None), (9, "h", " ... "), (10, "h", " ... ")]
+    spark.createDataFrame(rows, "id long, chunk_id string, original_text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = sorted(tuple(r) for r in queries.p3_groups(spark, str(tmp_path)).collect())
+    own = [("e", 6), ("f", 7), ("g", 8), ("h", 9)]
+    assert got == [("a", 1, 1, 0, 2), ("b", 1, 1, 0, 2), ("c", 3, 3, 0, 2), ("d", 3, 3, 0, 2), *[(n, i, i, 0, 1) for n, i in own]]
+
+
 def test_near_duplicates_of_nothing(spark):
     members, links = neardup.near_duplicates(spark.createDataFrame([], "id long, name string, text string"), "id", "name", "text")
     assert members.count() == 0 and links.count() == 0 and neardup.record_groups(members, links).count() == 0
