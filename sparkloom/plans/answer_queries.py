@@ -97,6 +97,68 @@ def report_by_difficulty(spark, d):
     return rows.groupBy("difficulty").agg(F.count("run_id").alias("runs"), F.round(F.coalesce(F.avg("precision_at_5"), F.lit(0.0)), 6).alias("precision_at_5"))
 
 
+_EMPTY = """empty AS (SELECT id AS query_id, category, difficulty, len(coalesce(ground_truth_sources, [])) > 0 AS truth FROM eval_items WHERE id NOT IN (SELECT query_id FROM judged))"""
+_ITEM_FAILURES = """all_failures AS (SELECT m.query_id, f.run_id, failure_mode, detail FROM failures f JOIN metrics m USING (run_id)
+UNION ALL SELECT query_id, NULL::BIGINT, CASE WHEN truth THEN 'NO_RESULTS' END, NULL FROM empty)"""
+_NAMES = ["precision_at_3", "precision_at_5", "recall_at_10", "ndcg_at_5", "citation_coverage"]
+_ITEM_METRICS = f"""all_metrics AS (SELECT query_id, run_id, category, difficulty, {', '.join(_NAMES)} FROM metrics
+UNION ALL SELECT query_id, NULL::BIGINT, category, difficulty, {', '.join(['0.0'] * len(_NAMES))} FROM empty)"""
+
+
+def _empty(spark, d):
+    """Evaluation items without any hit: NO_RESULTS where they have a ground truth."""
+    items = table(spark, d, "eval_items").select(F.col("id").alias("query_id"), "category", "difficulty", (F.coalesce(F.size("ground_truth_sources"), F.lit(0)) > 0).alias("truth"))
+    rows = metrics.empty_runs(items, runs(spark, d))
+    return rows.withColumn("failure_mode", F.when(F.col("truth"), F.col("failure_mode"))).withColumn("run_id", F.lit(None).cast("long")).withColumn("detail", F.lit(None).cast("string"))
+
+
+def _item_failures(spark, d, same_doc: int = 4):
+    names = ["query_id", "run_id", "failure_mode", "detail"]
+    rows = judged(spark, d)
+    logged = metrics.failure_modes(rows, same_doc).join(rows.select("run_id", "query_id").distinct(), "run_id")
+    return logged.select(names).unionByName(_empty(spark, d).select(names))
+
+
+def _item_metrics(spark, d):
+    names = ["query_id", "run_id", "category", "difficulty"]
+    none = _empty(spark, d).select(*names, *[F.lit(0.0).alias(c) for c in _NAMES])
+    return _metrics(spark, d).select(*names, *_NAMES).unionByName(none)
+
+
+@query(f"WITH {METRICS}, {FAILURES.format(same=4)}, {_EMPTY}, {_ITEM_FAILURES} SELECT query_id, run_id, failure_mode, detail FROM all_failures")
+def failure_mode_all_items(spark, d):
+    """As ``failure_mode``, with the evaluation items that have no run."""
+    return _item_failures(spark, d)
+
+
+@query(f"WITH {METRICS}, {FAILURES.format(same=3)}, {_EMPTY}, {_ITEM_FAILURES} SELECT query_id, run_id, failure_mode, detail FROM all_failures")
+def failure_mode_strict_all_items(spark, d):
+    return _item_failures(spark, d, same_doc=3)
+
+
+@query(f"WITH {METRICS}, {FAILURES.format(same=4)}, {_EMPTY}, {_ITEM_FAILURES} SELECT failure_mode, count(*) AS runs FROM all_failures WHERE failure_mode IS NOT NULL GROUP BY 1")
+def failure_listing_all_items(spark, d):
+    return _item_failures(spark, d).where("failure_mode is not null").groupBy("failure_mode").agg(F.count(F.lit(1)).alias("runs"))
+
+
+@query(f"""WITH {METRICS}, {FAILURES.format(same=4)}, {_EMPTY}, {_ITEM_FAILURES}, {_ITEM_METRICS},
+both_ AS (SELECT m.*, f.failure_mode FROM all_metrics m LEFT JOIN all_failures f ON f.query_id = m.query_id AND f.run_id IS NOT DISTINCT FROM m.run_id)
+SELECT CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(difficulty) = 0 THEN 'difficulty' ELSE 'overall' END AS level, coalesce(category, difficulty, 'all') AS slice,
+  count(*) AS runs, {_MEANS}, count(failure_mode) AS failures FROM both_ GROUP BY GROUPING SETS ((category), (difficulty), ())""")
+def eval_report_all_items(spark, d):
+    """As ``eval_report_grouping_sets``; an item without hits counts as one run with metrics 0."""
+    a, b = _item_metrics(spark, d).alias("a"), _item_failures(spark, d).alias("b")
+    return metrics.report(a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & F.col("a.run_id").eqNullSafe(F.col("b.run_id")), "left").select("a.*", "b.failure_mode"))
+
+
+@query(f"""WITH {METRICS}, {_EMPTY}, {_ITEM_METRICS}, levels AS (SELECT unnest(['easy', 'medium', 'hard']) AS difficulty)
+SELECT l.difficulty, count(m.query_id) AS runs, round(coalesce(avg(precision_at_5), 0.0), 6) AS precision_at_5 FROM levels l LEFT JOIN all_metrics m USING (difficulty) GROUP BY 1""")
+def report_by_difficulty_all_items(spark, d):
+    levels = spark.createDataFrame([("easy",), ("medium",), ("hard",)], "difficulty string")
+    rows = levels.join(_item_metrics(spark, d), "difficulty", "left")
+    return rows.groupBy("difficulty").agg(F.count("query_id").alias("runs"), F.round(F.coalesce(F.avg("precision_at_5"), F.lit(0.0)), 6).alias("precision_at_5"))
+
+
 _GATE = "CASE WHEN top_similarity < 0.70 THEN 'INSUFFICIENT' ELSE 'SUFFICIENT' END"
 
 
