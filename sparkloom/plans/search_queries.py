@@ -349,3 +349,12 @@ def rerank_token_f1(spark, d):
 def document_language_filter(spark, d):
     """Independent optional filters; both are pushed to the scan."""
     return table(spark, d, "chunks").where((F.col("document_name") == "adult-pathway-2013") & (F.col("language") == "en")).select("id", "document_name", "language")
+
+
+@query("""SELECT document_name, language, (grouping(document_name) = 0)::INT AS by_document, (grouping(language) = 0)::INT AS by_language, count(*) AS rows
+FROM chunks GROUP BY GROUPING SETS ((document_name, language), (document_name), (language), ())""")
+def document_language_counts(spark, d):
+    """Rows that each choice of the two filters keeps, over the whole table: both, either one alone, none."""
+    rows = table(spark, d, "chunks").groupingSets([["document_name", "language"], ["document_name"], ["language"], []], "document_name", "language")
+    by = lambda c: (F.grouping(c) == 0).cast("int").alias(f"by_{c.split('_')[0]}")
+    return rows.agg(by("document_name"), by("language"), F.count(F.lit(1)).alias("rows"))
