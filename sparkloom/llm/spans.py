@@ -5,13 +5,21 @@ content-chosen places (the smallest hash among the windows that fit into ``min_l
 characters), so two records that share ``min_len`` characters share a chosen window. Windows
 repeated in another record mark the stretches in which a shared span can still lie; only
 those are looked at again with windows of twice the length, up to ``min_len`` itself, where
-every position of the surviving stretches is a window. What repeats there is shared.
-
-Distribution: texts are hashed first and each distinct text is worked on once. A level is one
-exchange by window hash. Inside a task equal hashes of different records are settled before
-the exchange and leave it as one entry, so a passage that a third of all records holds sends
-one entry a task, not one a record. Entries travel as packed byte planes. Nothing is
-collected, broadcast or capped.
+every position of the surviving stretches is a window. What repeats there is shared, and runs of
+such windows are the maximal spans. Levels end at ``min_len``: windows longer than the span that
+is asked for are not needed, as neighbouring windows of that length give the whole run.
+
+Distribution: texts are hashed first and each distinct text is worked on once; all levels read
+one exchange of the texts. A level is one exchange of window entries into buckets, whose number
+follows the counted characters (``BUCKET`` of them each); whole buckets go to a task by their
+number, which spreads them evenly, and a task settles one bucket after the other, so it holds one
+at a time. Inside a task equal hashes of different records are settled before the exchange and
+leave it as one entry, so a passage that a third of all records holds sends one entry a task,
+not one a record. Entries travel as packed byte planes. Nothing is collected, broadcast or capped.
+
+Windows are compared by a 64-bit polynomial hash within a bucket that a second, additive hash
+chooses: a false meeting needs both. As buckets follow the data, a window is falsely shared with
+a chance of at most ``BUCKET`` / 2**64, 2 in 10**13, at any size.
 
 Edge cases: null texts and texts under ``min_len`` characters have no spans; a text that
 other records repeat whole is one span over its length; repeated rows of one id count as one
@@ -29,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FLUSH = 4_000_000  # window entries a task holds before it packs them
+BUCKET = 4_000_000  # characters of text a bucket of window entries stands for
+MOST_TASKS = 20_000  # of an exchange of window entries; beyond, a task settles several buckets
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PACKED = "bucket int, hashes binary, keys binary, places binary, many binary"
 _PLACES = "key long, places binary"
@@ -62,6 +72,13 @@ def window_hashes(points: np.ndarray, length: int) -> np.ndarray:
         return _mix(total * _ODD + scale)
 
 
+def window_sums(points: np.ndarray, length: int, at: np.ndarray) -> np.ndarray:
+    """A second hash of the windows at the places ``at``: what their points are mixed to, added up."""
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(points.astype(np.uint64) * _ODD + np.uint64(77)), dtype=np.uint64)))
+        return _mix(total[at + length] - total[at])
+
+
 def _running(x: np.ndarray, width: int, best) -> np.ndarray:
     """best over x[i : i + width] at each i (shorter at the end), by doubling."""
     out, size = x.copy(), 1
@@ -121,42 +138,64 @@ def _by_key(keys: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, np.ndar
         yield int(keys[a]), places[a:b]
 
 
-def _pack(h: np.ndarray, keys: np.ndarray, places: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def _pack(h: np.ndarray, bucket: np.ndarray, keys: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Settle hashes that two records of this task share; send the rest, one entry for each
-    settled hash, in buckets by hash. Settled places travel along in rows without hashes."""
+    settled hash, by bucket. Settled places travel along in rows without hashes."""
     if not len(h):
         return
-    order = np.argsort(h, kind="stable")
-    starts = _runs(h[order])
+    order = np.lexsort((h, bucket))
+    new = (h[order][1:] != h[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
+    starts = np.concatenate(([0], np.flatnonzero(new) + 1, [len(h)]))
     several, first = np.zeros(len(h), bool), np.zeros(len(h), bool)
     several[order] = np.repeat(_several(keys[order], starts), np.diff(starts))
     first[order[starts[:-1]]] = True
-    send = ~several | first  # the entries stay in the order of the texts, in which keys and places compress
-    where = (h % np.uint64(buckets)).astype(np.int32)
+    send = ~several | first
     rows = {k: [] for k in ("bucket", "hashes", "keys", "places", "many")}
-    for b in range(buckets):
-        at = np.flatnonzero(send & (where == b))
-        settled = np.flatnonzero(several & (where == b))
-        for bucket, i, with_hash in ((b, at, True), (b, settled, False)):
-            if len(i):
-                rows["bucket"].append(bucket)
-                rows["hashes"].append(h[i].tobytes() if with_hash else None)
-                rows["keys"].append(_plane(keys[i]))
-                rows["places"].append(_plane(places[i]))
-                rows["many"].append(several[i].tobytes() if with_hash else None)
-    yield pa.RecordBatch.from_pydict(rows, pa.schema([("bucket", pa.int32()), *[(k, pa.binary()) for k in ("hashes", "keys", "places", "many")]]))
+    for chosen, with_hash in ((send, True), (several, False)):
+        at = np.flatnonzero(chosen)
+        at = at[np.argsort(bucket[at], kind="stable")]  # within a bucket in the order of the texts, in which keys and places compress
+        cuts = _runs(bucket[at]) if len(at) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            i = at[a:b]
+            rows["bucket"].append(bucket[i[0]])
+            rows["hashes"].append(h[i].tobytes() if with_hash else None)
+            rows["keys"].append(_plane(keys[i]))
+            rows["places"].append(_plane(places[i]))
+            rows["many"].append(several[i].tobytes() if with_hash else None)
+            if len(rows["bucket"]) == 1000:
+                yield _packed_rows(rows)
+                rows = {k: [] for k in rows}
+    if rows["bucket"]:
+        yield _packed_rows(rows)
+
+
+def _packed_rows(rows: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(rows, pa.schema([("bucket", pa.int32()), *[(k, pa.binary()) for k in ("hashes", "keys", "places", "many")]]))
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One partition of buckets: which windows occur in two records, by record."""
-    parts, done = [], []
+    """Which windows occur in two records, by record: rows come in order of their bucket, and
+    each bucket is settled when it is complete."""
+    bucket, held = None, []
     for batch in batches:
         for r in batch.to_pylist():
-            row = _unplane(r["keys"], np.int64), _unplane(r["places"], np.int32)
-            if r["hashes"] is None:
-                done.append(row)
-            else:
-                parts.append((np.frombuffer(r["hashes"], np.uint64), *row, np.frombuffer(r["many"], bool)))
+            if held and r["bucket"] != bucket:
+                yield from _settled(held)
+                held = []
+            bucket = r["bucket"]
+            held.append(r)
+    if held:
+        yield from _settled(held)
+
+
+def _settled(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    parts, done = [], []
+    for r in rows:
+        row = _unplane(r["keys"], np.int64), _unplane(r["places"], np.int32)
+        if r["hashes"] is None:
+            done.append(row)
+        else:
+            parts.append((np.frombuffer(r["hashes"], np.uint64), *row, np.frombuffer(r["many"], bool)))
     if parts:
         h, keys, places, many = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(h, kind="stable")
@@ -214,13 +253,14 @@ def _level(length: int, min_len: int, before: int | None, buckets: int):
                 owner = np.searchsorted(begins, at, side="right") - 1
                 while len(sizes) and (empty := sizes[owner] == 0).any():  # empty texts share a begin with the next
                     owner = owner - empty
-                held.append((h[at], keys[i + owner].astype(np.int64), (at - begins[owner]).astype(np.int32)))
+                bucket = (window_sums(points, length, at) % np.uint64(buckets)).astype(np.int32)
+                held.append((h[at], bucket, keys[i + owner].astype(np.int64), (at - begins[owner]).astype(np.int32)))
                 n += len(at)
                 if n >= FLUSH:
-                    yield from _pack(*(np.concatenate(x) for x in zip(*held)), buckets)
+                    yield from _pack(*(np.concatenate(x) for x in zip(*held)))
                     held, n = [], 0
         if held:
-            yield from _pack(*(np.concatenate(x) for x in zip(*held)), buckets)
+            yield from _pack(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
@@ -251,7 +291,6 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of ``min_len`` characters which another record holds too. ``start`` is the window length
     of the first level, doubled until ``min_len`` (default: half of it)."""
     spark = docs.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).where(
         F.col("key").isNotNull() & (F.length("text") >= min_len)
     )
@@ -261,6 +300,9 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lengths = [min_len]
     while lengths[0] > (start or max(1, min_len // 2)):
         lengths.insert(0, (lengths[0] + 1) // 2)
+    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET))
+    tasks = min(buckets, MOST_TASKS)
     found = None
     for i, length in enumerate(lengths):
         before = lengths[i - 1] if i else None
@@ -269,7 +311,8 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         else:
             work = texts.hint("merge").join(found, "key").select("key", "text", "found")
         packed = work.mapInArrow(_level(length, min_len, before, buckets), _PACKED)
-        places = packed.repartition(buckets, "bucket").mapInArrow(_settle, _PLACES)
+        spread = packed.repartitionById(tasks, F.pmod("bucket", F.lit(tasks))).sortWithinPartitions("bucket")
+        places = spread.mapInArrow(_settle, _PLACES)
         found = places.groupBy("key").agg(F.collect_list("places").alias("found"))
     spans = found.mapInArrow(_to_spans(min_len), "rep long, span_start long, span_end long")
     by_rep = groups.where("copied").select("rep", F.lit(0).cast("long").alias("span_start"), F.col("n_chars").alias("span_end")).unionByName(
