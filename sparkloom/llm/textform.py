@@ -48,7 +48,6 @@ OTHER_INVISIBLE = "͏ᅟᅠ឴឵ㅤﾠ"
 FOLD_FROM, FOLD_TO = "".join(ARABIC_FOLDS), "".join(ARABIC_FOLDS.values())
 
 _MARKS = re.compile(f"[{ARABIC_MARKS}{TATWEEL}]+")
-_FOLDS = str.maketrans(ARABIC_FOLDS)
 _WORD = re.compile(r"[^\W_]+")
 _LATIN = re.compile(r"[\x00-\x7f]*")
 
@@ -80,11 +79,32 @@ class _Plain(dict):
 _PLAIN = _Plain()
 
 
+class _Formed(dict):
+    """What a character becomes on its own, composed: composing a text of such parts gives the
+    same as composing its decomposed parts, and most texts are then composed already."""
+
+    def __missing__(self, point: int) -> str:
+        got = self[point] = unicodedata.normalize("NFC", _PLAIN[point])
+        return got
+
+
+_FORMED = _Formed()
+
+
+class _Folds(dict):
+    def __missing__(self, point: int) -> int:  # held, as a failed lookup costs more than one that succeeds
+        self[point] = point
+        return point
+
+
+_FOLDS = _Folds(str.maketrans(ARABIC_FOLDS))
+
+
 def before_folding(text: str) -> str:
     """The form with Arabic letters and marks as they are: for telling languages apart."""
     if text.isascii():
         return " ".join(text.split())
-    return " ".join(unicodedata.normalize("NFC", text.translate(_PLAIN)).split(" "))
+    return " ".join(unicodedata.normalize("NFC", text.translate(_FORMED)).split(" "))
 
 
 def consistent_form(text: str | None) -> str | None:
@@ -92,8 +112,8 @@ def consistent_form(text: str | None) -> str | None:
     if text is None:
         return None
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text.translate(_PLAIN))
-        if _MARKS.search(text):
+        text = unicodedata.normalize("NFC", text.translate(_FORMED))
+        if any(mark in text for mark in COMPOSING):  # the other marks are gone by now
             text = unicodedata.normalize("NFC", _MARKS.sub("", text))
         text = text.translate(_FOLDS)
     return " ".join(text.split())
