@@ -5,8 +5,9 @@ content-chosen places (the smallest hash among the windows that fit into ``min_l
 characters), so two records that share ``min_len`` characters share a chosen window. Windows
 repeated in another record mark the stretches in which a shared span can still lie; only
 those are looked at again with windows of twice the length, up to ``min_len`` itself, where
-every position of the surviving stretches is a window. What repeats there is shared, and runs of
-such windows are the maximal spans. Levels end at ``min_len``: windows longer than the span that
+every position of the surviving stretches is a window; before this dense level one at three
+quarters of the length, at chosen places, sieves them once more. What repeats there is shared, and
+runs of such windows are the maximal spans. Levels end at ``min_len``: windows longer than the span that
 is asked for are not needed, as neighbouring windows of that length give the whole run.
 
 Distribution: texts are hashed first and each distinct text is worked on once; all levels read
@@ -101,11 +102,6 @@ def chosen_places(h: np.ndarray, ok: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero((back == h) & (h > 0))
 
 
-def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-    return np.concatenate(parts), np.array([len(p) for p in parts])
-
-
 def _plane(x: np.ndarray) -> bytes:
     """Integers as the byte planes of their differences, which compress well in text order."""
     steps = np.diff(x, prepend=x.dtype.type(0))
@@ -229,32 +225,43 @@ def _level(length: int, min_len: int, before: int | None, buckets: int):
     places that repeated at length ``before``."""
     width = min_len - length + 1
 
+    def stretches(points: np.ndarray, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The parts of a text in which a span can still lie, and the repeated windows in it."""
+        places = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in found])).astype(np.int64)
+        return places, _merged(np.column_stack((np.maximum(0, places - (min_len - before)), np.minimum(len(points), places + min_len))))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            texts, keys = batch.column("text").to_pylist(), batch.column("key").to_numpy(zero_copy_only=False)
-            earlier = batch.column("found").to_pylist() if before else [None] * len(texts)
+            texts, keys = batch.column("text").to_pylist(), batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
+            earlier = batch.column("found").to_pylist() if before else None
             for i in range(0, len(texts), 256):
-                part = texts[i : i + 256]
-                if not part:
+                parts, owners, begins, repeated = [], [], [], []  # parts of texts, their texts, their places in them
+                for j, t in enumerate(texts[i : i + 256], i):
+                    points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+                    if len(points) < min_len:
+                        continue
+                    places, spans = stretches(points, earlier[j]) if before else (None, [(0, len(points))])
+                    for a, b in spans:
+                        parts.append(points[a:b]), owners.append(j), begins.append(a)
+                        if before:
+                            mark = np.zeros(b - a, bool)
+                            mark[places[np.searchsorted(places, a) : np.searchsorted(places, b)] - a] = True
+                            repeated.append(mark)
+                if not parts:
                     continue
-                points, sizes = _points(part)
-                begins = np.cumsum(sizes) - sizes
+                points, sizes = np.concatenate(parts), np.array([len(x) for x in parts])
+                at0 = np.cumsum(sizes) - sizes
                 ok = np.zeros(len(points), bool)  # starts of a span of min_len characters that can be shared
-                repeated = np.zeros(len(points), bool)  # windows that occur elsewhere at the length before
-                for begin, size, found in zip(begins, sizes, earlier[i : i + 256]):
+                for begin, size in zip(at0, sizes):
                     ok[begin : max(begin, begin + size - min_len + 1)] = True
-                    for x in found or ():
-                        repeated[begin + np.frombuffer(x, np.int32)] = True
                 if before:
-                    ok &= _chosen_repeats(window_hashes(points, before), repeated, min_len - before + 1)
+                    ok &= _chosen_repeats(window_hashes(points, before), np.concatenate(repeated), min_len - before + 1)
                 h = window_hashes(points, length)
                 at = chosen_places(h, ok, width)
-                owner = np.searchsorted(begins, at, side="right") - 1
-                while len(sizes) and (empty := sizes[owner] == 0).any():  # empty texts share a begin with the next
-                    owner = owner - empty
+                part = np.searchsorted(at0, at, side="right") - 1
                 bucket = (window_sums(points, length, at) % np.uint64(buckets)).astype(np.int32)
-                held.append((h[at], bucket, keys[i + owner].astype(np.int64), (at - begins[owner]).astype(np.int32)))
+                held.append((h[at], bucket, keys[np.array(owners)[part]], (at - at0[part] + np.array(begins)[part]).astype(np.int32)))
                 n += len(at)
                 if n >= FLUSH:
                     yield from _pack(*(np.concatenate(x) for x in zip(*held)))
@@ -300,6 +307,8 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lengths = [min_len]
     while lengths[0] > (start or max(1, min_len // 2)):
         lengths.insert(0, (lengths[0] + 1) // 2)
+    if len(lengths) > 1 and lengths[-2] < (sieve := min_len - min_len // 4):
+        lengths.insert(-1, sieve)
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET))
     tasks = min(buckets, MOST_TASKS)
