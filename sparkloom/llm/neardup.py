@@ -1,19 +1,27 @@
 """Near-duplicate records with small edits (problem 3).
 
-Inverted index over word shingles with exact filters. The shingles of a record are put in one
-order for all records, rare ones first, and the record is posted under the first n - ceil(t n) + 1
-of its n shingles: two records of Jaccard similarity t or more share one of these, whatever the
-order. Within a list each pair is held against three bounds that no pair at the threshold fails:
-the ratio of the sizes, the shingles left behind the place at which they meet, and the places in
-which parity sketches differ (at most the size of the symmetric difference). What remains is
-verified on the shingle sets. No pair at or over the threshold is lost.
-
-Distribution: records with equal shingle sets are collapsed first by digest, so copies, however
-many, post once; no list is cut. The order comes from a sample of the records, of which at most
-``FREQUENT`` counts reach the driver; it decides the length of the lists, never the result. A list
-is read by one task in blocks of pairs. Work follows the pairs that share a shingle among their
-rarest, so on texts of a closed set of phrases it grows faster than the number of records. Texts are
-never shuffled, and shingle sets only for the records in retained pairs.
+Byte-position inverted index with count filtering. A record is seen as a sparse array of bytes
+over 2**24 positions: the 32-bit hash of each of its distinct word shingles gives a position and
+the byte there, so edits, insertions and moved passages change only the bytes of the shingles
+they touch. All positional bytes are put in one order, rare ones first, and a record of n of them
+is posted under its first n - o + c, where o = ceil(t n) is what it shares at least with any
+record of Jaccard similarity t or more. Two such records then share at least c of the posted
+positional bytes (all they share, if that is fewer): the guaranteed minimum. Shared positional bytes
+are tallied for each pair over all lists, pairs that reach the minimum are retained, and these are
+verified on the whole sets. No pair at or over the threshold is lost.
+
+Within a list a pair is counted only if it passes bounds that no pair at the threshold fails: the
+ratio of the sizes, the bytes left behind the place at which they meet, and the places in which
+parity sketches differ (at most the size of the symmetric difference).
+
+Distribution: records with equal sets are collapsed first by digest, so copies, however many,
+post once. The order comes from counts over all records in ``SLOTS`` slots of positional bytes (4
+MB, whatever the data). Postings travel packed, in buckets whose number follows the counted
+postings. A list that may hold more than ``LIST`` records is cut into groups before it is sent,
+and each pair of groups is a cell of its own in some bucket, so a byte that a third of all
+records hold is many tasks' work; no list is shortened. Texts are never shuffled, sets only for
+records in retained pairs. Work follows the pairs that share a rare positional byte, so on texts of
+a closed set of phrases it grows faster than the number of records.
 
 Edge cases: null or blank texts and texts with fewer than ``least`` distinct shingles are left
 out (``short_members`` gives them classes); records with the same id are one record; further columns are ignored.
@@ -22,60 +30,62 @@ out (``short_members`` gives them classes); records with the same id are one rec
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected, stage
 from .textform import words
 
+SLOTS, BLOCKS = 1 << 20, 64  # counts of positional bytes, and the parts in which they are added up
+LEAST_SHARED = 3  # posted positional bytes that a pair must share
 BITS, WIDE = 512, 80  # of the parity sketch; up to so many shingles it is folded to half
-SAMPLE, FREQUENT = 8_000, 200_000  # records whose shingles are counted for the order, counts kept
+LIST = 20_000  # records of one list that one task compares
+POSTS, FLUSH, MOST_TASKS = 250_000, 1_000_000, 20_000  # postings a bucket, held by a task, tasks of the exchange
 BLOCK = 500_000  # pairs looked at together
 SLACK = 1e-6  # bounds are loosened by this, so rounding drops no pair
-_FEATURES = "id long, name string, digest binary, n int, prefix int, keys array<int>, sketch array<long>"
-_POSTS = ["key", "id", "n", "at", *[f"s{i}" for i in range(BITS // 64)]]
+_FEATURES = "id long, name string, digest binary, n int, keys binary, sketch binary"
+_POSTS = "bucket int, keys binary, cells binary, owners binary, places binary, ids binary, sizes binary, sketches binary"
+_PAIRS = "a long, b long, shared long, need int"
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 2_000_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
 
 
 class Shingler:
-    """Hashes of the distinct runs of ``size`` consecutive words of a text, as sorted uint32
-    (two different runs of one record share a value once in 4 billion)."""
+    """Hashes of the distinct runs of ``size`` consecutive words of texts, as uint32 (two different
+    runs of one record share a value once in 4 billion)."""
 
     def __init__(self, size: int):
-        self.size, self.known = size, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        w = words(text)
-        n = len(w) - self.size + 1
+        self.size, self.known = size, _Hashes()
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(values, owners): the sorted values of each text, with the number of their text."""
+        lists = [words(t) for t in texts]
+        many = np.array([len(w) for w in lists], np.int64)
+        h = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.uint64, int(many.sum()))
+        n = len(h) - self.size + 1
         if n < 1:
-            return np.zeros(0, np.uint32)
-        if len(self.known) > 2_000_000:
-            self.known.clear()
-        known, out = self.known, []
-        for x in w:
-            h = known.get(x)
-            if h is None:
-                h = known[x] = xxhash.xxh64_intdigest(x)
-            out.append(h)
-        h = np.array(out, np.uint64)
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         with np.errstate(over="ignore"):
             run = h[:n].copy()
             for i in range(1, self.size):
                 run = (run ^ (run >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
             run ^= run >> np.uint64(32)
             run *= np.uint64(0xBF58476D1CE4E5B9)
-        return np.unique((run >> np.uint64(32)).astype(np.uint32))
-
-
-def _order(every: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """How often each shingle occurs in the sample; 0 for those that are not frequent."""
-    if not len(frequent):
-        return np.zeros(len(every), np.int64)
-    at = np.minimum(np.searchsorted(frequent, every), len(frequent) - 1)
-    return np.where(frequent[at] == every, counts[at], 0)
+        owner = np.repeat(np.arange(len(lists)), many)
+        whole = owner[:n] == owner[self.size - 1 :]  # the run ends in the text in which it begins
+        both = np.unique((owner[:n][whole].astype(np.uint64) << np.uint64(32)) | (run[whole] >> np.uint64(32)))
+        return (both & np.uint64(0xFFFFFFFF)).astype(np.uint32), (both >> np.uint64(32)).astype(np.int64)
 
 
 def _parity(every: np.ndarray, owner: np.ndarray, records: int) -> np.ndarray:
@@ -87,53 +97,165 @@ def _parity(every: np.ndarray, owner: np.ndarray, records: int) -> np.ndarray:
     small = np.bincount(owner, minlength=records) <= WIDE
     odd[small, : BITS // 2] ^= odd[small, BITS // 2 :]
     odd[small, BITS // 2 :] = 0
-    return np.ascontiguousarray(np.packbits(odd.astype(np.uint8), axis=1)).view(np.int64)
+    return np.packbits(odd.astype(np.uint8), axis=1)
 
 
-def _features(size: int, threshold: float, least: int, frequent: np.ndarray, counts: np.ndarray):
+def _binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Slices of ``values`` that end at ``ends`` as binary values."""
+    offsets = np.append(0, ends).astype(np.int64) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+
+
+def _features(size: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(size)
         for batch in batches:
-            ids, names, texts = (batch.column(i).to_pylist() for i in range(3))
-            for i in range(0, len(ids), 500):
-                got = [(a, b, s) for a, b, t in zip(ids[i : i + 500], names[i : i + 500], texts[i : i + 500]) if len(s := shingles(t)) >= max(least, 1)]
-                if not got:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                every, owner = shingles(part.column("text").to_pylist())
+                n = np.bincount(owner, minlength=part.num_rows)
+                at = np.flatnonzero(n >= max(least, 1))
+                if not len(at):
                     continue
-                n = np.array([len(s) for _, _, s in got])
-                every, owner = np.concatenate([s for _, _, s in got]), np.repeat(np.arange(len(got)), n)
-                prefix = n - np.ceil(threshold * n - SLACK).astype(np.int64) + 1
-                sort = np.lexsort((every, _order(every, frequent, counts), owner))
-                keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(every[sort].view(np.int32), pa.int32()))
+                kept = np.isin(owner, at)
+                every, owner, n = every[kept], np.searchsorted(at, owner[kept]), n[at]
+                sketch, ends = _parity(every, owner, len(at)), np.cumsum(n)
+                digests = [xxhash.xxh128_digest(every[b - m : b].tobytes()) for b, m in zip(ends, n)]
+                rows = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([a for a, _, _ in got], pa.int64()), pa.array([b for _, b, _ in got], pa.string()),
-                        pa.array([xxhash.xxh128_digest(s.tobytes()) for _, _, s in got], pa.binary()), pa.array(n, pa.int32()),
-                        pa.array(prefix, pa.int32()), keys, pa.array(list(_parity(every, owner, len(got))), pa.list_(pa.int64())),
-                    ],
-                    ["id", "name", "digest", "n", "prefix", "keys", "sketch"],
+                    [part.column("id").take(rows), part.column("name").take(rows), pa.array(digests, pa.binary()), pa.array(n, pa.int32()),
+                     _binaries(every, ends), _binaries(sketch.ravel(), np.arange(1, len(at) + 1) * (BITS // 8))],
+                    ["id", "name", "digest", "n", "keys", "sketch"],
                 )
 
     return run
 
 
-def _met(threshold: float):
-    """Pairs of postings of one key that pass every bound, from rows in order of key and n."""
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return keys >> np.uint32(32 - SLOTS.bit_length() + 1)
+
+
+def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            held += np.bincount(_slot(np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint32)), minlength=SLOTS)
+    parts = np.minimum(held, 2**31 - 1).astype(np.int32).reshape(BLOCKS, -1)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "counts"])
+
+
+def _added(group: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in group.column("counts").to_pylist())
+    return pa.table([pa.array([group.column("block")[0].as_py()], pa.int32()), pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], ["block", "counts"])
+
+
+def slot_counts(features: DataFrame) -> np.ndarray:
+    """How many positional bytes of all records fall into each of ``SLOTS`` slots (4 MB)."""
+    sums = features.select("keys").mapInArrow(_tallies, "block int, counts binary").groupBy("block").applyInArrow(_added, "block int, counts binary")
+    return np.frombuffer(b"".join(r["counts"] for r in sorted(sums.collect(), key=lambda r: r["block"])) or bytes(4 * SLOTS), np.int32)
+
+
+def shared_at_least(n: np.ndarray, threshold: float) -> np.ndarray:
+    """How many of its n shingles a record shares at least with one at the threshold."""
+    return np.ceil(threshold * n - SLACK).astype(np.int64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _posted(threshold: float, counts: np.ndarray, least_shared: int, buckets: int, most: int):
+    groups = -(-np.maximum(counts, 1).astype(np.int64) // most)  # into which the lists of a slot are cut
+
+    def pack(ids: np.ndarray, n: np.ndarray, sketches: np.ndarray, every: np.ndarray) -> Iterator[pa.RecordBatch]:
+        owner = np.repeat(np.arange(len(n)), n)
+        sort = np.lexsort((every, counts[_slot(every)], owner))
+        at = np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n)
+        needed = shared_at_least(n, threshold)
+        taken = at < (n - needed + np.minimum(least_shared, needed))[owner]
+        keys, owner, at = every[sort][taken], owner[taken], at[taken]
+        cells = np.zeros(len(keys), np.uint32)  # 0: the whole list; else 1 + 4 * (lower * groups + upper) + side
+        many = groups[_slot(keys)]
+        if (many > 1).any():  # a copy for each group of the list, its own included
+            hot = np.repeat(np.arange(len(keys)), many)
+            g = many[hot].astype(np.int64)
+            mine = (_mixed(ids[owner[hot]].astype(np.uint64)) % g.astype(np.uint64)).astype(np.int64)
+            its = np.arange(len(hot)) - np.repeat(np.cumsum(many) - many, many)
+            side = np.where(mine == its, 2, np.where(mine < its, 0, 1))
+            cells = np.where(g > 1, 1 + 4 * (np.minimum(mine, its) * g + np.maximum(mine, its)) + side, 0).astype(np.uint32)
+            keys, owner, at = keys[hot], owner[hot], at[hot]
+        place = _mixed((keys.astype(np.uint64) << np.uint64(32)) | ((cells.astype(np.uint64) + np.uint64(3)) >> np.uint64(2)))
+        bucket = (place % np.uint64(buckets)).astype(np.int64)
+        sort = np.argsort(bucket, kind="stable")
+        bucket, keys, cells, owner, at = bucket[sort], keys[sort], cells[sort], owner[sort], at[sort]
+        cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)])) if len(bucket) else [0]
+        rows = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            which, back = np.unique(owner[a:b], return_inverse=True)
+            rows.append((int(bucket[a]), keys[a:b].tobytes(), cells[a:b].tobytes(), back.astype(np.int32).tobytes(), at[a:b].astype(np.int32).tobytes(), ids[which].tobytes(), n[which].astype(np.int32).tobytes(), sketches[which].tobytes()))
+        for i in range(0, len(rows), 1000):
+            cols = list(zip(*rows[i : i + 1000]))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], [x.split()[0] for x in _POSTS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush():
+            ids, n, sketches, every = (np.concatenate(x) for x in zip(*held))
+            yield from pack(ids, n, sketches.reshape(-1, BITS // 8), every)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                held.append((
+                    part.column("id").to_numpy(), part.column("n").to_numpy().astype(np.int64),
+                    np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8), np.frombuffer(b"".join(part.column("keys").to_pylist()), np.uint32),
+                ))
+                size += len(held[-1][3])
+                if size >= FLUSH:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _met(threshold: float, least_shared: int):
+    """The tally of one partition of buckets, which come one after the other: for each pair that
+    passes every bound, in how many lists of the bucket it meets, and in how many it must."""
     least, most = threshold / (1 + threshold), (1 - threshold) / (1 + threshold)  # of both sizes: shared, different
 
-    def differ(sketch: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return sum(np.bitwise_count((s[a] ^ s[b]).view(np.uint64)).astype(np.int64) for s in sketch)
-
-    def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(rows)
-        key, ids, n, at, *sketch = (whole.column(c).to_numpy().astype(np.int64) for c in _POSTS)
-        half = len(sketch) // 2
-        folded = [x ^ y for x, y in zip(sketch[:half], sketch[half:])]
-        line = key * (1 << 31) + n
-        here = np.arange(len(key))
-        end = np.searchsorted(line, key * (1 << 31) + np.floor(n / threshold + SLACK).astype(np.int64), "right")
-        left = here[(n - at >= 2 * least * n - SLACK) & (end > here + 1)]  # the smaller of two
+    def differ(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64)
+
+    def pairs(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        read = lambda c, kind: [np.frombuffer(r[c], kind) for r in rows]
+        owners, ids = read("owners", np.int32), read("ids", np.int64)
+        begins = np.cumsum([0, *map(len, ids[:-1])])
+        owner = np.concatenate([o + b for o, b in zip(owners, begins)])
+        ids, sizes = np.concatenate(ids), np.concatenate(read("sizes", np.int32)).astype(np.int64)
+        sketch = np.concatenate(read("sketches", np.uint64)).reshape(len(ids), -1)
+        half = sketch.shape[1] // 2
+        folded = sketch[:, :half] ^ sketch[:, half:]
+        key, cell, at = np.concatenate(read("keys", np.uint32)), np.concatenate(read("cells", np.uint32)), np.concatenate(read("places", np.int32)).astype(np.int64)
+        side = np.where(cell > 0, (cell.astype(np.int64) - 1) & 3, 2)
+        line = (key.astype(np.uint64) << np.uint64(32)) | ((cell.astype(np.uint64) + np.uint64(3)) >> np.uint64(2))
+        sort = np.lexsort((owner, sizes[owner], line))
+        line, owner, at, side = line[sort], owner[sort], at[sort], side[sort]
+        n = sizes[owner]
+        new = np.concatenate(([True], line[1:] != line[:-1]))
+        lists = np.cumsum(new)
+        wide = int(n.max()) + 2
+        end = np.searchsorted(lists * wide + n, lists * wide + np.minimum(np.floor(n / threshold + SLACK).astype(np.int64), wide - 1), "right")
+        here, extra = np.arange(len(line)), least_shared - 1  # a list need not be the first in which a pair meets
+        left = here[(n - at + extra >= 2 * least * n - SLACK) & (end > here + 1)]  # the smaller of two
         many = end[left] - left - 1
         total = np.cumsum(many)
+        needed = np.minimum(shared_at_least(sizes, threshold), least_shared)
         i = 0
         while i < len(left):
             until = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + BLOCK, "right")))
@@ -141,82 +263,82 @@ def _met(threshold: float):
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
             i = until
             both = n[a] + n[b]
-            ok = np.minimum(n[a] - at[a], n[b] - at[b]) >= least * both - SLACK
-            a, b, both = a[ok], b[ok], both[ok]
+            ok = np.minimum(n[a] - at[a], n[b] - at[b]) + extra >= least * both - SLACK
+            ok &= (side[a] == 2) | (side[a] != side[b])
+            a, b, both = owner[a[ok]], owner[b[ok]], both[ok]
             ok = differ(folded, a, b) <= most * both + SLACK
             a, b, both = a[ok], b[ok], both[ok]
-            ok = (np.minimum(n[a], n[b]) <= WIDE) | (differ(sketch, a, b) <= most * both + SLACK)
+            ok = (np.minimum(sizes[a], sizes[b]) <= WIDE) | (differ(sketch, a, b) <= most * both + SLACK)
+            ok &= ids[a] != ids[b]
             if ok.any():
-                x, y = ids[a[ok]], ids[b[ok]]
-                found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
+                a, b = a[ok], b[ok]
+                need = np.minimum(needed[a], needed[b])
+                swap = ids[a] > ids[b]
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+                found, first, shared = np.unique(a * len(ids) + b, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[found // len(ids)]), pa.array(ids[found % len(ids)]), pa.array(shared, pa.int64()), pa.array(need[first], pa.int32())], ["a", "b", "shared", "need"]
+                )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        bucket, held = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
-            if cut or (held and held[-1].column("key")[-1].as_py() != key[0]):
-                yield from pairs([*held, batch.slice(0, cut)])
-                held = []
-            held.append(batch.slice(cut))
+            for r in batch.to_pylist():
+                if held and r["bucket"] != bucket:
+                    yield from pairs(held)
+                    held = []
+                bucket = r["bucket"]
+                held.append(r)
         if held:
             yield from pairs(held)
 
     return run
 
 
-def _frequent(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur most often in a sample of the records, ascending, and their counts."""
-    step = max(1, rows.count() // SAMPLE)
-    sets = rows.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("id", "text").mapInArrow(_sets(size), "id long, shingles array<long>")
-    counts = sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
-    s, n = counts["s"].to_numpy().astype(np.uint32), counts["n"].to_numpy().astype(np.int64)
-    sort = np.argsort(s)
-    return s[sort], n[sort]
-
-
-def _sets(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(size)
-        for batch in batches:
-            sets = [shingles(t).astype(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
-
-    return run
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, shared, either) from pairs with both sets."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 2000):
+            part = batch.slice(i, 2000)
 
+            def marked(c: str, part=part) -> tuple[np.ndarray, np.ndarray]:
+                sets = [np.frombuffer(x, np.uint32) for x in part.column(c).to_pylist()]
+                n = np.array([len(x) for x in sets])
+                return (np.repeat(np.arange(len(sets)), n).astype(np.uint64) << np.uint64(32)) | np.concatenate(sets), n
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """How many of the 6 low bytes of two longs are equal."""
-    low, high = F.lit(0x7F7F7F7F7F7F), F.lit(0x808080808080)
-    x = a.bitwiseXOR(b)
-    return F.lit(6) - F.bit_count((x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseAND(high))
+            if part.num_rows:
+                (x, nx), (y, ny) = marked("x"), marked("y")
+                shared = np.bincount((np.intersect1d(x, y, assume_unique=True) >> np.uint64(32)).astype(np.int64), minlength=part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(shared, pa.int64()), pa.array(nx + ny - shared, pa.int64())], ["a", "b", "shared", "either"])
 
 
 def near_duplicates(
-    records: DataFrame, id_col: str, name_col: str, text_col: str, size: int = 5, threshold: float = 0.8, least: int = 1
+    records: DataFrame, id_col: str, name_col: str, text_col: str, size: int = 5, threshold: float = 0.8, least: int = 1, least_shared: int = LEAST_SHARED, most: int = LIST
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links): ``members`` (name, rep) gives each record its class of equal shingle
     sets, represented by the smallest id; ``links`` (a, b, shared, similarity), a < b, are the
     pairs of representatives whose Jaccard similarity over word shingles is at least
-    ``threshold``. ``id_col`` is a unique number, ``name_col`` the record's name."""
+    ``threshold``. ``id_col`` is a unique number, ``name_col`` the record's name; ``most`` is the
+    length from which a list is cut into groups."""
+    spark = records.sparkSession
     rows = records.select(F.col(id_col).cast("long").alias("id"), F.col(name_col).cast("string").alias("name"), F.col(text_col).alias("text")).where(
         F.col("id").isNotNull() & F.col("name").isNotNull() & F.col("text").isNotNull()
     )
-    feats = stage(rows.mapInArrow(_features(size, threshold, least, *_frequent(rows, size)), _FEATURES), "features")
+    feats = stage(rows.mapInArrow(_features(size, least), _FEATURES), "features")
     classes = feats.groupBy("digest").agg(F.min("id").alias("rep"))
     members = feats.select("digest", "name").join(classes, "digest").select("name", "rep").distinct()
-    reps = feats.join(classes.select(F.col("rep").alias("id")), "id").dropDuplicates(["id"])
-    posts = reps.select("id", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(BITS // 64)], F.posexplode(F.slice("keys", F.lit(1), F.col("prefix"))).alias("at", "key"))
-    lists = posts.select(_POSTS).repartition("key").sortWithinPartitions("key", "n", "id")
-    kept = stage(lists.mapInArrow(_met(threshold), "a long, b long").distinct(), "pairs")
+    reps = feats.select("id", "n", "keys", "sketch").join(classes.select(F.col("rep").alias("id")), "id").dropDuplicates(["id"])
+    posts = feats.agg(F.sum(F.col("n") - F.ceil(threshold * F.col("n")) + least_shared)).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(posts) // POSTS))
+    tasks = min(buckets, MOST_TASKS)
+    packed = reps.mapInArrow(_posted(threshold, slot_counts(feats), least_shared, buckets, most), _POSTS)
+    lists = packed.repartitionById(tasks, F.pmod("bucket", F.lit(tasks))).sortWithinPartitions("bucket")
+    tally = lists.mapInArrow(_met(threshold, least_shared), _PAIRS).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
+    kept = stage(tally.where("shared >= need").select("a", "b"), "pairs")
     concerned = kept.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = reps.join(concerned, "id").select("id", F.col("keys").alias("shingles"))
-    both = kept.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    links = both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("either"))
+    sets = feats.select("id", "keys").join(concerned, "id").dropDuplicates(["id"])
+    both = kept.join(sets.select(F.col("id").alias("a"), F.col("keys").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("keys").alias("y")), "b")
+    links = both.mapInArrow(_verified, "a long, b long, shared long, either long")
     return members, links.where(F.col("shared") >= threshold * F.col("either")).select("a", "b", "shared", (F.col("shared") / F.col("either")).alias("similarity"))
 
 
