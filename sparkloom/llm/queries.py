@@ -85,8 +85,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "chunks").select("id", "original_text", "normalized_text")
-    rows = textform.with_forms(textform.with_forms(rows, "original_text", "original_form"), "normalized_text", "normalized_form")
-    return rows.select("id", "original_form", "normalized_form")
+    return textform.with_forms(rows, {"original_text": "original_form", "normalized_text": "normalized_form"}).select("id", "original_form", "normalized_form")
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:

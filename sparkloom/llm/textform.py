@@ -153,7 +153,7 @@ def _decompositions() -> list[tuple[str, list[tuple[str, int]]]]:
 def _compositions() -> dict[str, str]:
     out = {}
     for point in range(0x110000):
-        if 0xD800 <= point <= 0xDFFF or 0xAC00 <= point <= 0xD7A3:
+        if 0xD800 <= point <= 0xDFFF or 0xAC00 <= point <= 0xD7A3:  # Hangul syllables are composed by arithmetic
             continue
         parts = unicodedata.decomposition(ch := chr(point)).split()
         if len(parts) == 2 and parts[0][0] != "<" and unicodedata.normalize("NFC", ch) == ch:
@@ -182,7 +182,9 @@ def _untouched() -> str:
 
 
 USUAL = "aé،غبلپ中"
-_FOLLOW = r"\p{M}\p{Cf}\x{0640}\x{034f}\x{115f}-\x{11ff}\x{17b4}\x{17b5}\x{3164}\x{ffa0}\x{e0100}-\x{e01ef}"
+# What may join the character before it: marks, invisible characters, and Hangul letters in their
+# conjoining, compatibility and half-width forms.
+_FOLLOW = r"\p{M}\p{Cf}\x{0640}\x{034f}\x{115f}-\x{11ff}\x{17b4}\x{17b5}\x{3131}-\x{318e}\x{ffa0}-\x{ffdc}\x{e0100}-\x{e01ef}"
 
 
 def rebuilt_pieces(pieces: DataFrame) -> DataFrame:
@@ -208,9 +210,19 @@ def rebuilt_pieces(pieces: DataFrame) -> DataFrame:
     return ordered.select("piece", text.alias("plain"))
 
 
+def _hangul(starter: Column, c: Column) -> Column:
+    """The syllable of a leading letter and a vowel, or of such a syllable and a final letter, by
+    Unicode's arithmetic; null for anything else."""
+    a, b = F.ascii(starter), F.ascii(c)
+    vowel = F.when(a.between(0x1100, 0x1112) & b.between(0x1161, 0x1175), 0xAC00 + ((a - 0x1100) * 21 + (b - 0x1161)) * 28)
+    final = F.when(a.between(0xAC00, 0xD7A3) & ((a - 0xAC00) % 28 == 0) & b.between(0x11A8, 0x11C2), a + b - 0x11A7)
+    return F.decode(F.unhex(F.hex(F.coalesce(vowel, final))), "UTF-16BE")
+
+
 def _composed(acc: Column, x: Column, pairs: Column) -> Column:
     free = acc["last"] < x["ccc"]
-    joined = F.when(free & (acc["starter"] != ""), F.try_element_at(pairs, F.concat(acc["starter"], x["c"])))
+    both = F.when(F.ascii(x["c"]).between(0x1161, 0x11C2), _hangul(acc["starter"], x["c"])).otherwise(F.try_element_at(pairs, F.concat(acc["starter"], x["c"])))
+    joined = F.when(free & (acc["starter"] != ""), both)
     one = F.coalesce(joined, F.when(x["ccc"] == 0, x["c"]), acc["starter"])
     new = joined.isNull() & (x["ccc"] == 0)
     kept = joined.isNull() & (x["ccc"] != 0) & ~x["c"].isin(*COMPOSING)
@@ -227,7 +239,7 @@ def _folded(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, FOLD_FROM, FOLD_TO), r"[\x09-\x0d\x1c-\x1f\x20]+", " "))
 
 
-DICTIONARY = 200_000  # pieces up to which their dictionary is broadcast (under 20 MB); above, it is joined by shuffle
+DICTIONARY = 16 << 20  # bytes of distinct pieces and their forms up to which these are broadcast; above, they are joined by shuffle
 
 
 def needs_mapping(text: Column) -> Column:
@@ -243,7 +255,8 @@ def mapped_forms(texts: DataFrame) -> DataFrame:
     pieces = texts.select("key", F.posexplode(F.expr("regexp_extract_all(text, pattern, 0)".replace("pattern", _sql(f"(?s){plain_run}|.[{_FOLLOW}]*")))).alias("at", "piece"))
     touched = F.col("piece").rlike(f"[^{_untouched()}]")
     known = stage(rebuilt_pieces(pieces.where(touched).select("piece").distinct()), "pieces")
-    if known.count() <= DICTIONARY:
+    size = known.agg(F.sum(F.octet_length("piece") + F.octet_length("plain"))).first()[0]
+    if (size or 0) <= DICTIONARY:
         known = F.broadcast(known)
     parts = pieces.join(known, "piece", "left").select("key", "at", F.coalesce("plain", "piece").alias("plain"))
     joined = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "plain"))).alias("xs"))
@@ -254,32 +267,49 @@ def _sql(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def with_forms(rows: DataFrame, text_col: str, form_col: str) -> DataFrame:
-    """``rows`` with the consistent form of ``text_col`` in ``form_col``. Null stays null, blank
-    becomes empty. Texts that need no mapping never leave their row; of the others each
-    distinct text is rebuilt once, keyed by its digest."""
-    key = F.unhex(F.md5(F.col(text_col)))
-    hard = needs_mapping(F.col(text_col))
-    special = rows.where(hard).select(key.alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
-    forms = mapped_forms(special).select(F.col("key").alias("_key"), F.col("form").alias("_form"))
-    keyed = rows.withColumn("_key", F.when(hard, key))
-    return keyed.join(forms, "_key", "left").withColumn(form_col, F.when(F.col("_key").isNull(), _folded(F.col(text_col))).otherwise(F.col("_form"))).drop("_key", "_form")
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def with_forms(rows: DataFrame, forms: dict[str, str]) -> DataFrame:
+    """``rows`` with the consistent form of each text column of ``forms`` in the column named for
+    it. Null stays null, blank becomes empty. Rows whose texts need no mapping never leave their
+    partition; of the others each distinct text is rebuilt once and joined by its digest (a hot text
+    is one row on its side, and adaptive execution splits the rows that join it)."""
+    hard = {c: F.coalesce(needs_mapping(F.col(c)), F.lit(False)) for c in forms}
+    any_hard = F.lit(False)
+    for h in hard.values():
+        any_hard = any_hard | h
+    light = rows.where(~any_hard).select("*", *[_folded(F.col(c)).alias(f) for c, f in forms.items()])
+    texts = [rows.where(h).select(F.col(c).alias("text")) for c, h in hard.items()]
+    special = texts[0]
+    for more in texts[1:]:
+        special = special.unionByName(more)
+    rebuilt = mapped_forms(stage(special.select(_digest(F.col("text")).alias("key"), "text").dropDuplicates(["key"]), "special"))
+    if len(forms) > 1:
+        rebuilt = stage(rebuilt, "forms")
+    heavy = rows.where(any_hard)
+    for c, f in forms.items():
+        known = rebuilt.select(F.col("key").alias("_key"), F.col("form").alias("_form"))
+        # A text that needs no mapping keeps its digest as the key, which no rebuilt text has: it goes to any partition.
+        heavy = heavy.withColumn("_key", _digest(F.col(c))).join(known, "_key", "left").withColumn(f, F.coalesce("_form", _folded(F.col(c)))).drop("_key", "_form")
+    return light.unionByName(heavy.select(light.columns))
 
 
 def look_alike_pairs(records: DataFrame, name_col: str, text_col: str) -> DataFrame:
     """(name_a, name_b), name_a < name_b: pairs of names whose texts hold a letter, differ, and
     have the same consistent form. Texts are compared by digest; copies of one text are one
-    variant, so only different variants of a form are paired."""
+    variant, so only different variants of a form are paired. The texts are read once: what needs
+    no mapping leaves the scan as two digests."""
     rows = records.select(F.col(name_col).alias("name"), F.col(text_col).alias("text")).where(F.col("name").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    key, hard = F.unhex(F.md5("text")), needs_mapping(F.col("text"))
-    special = rows.where(hard).select(key.alias("key"), "text").dropDuplicates(["key"])
-    forms = mapped_forms(special).select("key", F.unhex(F.md5("form")).alias("mapped"))
-    light = rows.select("name", key.alias("key"), F.when(~hard, F.unhex(F.md5(_folded(F.col("text"))))).alias("form")).distinct()
-    light = stage(light.join(forms, "key", "left").select("name", "key", F.coalesce("form", "mapped").alias("form")), "forms")
-    variants = light.select("form", "key").distinct()
-    several = variants.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("form")
-    variants = variants.join(several, "form")
+    keyed = rows.select("name", "text", _digest(F.col("text")).alias("key"), needs_mapping(F.col("text")).alias("hard"))
+    scan = stage(keyed.select("name", "key", F.when(~F.col("hard"), _digest(_folded(F.col("text")))).alias("form"), F.when(F.col("hard"), F.col("text")).alias("text")), "scan")
+    special = scan.where("form is null").select("key", "text").dropDuplicates(["key"])
+    mapped = mapped_forms(special).select("key", _digest(F.col("form")).alias("form"))
+    texts = scan.where("form is not null").select("key", "form").distinct().unionByName(mapped)  # one row a text
+    several = texts.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("form")
+    variants = stage(texts.join(several, "form"), "variants")
     pairs = variants.select("form", F.col("key").alias("a")).join(variants.select("form", F.col("key").alias("b")), "form").where("a < b").select("a", "b")
-    members = light.select("key", "name")
+    members = scan.select("key", "name").join(variants.select("key"), "key").distinct()
     both = pairs.join(members.select(F.col("key").alias("a"), F.col("name").alias("n1")), "a").join(members.select(F.col("key").alias("b"), F.col("name").alias("n2")), "b")
     return both.where("n1 != n2").select(F.least("n1", "n2").alias("name_a"), F.greatest("n1", "n2").alias("name_b")).distinct()
