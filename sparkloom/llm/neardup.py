@@ -14,10 +14,11 @@ Within a list a pair is counted only if it passes bounds that no pair at the thr
 ratio of the sizes, the bytes left behind the place at which they meet, and the places in which
 parity sketches differ (at most the size of the symmetric difference).
 
-Distribution: records with equal sets are collapsed first by digest, so copies, however many,
-post once. The order comes from counts over all records in ``SLOTS`` slots of positional bytes (4
+Distribution: records with equal sets are one class, known by a digest. A task posts each class
+once for every ``FLUSH`` postings, and a bucket keeps it once, so copies, however many, are not
+compared with each other. The order comes from counts over all records in ``SLOTS`` slots of positional bytes (4
 MB, whatever the data). Postings travel packed, in buckets whose number follows the counted
-postings. A list that may hold more than ``LIST`` records is cut into groups before it is sent,
+postings; a bucket gets the size and the sketch of a record once. A list that may hold more than ``LIST`` records is cut into groups before it is sent,
 and each pair of groups is a cell of its own in some bucket, so a byte that a third of all
 records hold is many tasks' work; no list is shortened. Texts are never shuffled, sets only for
 records in retained pairs. Work follows the pairs that share a rare positional byte, so on texts of
@@ -43,13 +44,13 @@ from .textform import words
 
 SLOTS, BLOCKS = 1 << 20, 64  # counts of positional bytes, and the parts in which they are added up
 LEAST_SHARED = 3  # posted positional bytes that a pair must share
-BITS, WIDE = 512, 80  # of the parity sketch; up to so many shingles it is folded to half
+BITS, HALF, QUARTER = 512, 120, 55  # of the parity sketch, and the shingles up to which it is folded to a half and a quarter
 LIST = 20_000  # records of one list that one task compares
-POSTS, FLUSH, MOST_TASKS = 250_000, 1_000_000, 20_000  # postings a bucket, held by a task, tasks of the exchange
+POSTS, FLUSH, MOST_TASKS = 1_000_000, 2_000_000, 20_000  # postings a bucket, held by a task, tasks of the exchange
 BLOCK = 500_000  # pairs looked at together
 SLACK = 1e-6  # bounds are loosened by this, so rounding drops no pair
-_FEATURES = "id long, name string, digest binary, n int, keys binary, sketch binary"
-_POSTS = "bucket int, keys binary, cells binary, owners binary, places binary, ids binary, sizes binary, sketches binary"
+_FEATURES = "id long, name string, digest binary, mark long, n int, keys binary"
+_POSTS = "bucket int, keys binary, cells binary, owners binary, places binary, marks binary, sizes binary, sketches binary"
 _PAIRS = "a long, b long, shared long, need int"
 
 
@@ -88,18 +89,22 @@ class Shingler:
         return (both & np.uint64(0xFFFFFFFF)).astype(np.uint32), (both >> np.uint64(32)).astype(np.int64)
 
 
-def _parity(every: np.ndarray, owner: np.ndarray, records: int) -> np.ndarray:
+def _parity(every: np.ndarray, owner: np.ndarray, n: np.ndarray) -> np.ndarray:
     """For each record, at each of ``BITS`` places, whether it has an odd number of shingles there.
-    The halves of small records are added up and the second is left 0, which compresses."""
+    The parts of small records are added up and the rest is left 0, which compresses."""
     with np.errstate(over="ignore"):
         place = (every * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS.bit_length() + 1)
-    odd = np.bincount(owner * BITS + place, minlength=records * BITS).reshape(records, BITS) & 1
-    small = np.bincount(owner, minlength=records) <= WIDE
-    odd[small, : BITS // 2] ^= odd[small, BITS // 2 :]
-    odd[small, BITS // 2 :] = 0
+    place = (place % np.where(n <= QUARTER, BITS // 4, np.where(n <= HALF, BITS // 2, BITS))[owner]).astype(np.int64)
+    odd = np.bincount(owner * BITS + place, minlength=len(n) * BITS).reshape(len(n), BITS) & 1
     return np.packbits(odd.astype(np.uint8), axis=1)
 
 
+def _folds(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches of 64-bit words folded to a half and to a quarter."""
+    half = sketch[:, : sketch.shape[1] // 2] ^ sketch[:, sketch.shape[1] // 2 :]
+    return half, half[:, : half.shape[1] // 2] ^ half[:, half.shape[1] // 2 :]
+
+
 def _binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Slices of ``values`` that end at ``ends`` as binary values."""
     offsets = np.append(0, ends).astype(np.int64) * values.itemsize
@@ -119,13 +124,13 @@ def _features(size: int, least: int):
                     continue
                 kept = np.isin(owner, at)
                 every, owner, n = every[kept], np.searchsorted(at, owner[kept]), n[at]
-                sketch, ends = _parity(every, owner, len(at)), np.cumsum(n)
+                ends = np.cumsum(n)
                 digests = [xxhash.xxh128_digest(every[b - m : b].tobytes()) for b, m in zip(ends, n)]
                 rows = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(rows), part.column("name").take(rows), pa.array(digests, pa.binary()), pa.array(n, pa.int32()),
-                     _binaries(every, ends), _binaries(sketch.ravel(), np.arange(1, len(at) + 1) * (BITS // 8))],
-                    ["id", "name", "digest", "n", "keys", "sketch"],
+                    [part.column("id").take(rows), part.column("name").take(rows), pa.array(digests, pa.binary()),
+                     pa.array(np.frombuffer(b"".join(digests), np.int64)[::2]), pa.array(n, pa.int32()), _binaries(every, ends)],
+                    ["id", "name", "digest", "mark", "n", "keys"],
                 )
 
     return run
@@ -168,8 +173,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def _posted(threshold: float, counts: np.ndarray, least_shared: int, buckets: int, most: int):
     groups = -(-np.maximum(counts, 1).astype(np.int64) // most)  # into which the lists of a slot are cut
 
-    def pack(ids: np.ndarray, n: np.ndarray, sketches: np.ndarray, every: np.ndarray) -> Iterator[pa.RecordBatch]:
-        owner = np.repeat(np.arange(len(n)), n)
+    def pack(marks: np.ndarray, n: np.ndarray, every: np.ndarray) -> Iterator[pa.RecordBatch]:
+        owner, first = np.repeat(np.arange(len(n)), n), np.zeros(len(n), bool)
+        first[np.unique(np.stack([marks, n]), axis=1, return_index=True)[1]] = True  # a class once
+        every, owner, marks, n = every[first[owner]], (np.cumsum(first) - 1)[owner[first[owner]]], marks[first], n[first]
+        sketches = _parity(every, owner, n)
         sort = np.lexsort((every, counts[_slot(every)], owner))
         at = np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n)
         needed = shared_at_least(n, threshold)
@@ -177,10 +185,10 @@ def _posted(threshold: float, counts: np.ndarray, least_shared: int, buckets: in
         keys, owner, at = every[sort][taken], owner[taken], at[taken]
         cells = np.zeros(len(keys), np.uint32)  # 0: the whole list; else 1 + 4 * (lower * groups + upper) + side
         many = groups[_slot(keys)]
-        if (many > 1).any():  # a copy for each group of the list, its own included
+        if (many > 1).any():  # a copy for each group of the list
             hot = np.repeat(np.arange(len(keys)), many)
             g = many[hot].astype(np.int64)
-            mine = (_mixed(ids[owner[hot]].astype(np.uint64)) % g.astype(np.uint64)).astype(np.int64)
+            mine = (_mixed(marks[owner[hot]].astype(np.uint64)) % g.astype(np.uint64)).astype(np.int64)
             its = np.arange(len(hot)) - np.repeat(np.cumsum(many) - many, many)
             side = np.where(mine == its, 2, np.where(mine < its, 0, 1))
             cells = np.where(g > 1, 1 + 4 * (np.minimum(mine, its) * g + np.maximum(mine, its)) + side, 0).astype(np.uint32)
@@ -193,33 +201,23 @@ def _posted(threshold: float, counts: np.ndarray, least_shared: int, buckets: in
         rows = []
         for a, b in zip(cuts[:-1], cuts[1:]):
             which, back = np.unique(owner[a:b], return_inverse=True)
-            rows.append((int(bucket[a]), keys[a:b].tobytes(), cells[a:b].tobytes(), back.astype(np.int32).tobytes(), at[a:b].astype(np.int32).tobytes(), ids[which].tobytes(), n[which].astype(np.int32).tobytes(), sketches[which].tobytes()))
+            rows.append((int(bucket[a]), keys[a:b].tobytes(), cells[a:b].tobytes(), back.astype(np.int32).tobytes(), at[a:b].astype(np.int32).tobytes(), marks[which].tobytes(), n[which].astype(np.int32).tobytes(), sketches[which].tobytes()))
         for i in range(0, len(rows), 1000):
             cols = list(zip(*rows[i : i + 1000]))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], [x.split()[0] for x in _POSTS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-
-        def flush():
-            ids, n, sketches, every = (np.concatenate(x) for x in zip(*held))
-            yield from pack(ids, n, sketches.reshape(-1, BITS // 8), every)
-
         for batch in batches:
-            if not batch.num_rows:
-                continue
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                held.append((
-                    part.column("id").to_numpy(), part.column("n").to_numpy().astype(np.int64),
-                    np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8), np.frombuffer(b"".join(part.column("keys").to_pylist()), np.uint32),
-                ))
-                size += len(held[-1][3])
+                held.append((part.column("mark").to_numpy(), part.column("n").to_numpy().astype(np.int64), np.frombuffer(b"".join(part.column("keys").to_pylist()), np.uint32)))
+                size += len(held[-1][2])
                 if size >= FLUSH:
-                    yield from flush()
+                    yield from pack(*(np.concatenate(x) for x in zip(*held)))
                     held, size = [], 0
         if held:
-            yield from flush()
+            yield from pack(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
@@ -234,18 +232,21 @@ def _met(threshold: float, least_shared: int):
 
     def pairs(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         read = lambda c, kind: [np.frombuffer(r[c], kind) for r in rows]
-        owners, ids = read("owners", np.int32), read("ids", np.int64)
-        begins = np.cumsum([0, *map(len, ids[:-1])])
+        owners, marks = read("owners", np.int32), read("marks", np.int64)
+        begins = np.cumsum([0, *map(len, marks[:-1])])
         owner = np.concatenate([o + b for o, b in zip(owners, begins)])
-        ids, sizes = np.concatenate(ids), np.concatenate(read("sizes", np.int32)).astype(np.int64)
-        sketch = np.concatenate(read("sketches", np.uint64)).reshape(len(ids), -1)
-        half = sketch.shape[1] // 2
-        folded = sketch[:, :half] ^ sketch[:, half:]
+        marks, sizes = np.concatenate(marks), np.concatenate(read("sizes", np.int32)).astype(np.int64)
+        (marks, sizes), first, back = np.unique(np.stack([marks, sizes]), axis=1, return_index=True, return_inverse=True)
+        owner = back.ravel()[owner]  # a class once
+        sketch = np.concatenate(read("sketches", np.uint64)).reshape(-1, BITS // 64)[first]
+        half, quarter = _folds(sketch)
         key, cell, at = np.concatenate(read("keys", np.uint32)), np.concatenate(read("cells", np.uint32)), np.concatenate(read("places", np.int32)).astype(np.int64)
         side = np.where(cell > 0, (cell.astype(np.int64) - 1) & 3, 2)
         line = (key.astype(np.uint64) << np.uint64(32)) | ((cell.astype(np.uint64) + np.uint64(3)) >> np.uint64(2))
         sort = np.lexsort((owner, sizes[owner], line))
         line, owner, at, side = line[sort], owner[sort], at[sort], side[sort]
+        fresh = np.concatenate(([True], (line[1:] != line[:-1]) | (owner[1:] != owner[:-1])))
+        line, owner, at, side = line[fresh], owner[fresh], at[fresh], side[fresh]
         n = sizes[owner]
         new = np.concatenate(([True], line[1:] != line[:-1]))
         lists = np.cumsum(new)
@@ -266,18 +267,15 @@ def _met(threshold: float, least_shared: int):
             ok = np.minimum(n[a] - at[a], n[b] - at[b]) + extra >= least * both - SLACK
             ok &= (side[a] == 2) | (side[a] != side[b])
             a, b, both = owner[a[ok]], owner[b[ok]], both[ok]
-            ok = differ(folded, a, b) <= most * both + SLACK
-            a, b, both = a[ok], b[ok], both[ok]
-            ok = (np.minimum(sizes[a], sizes[b]) <= WIDE) | (differ(sketch, a, b) <= most * both + SLACK)
-            ok &= ids[a] != ids[b]
-            if ok.any():
-                a, b = a[ok], b[ok]
-                need = np.minimum(needed[a], needed[b])
-                swap = ids[a] > ids[b]
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-                found, first, shared = np.unique(a * len(ids) + b, return_index=True, return_counts=True)
+            for fold, above in ((quarter, 0), (half, QUARTER), (sketch, HALF)):  # a fold is held against what both have at least
+                ok = (np.minimum(sizes[a], sizes[b]) <= above) | (differ(fold, a, b) <= most * both + SLACK)
+                a, b, both = a[ok], b[ok], both[ok]
+            if len(a):
+                a, b = np.minimum(a, b), np.maximum(a, b)  # records are in order of their marks
+                found, first, shared = np.unique(a * len(marks) + b, return_index=True, return_counts=True)
+                need = np.minimum(needed[a], needed[b])[first]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[found // len(ids)]), pa.array(ids[found % len(ids)]), pa.array(shared, pa.int64()), pa.array(need[first], pa.int32())], ["a", "b", "shared", "need"]
+                    [pa.array(marks[found // len(marks)]), pa.array(marks[found % len(marks)]), pa.array(shared, pa.int64()), pa.array(need, pa.int32())], ["a", "b", "shared", "need"]
                 )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,16 +323,17 @@ def near_duplicates(
         F.col("id").isNotNull() & F.col("name").isNotNull() & F.col("text").isNotNull()
     )
     feats = stage(rows.mapInArrow(_features(size, least), _FEATURES), "features")
-    classes = feats.groupBy("digest").agg(F.min("id").alias("rep"))
+    classes = feats.groupBy("digest", "mark").agg(F.min("id").alias("rep"))
     members = feats.select("digest", "name").join(classes, "digest").select("name", "rep").distinct()
-    reps = feats.select("id", "n", "keys", "sketch").join(classes.select(F.col("rep").alias("id")), "id").dropDuplicates(["id"])
     posts = feats.agg(F.sum(F.col("n") - F.ceil(threshold * F.col("n")) + least_shared)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(posts) // POSTS))
     tasks = min(buckets, MOST_TASKS)
-    packed = reps.mapInArrow(_posted(threshold, slot_counts(feats), least_shared, buckets, most), _POSTS)
+    packed = feats.select("mark", "n", "keys").mapInArrow(_posted(threshold, slot_counts(feats), least_shared, buckets, most), _POSTS)
     lists = packed.repartitionById(tasks, F.pmod("bucket", F.lit(tasks))).sortWithinPartitions("bucket")
     tally = lists.mapInArrow(_met(threshold, least_shared), _PAIRS).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
-    kept = stage(tally.where("shared >= need").select("a", "b"), "pairs")
+    one, two = (classes.select(F.col("mark").alias(m), F.col("rep").alias(r)) for m, r in (("a", "one"), ("b", "two")))
+    named = tally.where("shared >= need").join(one, "a").join(two, "b")
+    kept = stage(named.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).where("a < b").distinct(), "pairs")
     concerned = kept.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = feats.select("id", "keys").join(concerned, "id").dropDuplicates(["id"])
     both = kept.join(sets.select(F.col("id").alias("a"), F.col("keys").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("keys").alias("y")), "b")
