@@ -1,20 +1,28 @@
 """Language of each text and of each of its parts (problem 4).
 
 Hierarchical discrimination. A text is cut into sentences. The script of a sentence's letters
-gives its language family (Arabic script or Latin script); within the family one-versus-one
-linear support vector machines over words and character n-grams separate the related languages.
+predicts its family (Arabic script, Latin script, or another); within a family of several
+languages one-versus-one linear support vector machines over words and character n-grams separate
+them. A sentence of ``FEW`` words or more whose character trigrams are mostly foreign to the
+language that won is of none of them: it is ``other``, like a sentence in another script.
+
 The machines are trained here, on a sample of labelled rows of at most ``per_label`` rows for
 each label; labels may be noisy, so training drops what its first round contradicts and is
-repeated. Terms, names and codes inside a sentence do not change its language.
+repeated. The confidence of a sentence is a logistic function of its closest duel; its slope is
+fitted to sentences of every fifth sample row, which the machines of that fit have not seen, with a
+share of wrong labels fitted beside it. Terms, names and codes inside a sentence do not change
+its language.
 
 Distribution: the sample is the only thing that reaches the driver (its bound is a parameter);
-the weights (4 machines, 2**16 floats each: 1 MB) go to every task and every row of the table is
-scored where it lies. There is no shuffle but the one that picks the sample.
+the model (4 machines of 2**16 floats and the trigrams of 5 languages, under 3 MB) goes to every
+task and every row of the table is scored where it lies. There is no shuffle but the one that
+picks the sample.
 
 Edge cases: null, blank and letterless texts are ``unknown`` with confidence 0; a family with no
-labelled rows gives its first language; a sentence of fewer than 3 words takes the language of
-the sentence before it in the same text (after it, when first) if of the same family; nulls in
-the label count as missing.
+labelled rows gives its first language; an unsure sentence takes the language of the sentence
+before it in the same text (or of most of the text) if of the same family, with its own low
+confidence; a sentence of one or two words in another script than the rest is a part of its own;
+nulls in the label count as missing.
 """
 
 from __future__ import annotations
@@ -22,6 +30,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +39,8 @@ from pyspark.sql import functions as F
 
 from .textform import before_folding
 
-FAMILIES = {"arabic": ("ar", "fa"), "latin": ("en", "es", "fr")}
+FAMILIES = {"arabic": ("ar", "fa"), "latin": ("en", "es", "fr"), "other": ("other",)}
+LANGUAGES = ["ar", "en", "es", "fa", "fr"]
 PAIRS = [("ar", "fa"), ("en", "es"), ("en", "fr"), ("es", "fr")]
 # Names of the languages as labels, after lower-casing and cutting regional tags.
 LABELS = {
@@ -39,11 +49,14 @@ LABELS = {
     "mixed": "mixed", "mul": "mixed", "multiple": "mixed",
 }
 MISSING = ["", "unknown", "und", "n/a", "na", "none", "null", "nan", "undetermined", "undefined", "unk", "zxx", "-", "--", "?", "??", "tbd", "other", "xx"]
-DIMENSIONS = 1 << 16
+DIMENSIONS, TRIGRAMS = 1 << 16, 1 << 18
+FEW, FAMILIAR = 4, 0.6  # words from which a sentence can be foreign, and the share of known trigrams below which it is
+SHORT, SURE, QUITE_SURE = 3, 0.75, 0.9  # confidence that a sentence, or one of fewer than ``SHORT`` words, needs to keep its language
 
 _SENTENCE = re.compile(r"(?<=[.!?؟…])[\"'”»)\]]*\s+|[\r\n]+")
 _WORDS = re.compile(r"[^\W\d_]+(?:[ً-ٰٟ‌'’][^\W\d_]+)*")
 _ARABIC = re.compile(r"[ؠ-يٮ-ۓۺ-ۿݐ-ݿࢠ-ࣿ]")
+_FOREIGN = re.compile(r"[^\u0000-\u036f\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff\u1e00-\u1eff\u200c\u2019]")
 
 
 def sentences(text: str) -> list[str]:
@@ -57,11 +70,26 @@ def _features(word: str) -> list[int]:
     return out
 
 
+def _trigrams(word: str) -> list[int]:
+    w = f"^{word}$"
+    return [zlib.crc32(w[i : i + 3].encode("utf-8", "surrogatepass")) % TRIGRAMS for i in range(max(1, len(w) - 2))]
+
+
+@dataclass
+class Model:
+    """Weights of the machines, which trigrams each language has, and the slope of the confidence."""
+
+    weights: np.ndarray
+    seen: np.ndarray
+    slope: float = 4.0
+
+
 class Scorer:
-    """Sentence scores of the machines; the share of each known word is kept."""
+    """Sentence scores of the machines and shares of known trigrams; those of each word are kept."""
 
-    def __init__(self, weights: np.ndarray):
-        self.weights, self.known, self.rows = weights, {}, [np.zeros(len(weights), np.float32)]
+    def __init__(self, model: Model):
+        self.model, self.known = model, {}
+        self.rows = [np.zeros(len(PAIRS) + len(LANGUAGES), np.float32)]
 
     def word(self, word: str) -> int:
         at = self.known.get(word)
@@ -71,11 +99,11 @@ class Scorer:
                 del self.rows[1:]
             f = _features(word)
             at = self.known[word] = len(self.rows)
-            self.rows.append(self.weights[:, f].sum(1) / len(f) ** 0.5)
+            self.rows.append(np.concatenate((self.model.weights[:, f].sum(1) / len(f) ** 0.5, self.model.seen[:, _trigrams(word)].mean(1))).astype(np.float32))
         return at
 
     def scores(self, words: list[str]) -> np.ndarray:
-        return sum((self.rows[self.word(w)] for w in words), np.zeros(len(self.weights), np.float32)) / max(1, len(words))
+        return sum((self.rows[self.word(w)] for w in words), np.zeros(len(self.rows[0]), np.float32)) / max(1, len(words))
 
 
 def family_words(sentence: str) -> tuple[str | None, list[str]]:
@@ -84,47 +112,57 @@ def family_words(sentence: str) -> tuple[str | None, list[str]]:
     found = _WORDS.findall(sentence)
     if not found:
         return None, []
-    arabic = [w for w in found if _ARABIC.search(w)]
-    n = sum(map(len, arabic))
-    total = sum(map(len, found))
-    if 2 * n >= total:
-        return "arabic", arabic
-    latin = [w for w in found if not _ARABIC.search(w)]
+    kinds = {"arabic": [], "latin": [], "other": []}
+    for w in found:
+        kinds["latin" if w.isascii() else "arabic" if _ARABIC.search(w) else "other" if _FOREIGN.search(w) else "latin"].append(w)
+    family = max(kinds, key=lambda k: sum(map(len, kinds[k])))
+    if family != "latin":
+        return family, kinds[family]
+    latin = kinds["latin"]
     return "latin", [w.lower() for w in latin if len(w) == 1 or not w.isupper()] or [w.lower() for w in latin]
 
 
-def decide(family: str, scores: np.ndarray) -> tuple[str, float]:
-    """The language with the best worst duel within the family, and a confidence from that duel."""
+def closest_duel(family: str, scores: np.ndarray) -> tuple[str, float]:
+    """The language with the best worst duel within the family, and that duel."""
     worst = {}
     for lang in FAMILIES[family]:
         duels = [s if lang == a else -s for (a, b), s in zip(PAIRS, scores) if lang in (a, b)]
-        worst[lang] = min(duels)
+        worst[lang] = min(duels, default=0.0)
     lang = max(worst, key=lambda x: (worst[x], x))
-    return lang, float(1 / (1 + np.exp(-4 * min(8.0, worst[lang]))))
+    return lang, float(worst[lang])
 
 
-def segments(text: str | None, scorer: Scorer, short: int = 3, sure: float = 0.75) -> list[tuple[str, float, int]]:
+def decide(family: str, words: list[str], scorer: Scorer) -> tuple[str, str, float]:
+    """(family, language, confidence) of the words of a sentence."""
+    if family == "other":
+        return family, "other", 1.0
+    scores = scorer.scores(words)
+    lang, duel = closest_duel(family, scores)
+    familiar = float(scores[len(PAIRS) + LANGUAGES.index(lang)])
+    if len(words) >= FEW and familiar < FAMILIAR:
+        return "other", "other", 1.0 - familiar
+    return family, lang, float(1 / (1 + np.exp(-scorer.model.slope * min(8.0, duel))))
+
+
+def segments(text: str | None, scorer: Scorer) -> list[tuple[str, float, int]]:
     """(language, confidence, letters) of the parts of a text: neighbouring sentences of one
     language are one part."""
     found = []
     for s in sentences(before_folding_lines(text or "")):
         family, words = family_words(s)
         if family:
-            lang, sure_of_it = decide(family, scorer.scores(words))
-            found.append([family, lang, sure_of_it, len(words), sum(map(len, words))])
-    # Short or unsure sentences follow the language of longer ones of their family.
+            family, lang, p = decide(family, words, scorer)
+            found.append([family, lang, p, p >= (SURE if len(words) >= SHORT else QUITE_SURE), sum(map(len, words))])
+    # Unsure sentences follow the language of surer ones of their family.
     weight = {}
-    for family, lang, p, n, letters in found:
-        if n >= short and p >= sure:
+    for _, lang, _, sure, letters in found:
+        if sure:
             weight[lang] = weight.get(lang, 0) + letters
     lead = {f: max((x for x in langs if x in weight), key=lambda x: weight[x], default=None) for f, langs in FAMILIES.items()}
-    for i, (family, lang, p, n, letters) in enumerate(found):
-        if (n < short or p < sure) and lead[family]:
-            near = next((x[1] for x in reversed(found[:i]) if x[0] == family and x[3] >= short and x[2] >= sure), lead[family])
-            found[i][1], found[i][2] = near, min(p, sure)
-    if any(n >= short for _, _, _, n, _ in found):  # fragments of the other script are terms, not sentences
-        families = {f for f, _, _, n, _ in found if n >= short}
-        found = [x for x in found if x[0] in families]
+    for i, (family, _, p, sure, _) in enumerate(found):
+        if not sure and lead[family]:
+            found[i][1] = next((x[1] for x in reversed(found[:i]) if x[0] == family and x[3]), lead[family])
+            found[i][2] = min(p, SURE)
     out = []
     for _, lang, p, _, letters in found:
         if out and out[-1][0] == lang:
@@ -142,9 +180,8 @@ def before_folding_lines(text: str) -> str:
     return "\n".join(before_folding(line) for line in text.splitlines())
 
 
-def train(samples: list[tuple[str, str]], epochs: int = 6, rounds: int = 2) -> np.ndarray:
-    """Weights (machines x dimensions) from (label, text) rows by averaged hinge-loss descent.
-    The rows are in a fixed order, so the result is the same each time."""
+def _sample_rows(samples: list[tuple[str, str]]) -> list[tuple[str, list[str], np.ndarray, np.ndarray]]:
+    """(label, words, feature places, feature values) of the sentences of three words or more."""
     rows, known = [], {}
     for label, text in samples:
         for s in sentences(before_folding_lines(text)):
@@ -156,17 +193,27 @@ def train(samples: list[tuple[str, str]], epochs: int = 6, rounds: int = 2) -> n
                 f = [known[w] for w in words]
                 values = np.concatenate([np.full(len(x), len(x) ** -0.5 / len(f), np.float32) for x in f])
                 at, back = np.unique(np.concatenate(f), return_inverse=True)
-                rows.append((label, at, np.bincount(back, values).astype(np.float32)))
+                rows.append((label, words, at, np.bincount(back, values).astype(np.float32)))
+    return rows
+
+
+def _duels(weights: np.ndarray, label: str, at: np.ndarray, x: np.ndarray) -> list[float]:
+    return [float(weights[m][at] @ x) * (1 if label == a else -1) for m, (a, b) in enumerate(PAIRS) if label in (a, b)]
+
+
+def _machines(rows: list, epochs: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (machines x dimensions) by averaged hinge-loss descent, and the rows kept. The rows
+    are in a fixed order, so the result is the same each time."""
     keep = np.ones(len(rows), bool)
     weights = np.zeros((len(PAIRS), DIMENSIONS), np.float32)
     for turn in range(rounds):
         rng = np.random.default_rng(7)
         for m, (a, b) in enumerate(PAIRS):
-            mine = [i for i, (label, _, _) in enumerate(rows) if keep[i] and label in (a, b)]
+            mine = [i for i, (label, *_) in enumerate(rows) if keep[i] and label in (a, b)]
             w, total, rate = np.zeros(DIMENSIONS, np.float32), np.zeros(DIMENSIONS, np.float32), 4.0
             for _ in range(epochs):
                 for i in rng.permutation(mine) if mine else []:
-                    label, at, x = rows[i]
+                    label, _, at, x = rows[i]
                     y = 1.0 if label == a else -1.0
                     if y * float(w[at] @ x) < 1:
                         w[at] += rate * y * x
@@ -174,10 +221,39 @@ def train(samples: list[tuple[str, str]], epochs: int = 6, rounds: int = 2) -> n
                 rate *= 0.7
             weights[m] = total / epochs
         if turn + 1 < rounds:
-            for i, (label, at, x) in enumerate(rows):
-                duels = [float(weights[m][at] @ x) * (1 if label == a else -1) for m, (a, b) in enumerate(PAIRS) if label in (a, b)]
-                keep[i] = min(duels) > 0
-    return weights
+            keep = np.array([min(_duels(weights, label, at, x)) > 0 for label, _, at, x in rows], bool)
+    return weights, keep
+
+
+def fitted_slope(duels: np.ndarray, right: np.ndarray) -> float:
+    """The slope of the logistic confidence that makes held-out outcomes likeliest, when a share of
+    the labels, fitted beside it, is wrong; 4 without any."""
+    best = (-np.inf, 4.0)
+    for slope in (0.5, 1, 1.5, 2, 3, 4, 6, 8, 12, 16) if len(duels) >= 20 else ():
+        p = 1 / (1 + np.exp(-slope * np.minimum(8.0, duels)))
+        for wrong in (0.001, 0.01, 0.02, 0.05, 0.1, 0.2):
+            q = p * (1 - wrong) + (1 - p) * wrong
+            best = max(best, (float(np.log(np.where(right, q, 1 - q)).sum()), float(slope)))
+    return best[1]
+
+
+def train(samples: list[tuple[str, str]], epochs: int = 6, rounds: int = 2) -> Model:
+    """A model from (label, text) rows."""
+    parts = [[_sample_rows([x]) for x in samples[i::5]] for i in range(5)]
+    held = [r for x in parts[4] for r in x]
+    first, _ = _machines([r for p in parts[:4] for x in p for r in x], epochs, rounds)
+    duels, right = [], []
+    for label, _, at, x in held:
+        family = next(f for f, langs in FAMILIES.items() if label in langs)
+        lang, duel = closest_duel(family, [float(w[at] @ x) for w in first])
+        duels.append(duel), right.append(lang == label)
+    rows = [r for p in parts for x in p for r in x]
+    weights, keep = _machines(rows, epochs, rounds)
+    seen = np.zeros((len(LANGUAGES), TRIGRAMS), np.float32)
+    for (label, words, _, _), ok in zip(rows, keep):
+        if ok:
+            seen[LANGUAGES.index(label), [t for w in words for t in _trigrams(w)]] = 1
+    return Model(weights, seen.astype(bool), fitted_slope(np.array(duels), np.array(right, bool)))
 
 
 def label_of(label: Column) -> Column:
@@ -188,10 +264,10 @@ def label_of(label: Column) -> Column:
     return F.when(low.isin(MISSING), F.lit(None)).otherwise(F.coalesce(names, head))
 
 
-def trained(rows: DataFrame, per_label: int = 400) -> np.ndarray:
-    """Machines from rows (id, text, label): at most ``per_label`` rows of each language, those
+def trained(rows: DataFrame, per_label: int = 400) -> Model:
+    """A model from rows (id, text, label): at most ``per_label`` rows of each language, those
     with the smallest hash of their id, go to the driver."""
-    known = rows.select("id", "text", label_of(F.col("label")).alias("label")).where(F.col("label").isin([x for f in FAMILIES.values() for x in f]) & F.col("text").isNotNull())
+    known = rows.select("id", "text", label_of(F.col("label")).alias("label")).where(F.col("label").isin(LANGUAGES) & F.col("text").isNotNull())
     some = Window.partitionBy("label").orderBy("h", "id")
     ids = known.select("id", "label", F.xxhash64("id").alias("h")).withColumn("n", F.row_number().over(some)).where(F.col("n") <= per_label).select("id")
     got = known.join(F.broadcast(ids), "id").toPandas()  # 5 * per_label rows
@@ -199,12 +275,12 @@ def trained(rows: DataFrame, per_label: int = 400) -> np.ndarray:
     return train(list(zip(got["label"], got["text"])))
 
 
-def language_parts(rows: DataFrame, weights: np.ndarray) -> DataFrame:
+def language_parts(rows: DataFrame, model: Model) -> DataFrame:
     """(id, part, language, confidence, letters, parts): one row per part of each text of rows
     (id, text); a text without letters is one part ``unknown``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(weights)
+        scorer = Scorer(model)
         for batch in batches:
             out = []
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
@@ -218,12 +294,12 @@ def language_parts(rows: DataFrame, weights: np.ndarray) -> DataFrame:
     return rows.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "id long, part int, language string, confidence double, letters long, parts int")
 
 
-def language_sets(rows: DataFrame, weights: np.ndarray) -> DataFrame:
+def language_sets(rows: DataFrame, model: Model) -> DataFrame:
     """(id, label, right, languages, confidence) for rows (id, text, label): the right label,
     the languages in which sentences are written, and the confidence over the letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(weights)
+        scorer = Scorer(model)
         for batch in batches:
             langs, rights, sure = [], [], []
             for text in batch.column("text").to_pylist():
@@ -240,10 +316,10 @@ def language_sets(rows: DataFrame, weights: np.ndarray) -> DataFrame:
     return rows.select(F.col("id").cast("long").alias("id"), "text", F.col("label").cast("string").alias("label")).mapInArrow(run, "id long, label string, right string, languages array<string>, confidence double")
 
 
-def wrong_labels(rows: DataFrame, weights: np.ndarray) -> DataFrame:
+def wrong_labels(rows: DataFrame, model: Model) -> DataFrame:
     """(id, label, right, languages, confidence) of the rows whose label is missing or wrong:
-    with letters, anything but the right label; without, only a language or mixed."""
+    with letters, anything but the right label; without, only a language or mixed. A text in none
+    of the languages may bear the label of any language but these."""
     given = label_of(F.col("label"))
-    return language_sets(rows, weights).where(
-        F.when(F.col("right") == "unknown", given.isNotNull()).otherwise(given.isNull() | (given != F.col("right")))
-    )
+    wrong = F.when(F.col("right") == "other", given.isin(*LANGUAGES, "mixed")).otherwise(given != F.col("right"))
+    return language_sets(rows, model).where(F.when(F.col("right") == "unknown", given.isNotNull()).otherwise(given.isNull() | wrong))
