@@ -1,12 +1,16 @@
 """Evaluation texts leaking into training text (problem 7).
 
-The runs of ``size`` consecutive words of every question and answer form one Aho-Corasick
-automaton; each text is normalised to words and scanned once. Where something is found, the
-places are mapped back to offsets in the original text.
-
-Distribution: texts are scanned where they lie, without a shuffle. The items are the stated
-query set; they are taken in blocks of ``block`` items, one automaton a block (2,000 items of
-40 words are about 60,000 patterns), and every block is held against every text.
+One Aho-Corasick automaton over the normalised questions and answers: each is cut into blocks of
+half ``size`` words, and every run of ``size`` words holds a whole block. A text is normalised to
+words and scanned once; where a block is met, the words around it are compared with the item's,
+and what reaches ``size`` words is a passage. Its places are mapped back to offsets in the
+original text.
+
+Distribution: the items are the stated query set. They are normalised by Spark, distinct texts are
+counted, and only when they are within ``most_text`` bytes (a node of the automaton for each of
+them, some 30 bytes of memory a worker) are they collected and broadcast; more raise an error, so
+nothing is left out in silence. Each worker builds the automaton once. Texts of the corpus
+are scanned where they lie, once, without a shuffle.
 
 Edge cases: null and blank texts hold nothing; a question or answer of fewer than ``size`` words
 is not searched; several items may share a passage and are all reported; repeated rows of an
@@ -17,12 +21,13 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from itertools import islice
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
 from .textform import _PLAIN, TATWEEL, consistent_form, is_invisible, words
 
 
@@ -51,78 +56,107 @@ def word_offsets(text: str) -> list[tuple[str, int, int]]:
     return [tuple(x) for x in out]
 
 
-def _automaton(items: list[tuple[str, str, str]], size: int):
-    """Patterns are runs of words between blanks; each carries the items and fields it is from."""
-    import ahocorasick
+def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines = pa.array([" ".join(words(t)) for t in batch.column("text").to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("field"), lines], ["item", "field", "line"])
+
+
+class Machine:
+    """The automaton of blocks of words of distinct lines, and the lines' words."""
+
+    def __init__(self, lines: list[str], size: int):
+        import ahocorasick
+
+        self.size, self.lines, block = size, [line.split(" ") for line in lines], (size + 1) // 2
+        held: dict[str, list[tuple[int, int]]] = {}
+        for n, w in enumerate(self.lines):
+            for i in range(0, len(w) - block + 1, block):
+                held.setdefault(f" {' '.join(w[i : i + block])} ", []).append((n, i))
+        self.automaton = ahocorasick.Automaton()
+        for pattern, places in held.items():
+            self.automaton.add_word(pattern, (len(pattern), places))
+        self.automaton.make_automaton()
+
+    def runs(self, w: list[str]) -> dict[int, list[tuple[int, int]]]:
+        """For each line met in the words of a text: (first, last) starts of runs of ``size`` words
+        that the line holds too, neighbours joined."""
+        if len(w) < self.size:
+            return {}
+        text, at, place = f" {' '.join(w)} ", None, 0
+        reach: dict[tuple[int, int], int] = {}  # line and its shift against the text -> where the words last agreed
+        starts: dict[int, set[int]] = {}
+        for end, (length, places) in self.automaton.iter(text):
+            if at is None:  # place of each word in the text -> its number
+                at = {}
+                for n, x in enumerate(w):
+                    at[place] = n
+                    place += len(x) + 1
+            i = at[end - length + 1]
+            for n, j in places:
+                if reach.get((n, i - j), -1) > i:
+                    continue
+                line, a = self.lines[n], 0
+                while a < min(i, j) and w[i - a - 1] == line[j - a - 1]:
+                    a += 1
+                b, most = 0, min(len(w) - i, len(line) - j)
+                while b < most and w[i + b] == line[j + b]:
+                    b += 1
+                reach[n, i - j] = i + b
+                if a + b >= self.size:
+                    starts.setdefault(n, set()).update(range(i - a, i + b - self.size + 1))
+        return {n: _joined(sorted(s)) for n, s in starts.items()}
+
 
-    held: dict[str, list[tuple[str, str]]] = {}
-    for item, field, text in items:
-        w = words(text)
-        for i in range(len(w) - size + 1):
-            sources = held.setdefault(f" {' '.join(w[i : i + size])} ", [])
-            if (item, field) not in sources:
-                sources.append((item, field))
-    machine = ahocorasick.Automaton()
-    for pattern, sources in held.items():
-        machine.add_word(pattern, (pattern, sources))
-    machine.make_automaton()
-    return machine if held else None
+def _joined(numbers: list[int]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for n in numbers:
+        if out and n == out[-1][1] + 1:
+            out[-1][1] = n
+        else:
+            out.append([n, n])
+    return [(a, b) for a, b in out]
 
 
-_MACHINES: dict = {}
+_MACHINES: dict[int, Machine] = {}
 
 
-def _found(items: list[tuple[str, str, str]], size: int):
+def _found(held: Broadcast, size: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash((tuple(items), size))
-        if key not in _MACHINES:
+        lines, sources = held.value
+        if id(lines) not in _MACHINES:
             _MACHINES.clear()
-            _MACHINES[key] = _automaton(items, size)
-        machine = _MACHINES[key]
+            _MACHINES[id(lines)] = Machine(lines, size)
+        machine = _MACHINES[id(lines)]
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()) if machine else ():
-                w = words(text)
-                if len(w) < size:
-                    continue
-                line = f" {' '.join(w)} "
-                hits: dict[tuple[str, str], list[int]] = {}
-                for end, (pattern, sources) in machine.iter(line):
-                    for source in sources:
-                        hits.setdefault(source, []).append(end - len(pattern) + 1)
-                if hits:
-                    at = {}  # place of each word in the line -> its number
-                    place = 0
-                    for n, x in enumerate(w):
-                        at[place] = n
-                        place += len(x) + 1
+            for doc, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+                found = machine.runs(words(text))
+                if found:
                     offsets = word_offsets(text)
-                    for (item, field), starts in hits.items():
-                        first = None
-                        numbers = sorted(at[s] for s in starts)
-                        for n, nxt in zip(numbers, numbers[1:] + [None]):
-                            first = n if first is None else first
-                            if nxt is None or nxt > n + 1:
-                                rows.append((doc, item, field, n - first + size, offsets[first][1], offsets[n + size - 1][2]))
-                                first = None
+                    for n, passages in found.items():
+                        for first, last in passages:
+                            place = last - first + size, offsets[first][1], offsets[last + size - 1][2]
+                            rows += [(doc, item, field, *place) for item, field in sources[n]]
             cols = list(zip(*rows)) if rows else [[]] * 6
-            kinds = (batch.schema.field("key").type, pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+            kinds = (kind, pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["key", "item_id", "field", "n_words", "span_start", "span_end"])
 
     return run
 
 
-def leaked_passages(
-    docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, fields: list[str], size: int = 10, block: int = 2000
-) -> DataFrame:
+def leaked_passages(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, fields: list[str], size: int = 10, most_text: int = 32 << 20) -> DataFrame:
     """(key, item_id, field, n_words, span_start, span_end): each maximal run of words of an
     item's field found in a text, with its place in the original text."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).where("key is not null and text is not null")
-    asked = items.select(F.col(item_col).cast("string"), *fields).where(F.col(item_col).isNotNull()).distinct()
-    held = ((r[0], f, r[f]) for r in asked.orderBy(item_col).toLocalIterator() for f in fields if r[f])
-    schema = "key long, item_id string, field string, n_words int, span_start long, span_end long"
-    out = None
-    while part := list(islice(held, block * len(fields))):
-        found = rows.mapInArrow(_found(part, size), schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x")
+    asked = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), each).select("item", "x.field", "x.text").where("text is not null")
+    lines = asked.distinct().mapInArrow(_normalised, "item string, field string, line string").where(F.size(F.split("line", " ")) >= size)
+    lines = stage(lines.groupBy("line").agg(F.array_sort(F.collect_set(F.struct("item", "field"))).alias("sources")), "items")
+    total = lines.agg(F.sum(F.octet_length("line") + 50 * F.size("sources"))).first()[0] or 0
+    if total > most_text:
+        raise ValueError(f"the items hold {total} bytes of text; most_text is {most_text}: raise it if the workers' memory holds some 30 bytes for each")
+    got = lines.orderBy("line").collect()  # within most_text bytes
+    held = spark.sparkContext.broadcast(([r["line"] for r in got], [[(x["item"], x["field"]) for x in r["sources"]] for r in got]))
+    return rows.mapInArrow(_found(held, size, pa.int64()), "key long, item_id string, field string, n_words int, span_start long, span_end long")

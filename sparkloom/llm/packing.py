@@ -1,15 +1,16 @@
-"""Filling fixed-capacity containers with documents (problem 6): Harmonic packing.
+"""Filling fixed-capacity containers with documents (problem 6): refined Harmonic packing.
 
-Lengths are partitioned into classes; a container of a class holds a fixed number of documents,
-the whole part of capacity / class size. Plain Harmonic packing (``grain=None``) has one class
-for each reciprocal 1/k of the capacity and leaves a fifth of the space empty on mixed lengths,
-so by default the reciprocal classes are cut into steps of ``grain`` tokens and the space that
-the fixed number of one class leaves is given a fixed number of a smaller class, and so on.
+Lengths are partitioned into the reciprocal classes of the capacity: class k holds the lengths
+over capacity / (k + 1) and up to capacity / k, and a container of class k holds k of them. Plain
+Harmonic packing (``grain=None``) stops there and leaves a fifth of the space empty on mixed
+lengths. Refined (the default), each reciprocal class is parted in steps of ``grain`` tokens: a
+container is led by the k documents of one part of class k, and the space they are sure to leave
+is given to fixed numbers of companions from smaller parts.
 
-Only the number of documents of each class (at most capacity / grain rows, whatever the data)
-reaches the driver, which lays down how many containers of each pattern there are. Workers then
-number the documents of a class independently, shard by shard, from offsets, and each document
-finds its container by arithmetic: no task sees a whole class.
+Only the number of documents of each part (at most capacity / grain + 2 sqrt(capacity) rows,
+whatever the data) reaches the driver, which lays down how many containers of each kind there are.
+Workers then number the documents of a part independently, shard by shard, from offsets, and
+each document finds its container by arithmetic: no task sees a whole class.
 
 Edge cases: documents without tokens take no space but get a container (as if of one token);
 documents over the capacity are cut into full parts, a container each, and a rest that is packed
@@ -23,17 +24,16 @@ from pyspark.sql import functions as F
 
 
 def class_of(tokens: Column, capacity: int, grain: int | None) -> Column:
-    """The class of a length: the largest length it may hold."""
+    """The part of a reciprocal class in which a length is: the largest length it may hold."""
     tokens = F.greatest(tokens, F.lit(1))
-    if grain is None:
-        return F.floor(F.lit(capacity) / F.floor(F.lit(capacity) / tokens)).cast("long")
-    return F.least(F.ceil(tokens / grain) * grain, F.lit(capacity)).cast("long")
+    top = F.floor(F.lit(capacity) / F.floor(F.lit(capacity) / tokens)).cast("long")
+    return top if grain is None else F.least(F.ceil(tokens / grain).cast("long") * grain, top)
 
 
-def patterns(counts: dict[int, int], capacity: int, mix: bool = True) -> list[tuple[int, int, int, int, int]]:
-    """(class, first rank, end rank, documents a container, first container) rows that place
-    every document of every class. The largest class left leads; ``mix`` lets smaller classes
-    into the space it leaves."""
+def patterns(counts: dict[int, int], capacity: int, companions: bool = True) -> list[tuple[int, int, int, int, int]]:
+    """(part, first rank, end rank, documents a container, first container) rows that place every
+    document of every part. The largest part left leads with the number of its reciprocal class,
+    the whole part of capacity / length; ``companions`` fill what that leaves, the largest first."""
     left = {size: n for size, n in counts.items() if n}
     given = dict.fromkeys(left, 0)
     out, container = [], 0
@@ -44,7 +44,7 @@ def patterns(counts: dict[int, int], capacity: int, mix: bool = True) -> list[tu
             if n:
                 chosen.append((size, n))
                 space -= n * size
-                if not mix:
+                if not companions:
                     break
         times = min(left[size] // n for size, n in chosen)
         for size, n in chosen:
@@ -73,7 +73,7 @@ def packed(sizes: DataFrame, capacity: int = 2048, grain: int | None = 8) -> Dat
     )
     items = items.withColumn("class", class_of(F.col("n_tokens"), capacity, grain)).withColumn("shard", F.pmod(F.xxhash64("key", "part"), F.lit(shards)).cast("int"))
     counts = items.groupBy("class", "shard").agg(F.count(F.lit(1)).alias("n"))
-    totals = {r["class"]: r["n"] for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect()}  # at most capacity / grain rows
+    totals = {r["class"]: r["n"] for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect()}  # at most capacity / grain + 2 sqrt(capacity) rows
     plan = spark.createDataFrame(patterns(totals, capacity, grain is not None), "class long, first long, until long, each long, container0 long")
     before = Window.partitionBy("class").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("class", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

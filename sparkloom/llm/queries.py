@@ -88,17 +88,21 @@ def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textform.with_forms(rows, {"original_text": "original_form", "normalized_text": "normalized_form"}).select("id", "original_form", "normalized_form")
 
 
-def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
-    return packing.packed(stage(tokens.counted(docs), "sizes"), 2048)
+    return stage(tokens.counted(docs), "sizes")
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed(spark, sf_dir).select(F.col("key").alias("doc_id"), "part", "token_start", "n_tokens", F.col("container").alias("container_id"))
+    rows = packing.packed(_sizes(spark, sf_dir), 2048)
+    return rows.select(F.col("key").alias("doc_id"), "part", "token_start", "n_tokens", F.col("container").alias("container_id"))
 
 
 def p6_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.fill_report(_packed(spark, sf_dir), 2048)
+    """The fill of refined and of plain Harmonic packing."""
+    sizes = _sizes(spark, sf_dir)
+    refined, plain = packing.packed(sizes, 2048), packing.packed(sizes, 2048, grain=None)
+    return packing.fill_report(refined, 2048).withColumn("method", F.lit("refined harmonic")).unionByName(packing.fill_report(plain, 2048).withColumn("method", F.lit("harmonic")))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

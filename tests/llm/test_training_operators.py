@@ -254,23 +254,35 @@ def test_leakage_against_brute_force(spark):
         docs.append((d, " ".join(text).upper().replace("W1", "Ｗ１") if d % 2 else ", ".join(text)))
     docs += [(100, None), (101, ""), (102, items[0][1][:-3])]
     I = spark.createDataFrame([*items, items[0]], "id string, question string, ground_truth_answer string").withColumn("text", F.lit("x"))
-    for block in (2000, 7):
-        rows = leakage.leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), I, "doc_id", "text", "id", ["question", "ground_truth_answer"], block=block).collect()
-        want = set()
-        for d, t in docs:
-            w = words(t)
-            runs = {tuple(w[i : i + 10]) for i in range(len(w) - 9)}
-            for i, q, a in items:
-                for x in (q, a):
-                    v = words(x)
-                    if any(tuple(v[j : j + 10]) in runs for j in range(len(v) - 9)):
-                        want.add((d, i))
-        assert {(r["key"], r["item_id"]) for r in rows} == want and want
+    rows = leakage.leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), I, "doc_id", "text", "id", ["question", "ground_truth_answer"]).collect()
+    want = set()
+    for d, t in docs:
+        w = words(t)
+        runs = {tuple(w[i : i + 10]) for i in range(len(w) - 9)}
+        for i, q, a in items:
+            for x in (q, a):
+                v = words(x)
+                if any(tuple(v[j : j + 10]) in runs for j in range(len(v) - 9)):
+                    want.add((d, i))
+    assert {(r["key"], r["item_id"]) for r in rows} == want and want
     text = dict(docs)
     for r in rows:
         assert len(words(text[r["key"]][r["span_start"] : r["span_end"]])) == r["n_words"] >= 10
 
 
+def test_leakage_of_repeated_phrases_and_too_many_items(spark):
+    """A line that repeats itself, met at several shifts; runs shorter than asked for are none."""
+    line = "a b c d e f g h i j " * 2 + "k"
+    kinds = "id string, q string", "doc_id long, text string"
+    items = spark.createDataFrame([("x", line), ("short", "a b c")], kinds[0])
+    docs = spark.createDataFrame([(1, "z " + "a b c d e f g h i j " * 3), (2, "a b c d e f g h i z"), (3, "j a b c d e f g h i j k")], kinds[1])
+    got = {tuple(r) for r in leakage.leaked_passages(docs, items, "doc_id", "text", "id", ["q"]).collect()}
+    assert got == {(1, "x", "q", 30, 2, 61), (3, "x", "q", 12, 0, 23)}
+    with pytest.raises(ValueError, match="most_text"):
+        leakage.leaked_passages(docs, items, "doc_id", "text", "id", ["q"], most_text=5)
+    assert leakage.leaked_passages(docs, items.limit(0), "doc_id", "text", "id", ["q"]).count() == 0
+
+
 def test_word_offsets():
     for t in ["a b", "e‍́a ﬁ ｂ ½x", "́abc d_e", "a​b­c ©d", "  كِتـاب, x", ""]:
         got = leakage.word_offsets(t)
