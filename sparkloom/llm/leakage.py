@@ -20,6 +20,7 @@ item report once.
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -76,12 +77,13 @@ class Machine:
         self.automaton = ahocorasick.Automaton()
         for pattern, places in held.items():
             self.automaton.add_word(pattern, (len(pattern), places))
-        self.automaton.make_automaton()
+        if held:
+            self.automaton.make_automaton()
 
     def runs(self, w: list[str]) -> dict[int, list[tuple[int, int]]]:
         """For each line met in the words of a text: (first, last) starts of runs of ``size`` words
         that the line holds too, neighbours joined."""
-        if len(w) < self.size:
+        if len(w) < self.size or not self.lines:
             return {}
         text, at, place = f" {' '.join(w)} ", None, 0
         reach: dict[tuple[int, int], int] = {}  # line and its shift against the text -> where the words last agreed
@@ -118,16 +120,18 @@ def _joined(numbers: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_MACHINES: dict[int, Machine] = {}
+_MACHINES: dict[str, Machine] = {}
 
 
 def _found(held: Broadcast, size: int, kind: pa.DataType):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, sources = held.value
-        if id(lines) not in _MACHINES:
+        if name not in _MACHINES:  # a worker builds it once and uses it for all its tasks
             _MACHINES.clear()
-            _MACHINES[id(lines)] = Machine(lines, size)
-        machine = _MACHINES[id(lines)]
+            _MACHINES[name] = Machine(lines, size)
+        machine = _MACHINES[name]
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
