@@ -42,7 +42,7 @@ def brute_lists(m, k):
     return {i: sorted(range(len(m)), key=lambda j: (-s[i, j], j))[:k] for i in range(len(m))}, s
 
 
-@pytest.mark.parametrize("block", [3000, 40])
+@pytest.mark.parametrize("block", [3000, 150, 40])
 def test_knn_recall_and_exact_ties(spark, block):
     m = vectors(900)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [1.0]), (None, [1.0] * 16)]
@@ -66,10 +66,24 @@ def test_knn_small_tables(spark):
     assert {(r["id"], r["other"], r["cosine"]) for r in two.collect()} == {(1, 2, 1.0), (2, 1, 1.0), (3, 1, 0.0)}
 
 
-def test_footrule_gain():
-    a = np.array([[3, 1, 2]], np.int32)
-    b = np.array([[3, 2, 9], [7, 8, 9]], np.int32)
-    assert knn.footrule_gain(a, knn.places_table(b)).tolist() == [[3 + 1, 0]]
+def test_footrule():
+    a = np.array([[3, 1, 2]])
+    b = np.array([[3, 2, 9], [7, 8, 9], [1, 3, 5]])
+    assert knn.shared_ranks(a, b[None]).tolist() == [[3 + 1, 0, 2 + 2]]
+    none, first = np.zeros((1, 3), bool), np.array([[True, False, False]])
+    near = lambda least, earlier, posts: knn.footrule_near(a, np.array([least]), knn.places_table(b), earlier, posts)[1].tolist()
+    assert near(1, none, 3) == [0, 2] and near(5, none, 3) == [] and near(0, none, 3) == [0, 1, 2]
+    assert near(1, first, 1) == [2] and near(1, first, 3) == []
+
+
+def test_nearest_pivots_in_cells(monkeypatch):
+    m = vectors(600, 3)
+    u = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    exact = knn.Pivots(u[::3], 8).orders(u)
+    assert (exact[::3, 0] == np.arange(200)).mean() > 0.7  # but for the copies
+    monkeypatch.setattr(knn, "NEAR", 60)
+    some = knn.Pivots(u[::3], 8).orders(u)
+    assert np.mean([len(set(x) & set(y)) / 8 for x, y in zip(exact, some)]) > 0.8
 
 
 # --- near duplicates -------------------------------------------------------------------
