@@ -1,11 +1,10 @@
 """Vector and lexical search of a stated query set against all rows.
 
-Vector search multiplies a block of queries with Arrow batches of vectors and keeps the best k of
-each query inside a task, so a task sends k rows a query, not a row a pair. One block of queries
-goes to the tasks with the code; more are laid out with the rows in a grid of cells by shuffle and
-never pass through the driver. Lexical search is an equi-join on terms: the terms of the stated
-queries are broadcast up to ``SMALL`` rows, counted first, and select postings where the texts
-lie; more of them are joined by shuffle.
+Both score Arrow batches of rows against a block of queries and keep the best k of each query inside
+a task (see ``batch``), so a task sends k rows a query, not a row a pair. One block of queries
+goes to the tasks with the code. More vectors are laid out with the rows in a grid of cells by
+shuffle and never pass through the driver; more terms meet the rows' terms in an equi-join, where
+they are broadcast up to ``SMALL`` rows and ``SMALL_BYTES``, measured first, or joined by shuffle.
 """
 
 from __future__ import annotations
@@ -21,14 +20,16 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from ..functions import vectors as V
+from . import batch, fusion
 
-SMALL = 200_000  # rows of query terms that are broadcast (some 50 bytes each, so 10 MB)
+SMALL, SMALL_BYTES = 200_000, 32 << 20  # rows, and bytes as JSON, that are broadcast at most
 CELL = 20_000  # rows of a cell of the grid of vector search (64 floats each: 5 MB)
 
 
 def fits(rows: DataFrame) -> bool:
-    """Whether ``rows`` are few enough to broadcast; counted up to the bound."""
-    return rows.limit(SMALL + 1).count() <= SMALL
+    """Whether ``rows`` are few and short enough to broadcast; looked at up to the bound."""
+    n, size = rows.limit(SMALL + 1).select(F.struct("*").alias("x")).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json("x")))).first()
+    return n <= SMALL and (size or 0) <= SMALL_BYTES
 
 
 def bounded(rows: DataFrame) -> DataFrame:
@@ -42,41 +43,30 @@ def top_ranked(rows: DataFrame, k: int, by: str = "query_id", score: str = "scor
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _best_of_batches(ids: list, matrix: np.ndarray, k: int, key_type: pa.DataType, id_type: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_score = np.zeros((len(ids), 0))
-        best_id = np.zeros((len(ids), 0), object)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = np.array(batch.column("id").to_pylist(), object)
-            rows = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            rows /= np.linalg.norm(rows, axis=1, keepdims=True)
-            score = np.concatenate([best_score, np.round(matrix @ rows.T, 6)], axis=1)
-            name = np.concatenate([best_id, np.broadcast_to(names, (len(ids), len(names)))], axis=1)
-            if score.shape[1] > k:
-                least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
-                picked = [np.flatnonzero(s >= t) for s, t in zip(score, least)]
-                picked = [p[sorted(range(len(p)), key=lambda i, p=p, q=q: (-score[q, p[i]], name[q, p[i]]))[:k]] for q, p in enumerate(picked)]
-                score = np.array([score[q, p] for q, p in enumerate(picked)])
-                name = np.array([name[q, p] for q, p in enumerate(picked)], object)
-            best_score, best_id = score, name
-        n = best_score.shape[1]
-        keys = [q for q in ids for _ in range(n)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, key_type), pa.array(list(best_id.ravel()), id_type), pa.array(best_score.ravel(), pa.float64())], ["query_id", "id", "score"])
+def _cosines(matrix: np.ndarray):
+    """Cosines in millionths of unit queries and the vectors of a batch."""
 
-    return run
+    def score(part: pa.RecordBatch) -> np.ndarray:
+        rows = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+        return batch.units(matrix @ (rows / np.linalg.norm(rows, axis=1, keepdims=True)).T)
 
+    return score
 
-def _cell(k: int, key_type: pa.DataType, id_type: pa.DataType):
+
+def _cell(k: int, query_type: str, id_type: str):
     def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        names = ["query_id", "id", "score"]
-        if not asked.num_rows or not rows.num_rows:
-            return pa.table([pa.array([], t) for t in (key_type, id_type, pa.float64())], names)
-        matrix = asked.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(asked.num_rows, -1)
-        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-        best = _best_of_batches(asked.column("query_id").to_pylist(), matrix, k, key_type, id_type)
-        return pa.Table.from_batches(best(iter(rows.combine_chunks().to_batches(max_chunksize=4096))))
+        key_kind, id_kind = batch.KINDS[query_type], batch.KINDS[id_type]
+        queries = asked.column("query_id").to_pylist()
+        best = batch.Best(len(queries), k)
+        if asked.num_rows and rows.num_rows:
+            matrix = asked.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(asked.num_rows, -1)
+            score = _cosines(matrix / np.linalg.norm(matrix, axis=1, keepdims=True))
+            for part in rows.combine_chunks().to_batches(max_chunksize=4096):
+                ids = part.column("id")
+                best.add(score(part), np.array(ids.to_pylist(), object) if id_type == "string" else ids.to_numpy(zero_copy_only=False))
+        if best.ids is None:
+            return pa.table([pa.array([], t) for t in (key_kind, id_kind, pa.float64())], ["query_id", "id", "score"])
+        return pa.Table.from_batches([best.batch(queries, key_kind, id_kind)])
 
     return run
 
@@ -90,8 +80,7 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int, dim: int, block: in
     or infinite entries or all zero neither ask nor answer. A query whose id equals a row's is
     answered by that row too."""
     key, name = queries.schema["query_id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    asked, known = queries.where(V.usable(F.col("v"), dim)).select("query_id", "v"), rows.where(V.usable(F.col("v"), dim)).select("id", "v")
+    asked, known = queries.where(V.usable(F.col("v"), dim)).select("query_id", "v"), rows.where(V.usable(F.col("v"), dim) & F.col("id").isNotNull()).select("id", "v")
     schema = f"query_id {key}, id {name}, score double"
     first = asked.limit(block + 1).collect()  # at most block + 1 rows
     if not first:
@@ -99,13 +88,13 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int, dim: int, block: in
     if len(first) <= block:
         matrix = np.array([r["v"] for r in first], np.float64)
         matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-        return top_ranked(known.mapInArrow(_best_of_batches([r["query_id"] for r in first], matrix, k, kinds[key], kinds[name]), schema), k)
+        return top_ranked(batch.best_rows(known, [r["query_id"] for r in first], key, k, _cosines(matrix), 4096), k)
     blocks, groups = -(-asked.count() // block), max(1, -(-known.count() // cell))
     every = lambda n, c: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c)
     left = asked.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_block"), every(groups, "_group"))
     right = known.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("_group"), every(blocks, "_block"))
     at = ["_block", "_group"]
-    return top_ranked(left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_cell(k, kinds[key], kinds[name]), schema), k)
+    return top_ranked(left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_cell(k, key, name), schema), k)
 
 
 def above(hits: DataFrame, threshold: float, strict: bool = True) -> DataFrame:
@@ -135,8 +124,16 @@ def match_all(queries: DataFrame, rows: DataFrame) -> DataFrame:
     return matched_terms(query_terms(queries), rows).where("matched = n_terms").select("query_id", "id")
 
 
+def token_rows(rows: DataFrame, *more: str) -> DataFrame:
+    """(id, terms, ...) of ``rows`` (id, text, ...)."""
+    return rows.select("id", F.coalesce(T.tokens(F.col("text")), F.array()).alias("terms"), *more)
+
+
 def coverage(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """Top k by the share of the query's terms a row holds."""
+    asked = batch.stated_terms(queries)
+    if asked:
+        return top_ranked(batch.best_rows(token_rows(rows), asked.ids, asked.kind, k, batch.coverage_score(asked)), k)
     got = matched_terms(query_terms(queries), rows)
     return top_ranked(got.select("query_id", "id", F.round(F.col("matched") / F.col("n_terms"), 6).alias("score")), k)
 
@@ -152,18 +149,35 @@ def expanded_coverage(queries: DataFrame, rows: DataFrame, weight: float = 0.7)
     return got.select("query_id", "id", F.greatest(F.col("a") / F.col("na"), weight * F.col("b") / F.col("nb")).alias("score"))
 
 
+def profile(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """Top k of ``rows`` (id, text, name, section: lower-cased, phrases: a mask) by the local lexical
+    leg: expanded coverage x name boost x phrase boost. ``queries`` have (query_id, text, phrases)."""
+    asked = batch.stated_terms(queries.select("query_id", "text"), queries.select("query_id", "phrases"))
+    if asked:
+        return top_ranked(batch.best_rows(token_rows(rows, "name", "section", "phrases"), asked.ids, asked.kind, k, batch.profile_score(asked)), k)
+    base = expanded_coverage(queries.select("query_id", "text"), rows.select("id", "text"))
+    side = queries.select("query_id", T.token_set(F.col("text")).alias("terms"), F.col("phrases").alias("asked_phrases"))
+    joined = base.join(bounded(side), "query_id").join(rows.drop("text"), "id")
+    boost = fusion.name_boost(F.col("terms"), F.col("name"), F.col("section")) * fusion.phrase_boost(F.col("asked_phrases"), F.col("phrases"))
+    return top_ranked(joined.select("query_id", "id", F.round(F.col("score") * boost, 6).alias("score")), k)
+
+
 def bm25(queries: DataFrame, rows: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Top k by Okapi BM25 (an extension: saturated term frequency, length norm, idf)."""
     known = rows.where("text is not null").select("id", "text")
+    asked = batch.stated_terms(queries)
+    if asked:
+        held = token_rows(known)
+        return top_ranked(batch.best_rows(held, asked.ids, asked.kind, k, batch.bm25_score(asked, *batch.term_weights(asked, held), k1, b)), k)
     n, mean = known.agg(F.count(F.lit(1)), F.avg(F.size(T.tokens(F.col("text"))))).first()  # one row
-    asked = query_terms(queries).select("query_id", "term")
-    marked = F.broadcast if fits(asked) else lambda df: df  # the terms and their weights are no more than these
+    terms = query_terms(queries).select("query_id", "term")
+    marked = F.broadcast if fits(terms) else lambda df: df  # the terms and their weights are no more than these
     held = known.repartition("id").select("id", T.tokens(F.col("text")).alias("terms")).select("id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
-    tf = held.join(marked(asked.select("term").distinct()), "term").groupBy("id", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
+    tf = held.join(marked(terms.select("term").distinct()), "term").groupBy("id", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean or 1.0)))
-    scored = tf.join(marked(idf), "term").join(marked(asked), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = tf.join(marked(idf), "term").join(marked(terms), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return top_ranked(scored, k)
 
 

@@ -36,13 +36,21 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) ->
     return spread(table(spark, sf_dir, name).select(*columns))
 
 
-def first_chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """One row per chunk_id, that of the smallest id, with the content to show and to search."""
-    first = Window.partitionBy("chunk_id").orderBy("id")
+def first_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, id): the smallest id of each chunk_id."""
+    return table(spark, sf_dir, "chunks").groupBy("chunk_id").agg(F.min("id").alias("id"))
+
+
+def first_chunks(spark: SparkSession, sf_dir: str, *columns: str, heavy: bool = False) -> DataFrame:
+    """One row per chunk_id, that of the smallest id, with the content to show and to search. Only
+    ids are aggregated; texts move at most once, and not where the ids can be broadcast. ``heavy``:
+    for work that is heavy per row, see ``spread``."""
     rows = table(spark, sf_dir, "chunks")
     if columns:
         rows = rows.select("id", "chunk_id", *columns)
-    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    if heavy:
+        rows = spread(rows)
+    return rows.join(first_ids(spark, sf_dir).select("id"), "id", "left_semi")
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import fusion, search
 from ..operators.fusion import DEMO, OFFLINE, SERVER, Profile
-from .base import FIRST_CHUNKS, first_chunks, query, registry, runs, RUNS, table, tok, tokset
+from .base import FIRST_CHUNKS, first_chunks, first_ids, query, registry, runs, RUNS, spread_table, table, tok, tokset
 
 DIM = 64
 USABLE = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
@@ -80,7 +80,7 @@ def _asked(spark, d) -> DataFrame:
 
 
 def _texts(spark, d) -> DataFrame:
-    return table(spark, d, "chunks").select("id", F.col("original_text").alias("text"))
+    return spread_table(spark, d, "chunks", "id", "original_text").withColumnRenamed("original_text", "text")
 
 
 @query(f"""WITH {TERMS}, {HELD}, m AS (SELECT query_id, id, round(count(*) / max(n_terms), 6) AS score FROM held JOIN qt USING (term) GROUP BY 1, 2)
@@ -130,15 +130,9 @@ lex AS (SELECT query_id, id, round(base * (1.0 + 0.3 * len(list_filter(own, lamb
 def _lexical(spark, d, k: int) -> DataFrame:
     """The local lexical leg: expanded coverage x name boost x phrase boost. What depends on the
     query or the chunk alone is computed before they meet."""
-    chunks = first_chunks(spark, d, "original_text", "document_name", "section_title")
-    asked = _questions(spark, d)
-    base = search.expanded_coverage(asked, chunks.select("id", F.col("original_text").alias("text")))
-    side = asked.select("query_id", T.token_set(F.col("text")).alias("terms"), fusion.phrase_mask(F.col("text")).alias("qm"))
-    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    names = chunks.select("id", low("document_name").alias("name"), low("section_title").alias("section"), fusion.phrase_mask(F.col("original_text")).alias("tm"))
-    joined = base.join(search.bounded(side), "query_id").join(names, "id")
-    boost = fusion.name_boost(F.col("terms"), F.col("name"), F.col("section")) * fusion.phrase_boost(F.col("qm"), F.col("tm"))
-    return search.top_ranked(joined.select("query_id", "id", F.round(F.col("score") * boost, 6).alias("score")), k)
+    chunks, low = first_chunks(spark, d, "original_text", "document_name", "section_title", heavy=True), lambda c: F.lower(F.coalesce(c, F.lit("")))
+    rows = chunks.select("id", F.col("original_text").alias("text"), low("document_name").alias("name"), low("section_title").alias("section"), fusion.phrase_mask(F.col("original_text")).alias("phrases"))
+    return search.profile(_questions(spark, d).withColumn("phrases", fusion.phrase_mask(F.col("text"))), rows, k)
 
 
 @query(f"WITH {FIRST_CHUNKS}, {_profile_sql(10)} SELECT query_id, id, score, rank::INT AS rank FROM lexical")
@@ -158,7 +152,7 @@ def chunk_vectors(spark, d) -> DataFrame:
     rows = table(spark, d, "chunk_vectors").where(V.usable(F.col("embedding"), DIM))
     first = Window.partitionBy("chunk_id").orderBy("vec_id")
     one = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("chunk_id", F.col("embedding").alias("v"))
-    return one.join(first_chunks(spark, d, "document_name").select("id", "chunk_id"), "chunk_id").select("id", "chunk_id", "v")
+    return one.join(first_ids(spark, d), "chunk_id").select("id", "chunk_id", "v")
 
 
 def query_vectors(spark, d) -> DataFrame:
@@ -178,7 +172,8 @@ def _fused(spark, d, profile: Profile, top: int) -> DataFrame:
     weights = _questions(spark, d).select("query_id", F.col("text").alias("query"), fusion.keyword_weight(F.col("text"), profile.lexical_weight).alias("w"))
     fused = fusion.fuse(_semantic(spark, d, n), _lexical(spark, d, n), profile, top, F.lit(1.0)).drop("score").join(search.bounded(weights), "query_id")
     fused = fusion_score(fused, profile, n)
-    return fused.join(first_chunks(spark, d, "document_name", "section_title", "original_text").drop("chunk_id"), "id")
+    # The candidates' ids are those of first chunks, so only their rows are fetched.
+    return fused.join(table(spark, d, "chunks").select("id", "document_name", "section_title", "original_text"), "id")
 
 
 def fusion_score(rows: DataFrame, profile: Profile, n: int) -> DataFrame:
