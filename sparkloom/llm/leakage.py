@@ -22,6 +22,7 @@ from __future__ import annotations
 import unicodedata
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -32,6 +33,18 @@ from .common import stage
 from .textform import _PLAIN, TATWEEL, consistent_form, is_invisible, words
 
 
+@lru_cache(100_000)
+def _part(part: str) -> tuple[str, bool]:
+    """What a character with its marks becomes, lower-cased, and whether it is white space."""
+    form = consistent_form(part)
+    return form.lower(), not form and _PLAIN[ord(part[0])].isspace()
+
+
+@lru_cache(100_000)
+def _follows(ch: str) -> bool:
+    return bool(unicodedata.combining(ch)) or is_invisible(ch) or ch == TATWEEL or unicodedata.category(ch)[0] == "M"
+
+
 def word_offsets(text: str) -> list[tuple[str, int, int]]:
     """The words of a text with the start and end of each in the original. Slower than
     ``words``; used only on texts in which something was found."""
@@ -39,12 +52,12 @@ def word_offsets(text: str) -> list[tuple[str, int, int]]:
     i, open_word = 0, False
     while i < len(text):
         j = i + 1
-        while j < len(text) and (unicodedata.combining(text[j]) or is_invisible(text[j]) or text[j] == TATWEEL or unicodedata.category(text[j])[0] == "M"):
+        while j < len(text) and _follows(text[j]):
             j += 1
-        form = consistent_form(text[i:j])
-        if not form and _PLAIN[ord(text[i])].isspace():
+        form, blank = _part(text[i:j])
+        if blank:
             open_word = False
-        for ch in form.lower():
+        for ch in form:
             if not ch.isalnum():
                 open_word = False
             elif open_word:

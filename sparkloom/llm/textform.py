@@ -109,21 +109,21 @@ def before_folding(text: str) -> str:
 
 def consistent_form(text: str | None) -> str | None:
     """The consistent form of one string; null stays null, blank becomes empty."""
-    if text is None:
-        return None
+    return None if text is None else " ".join(_folded_text(text).split())
+
+
+def _folded_text(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFC", text.translate(_FORMED))
         if any(mark in text for mark in COMPOSING):  # the other marks are gone by now
             text = unicodedata.normalize("NFC", _MARKS.sub("", text))
         text = text.translate(_FOLDS)
-    return " ".join(text.split())
+    return text
 
 
 def words(text: str | None) -> list[str]:
     """Maximal runs of letters and digits in the lower-cased consistent form."""
-    if not text:
-        return []
-    return _WORD.findall(consistent_form(text).lower())
+    return _WORD.findall(_folded_text(text).lower()) if text else []
 
 
 # --- the relational operator -------------------------------------------------------------
