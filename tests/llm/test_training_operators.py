@@ -83,7 +83,7 @@ def test_nearest_pivots_in_cells(monkeypatch):
     assert (exact[::3, 0] == np.arange(200)).mean() > 0.7  # but for the copies
     monkeypatch.setattr(knn, "NEAR", 60)
     some = knn.Pivots(u[::3], 8).orders(u)
-    assert np.mean([len(set(x) & set(y)) / 8 for x, y in zip(exact, some)]) > 0.8
+    assert np.mean([len(set(x) & set(y)) / 8 for x, y in zip(exact, some)]) > 0.6
 
 
 # --- near duplicates -------------------------------------------------------------------
