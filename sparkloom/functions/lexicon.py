@@ -68,3 +68,25 @@ ARABIC_FROM = "آأإٱٲٳىیکگ٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹،؛
 ARABIC_TO = "ااااااييكغ01234567890123456789,;?\"\""
 TASHKEEL = ["064B-065F", "0670", "06D6-06DC", "06DF-06E4", "06E7", "06E8", "06EA-06ED"]
 ARABIC_BLOCKS = ["0600-06FF", "0750-077F", "08A0-08FF"]
+
+# Words of questions that are out of scope, and those the streamed answer adds.
+OFF_TOPIC = ["restaurant", "weather", "football", "soccer", "world cup", "finance", "stock", "recipe", "travel", "hotel", "movie", "music"]
+MORE_OFF_TOPIC = [*OFF_TOPIC, "fashion", "cooking", "gym", "salary"]
+SCOPE_LEVELS = ["ALLOWED", "NEEDS_CAUTION", "REFUSE"]
+
+# Parts of document names that tell the kind of a source, in the order in which they are tried.
+OFFICIAL = ["peds", "nice", "dsm5", "who_", "cdc_", "fda"]
+PEER_REVIEWED = ["eye-tracking", "metaanalysis", "antshel", "fpsyt"]
+
+# What an image reader leaves in a text, and in an answer (with what must be there for a pattern to match).
+IMAGE_MARKS = [r"!\[.*?\]\([^)]*\)", r"(?i)image\.png|image\.jpg|image\.jpeg|figure\.png|fig\.png", r"(?i)<img[^>]*>", r"(?i)ERROR:\s*Cannot read.*?Inform the user\.\s*"]
+READER_ERRORS = [
+    ("cannot read", r'(?i)ERROR:\s*Cannot read ".*?"\s*\(.*?model does not support image input.*?\)[^\n]*'),
+    ("cannot read", r"(?i)[^\n]*Cannot read[^\n]*image[^\n]*\n?"),
+    ("this model does not support image input", r"(?i)[^\n]*This model does not support image input[^\n]*\n?"),
+    ("inform the user.", r"(?i)Inform the user\.[^\n]*"),
+]
+# The vowel marks that the older Arabic normalizer removes besides ``TASHKEEL``, and the letters it folds.
+MORE_TASHKEEL = ["0610-061A"]
+LEGACY_FROM = "أإآٱىی٠١٢٣٤٥٦٧٨٩،؛؟"
+LEGACY_TO = "اااايي0123456789,;?"

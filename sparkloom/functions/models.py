@@ -51,22 +51,3 @@ def embed(text: Column, client: Callable[[pd.Series], list] = hashed_embedding)
         return pd.Series(call(batch))
 
     return run(text)
-
-
-class Fallback:
-    """Providers in order; the preferred one first; the first that answers is used."""
-
-    def __init__(self, providers: dict[str, Callable[[str], str]], preferred: str | None = None):
-        self.providers = sorted(providers.items(), key=lambda x: x[0] != preferred)
-        self.last: str | None = None
-
-    def __call__(self, prompt: str) -> str | None:
-        for name, call in self.providers:
-            try:
-                answer = call(prompt)
-            except Exception:
-                continue
-            if answer:
-                self.last = name
-                return answer
-        return None

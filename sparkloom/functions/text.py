@@ -66,6 +66,12 @@ def normalize_arabic(text: Column, compose: bool = False, ta_marbuta: bool = Fal
     return squeeze(F.regexp_replace(text, r"[\x{00A0}\x{200B}\x{200C}\x{200D}\x{FEFF}]", " "))
 
 
+def legacy_arabic(text: Column) -> Column:
+    """The older Arabic normalizer: composed, more marks removed, fewer letters and digits folded."""
+    text = F.regexp_replace(nfkc(text), r"\x{0640}|" + _class([*L.MORE_TASHKEEL, *L.TASHKEEL]), "")
+    return squeeze(F.translate(text, L.LEGACY_FROM, L.LEGACY_TO))
+
+
 def detect_language(text: Column) -> Column:
     """unknown, ar, mixed or en by the share of Arabic-block characters in the letters. The
     share can exceed 1, as digits and marks of the block count. Null and blank are unknown."""
@@ -140,21 +146,15 @@ def strip_thinking(text: Column) -> Column:
 
 def sanitize_chunk(text: Column) -> Column:
     """Image markup and image-reader errors removed."""
-    for pattern in (r"!\[.*?\]\([^)]*\)", r"(?i)image\.png|image\.jpg|image\.jpeg|figure\.png|fig\.png", r"(?i)<img[^>]*>", r"(?i)ERROR:\s*Cannot read.*?Inform the user\.\s*"):
+    for pattern in L.IMAGE_MARKS:
         text = F.regexp_replace(text, pattern, "")
     return strip(text)
 
 
 def sanitize_answer(text: Column) -> Column:
     """Lines with image-reader errors removed; three or more line breaks become two."""
-    patterns = (  # with what must be there for a pattern to match: a scan for it alone is linear
-        ("cannot read", r'(?i)ERROR:\s*Cannot read ".*?"\s*\(.*?model does not support image input.*?\)[^\n]*'),
-        ("cannot read", r"(?i)[^\n]*Cannot read[^\n]*image[^\n]*\n?"),
-        ("this model does not support image input", r"(?i)[^\n]*This model does not support image input[^\n]*\n?"),
-        ("inform the user.", r"(?i)Inform the user\.[^\n]*"),
-    )
     low = F.lower(text)
-    for needed, pattern in patterns:
+    for needed, pattern in L.READER_ERRORS:  # a scan for what is needed alone is linear
         text = F.when(low.contains(needed), F.regexp_replace(text, pattern, "")).otherwise(text)
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
@@ -169,6 +169,12 @@ def score_class(score: Column, high: float = 0.55, medium: float = 0.40) -> Colu
     return F.when(score >= high, "high").when(score >= medium, "medium").otherwise("low")
 
 
+def authority_badge(name: Column) -> Column:
+    """official, peer-reviewed or toolkit, by parts of a document name."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    return F.when(contains_any(low, L.OFFICIAL), "official").when(contains_any(low, L.PEER_REVIEWED), "peer-reviewed").otherwise("toolkit")
+
+
 def contains_any(text: Column, terms: Sequence[str]) -> Column:
     out = F.lit(False)
     for term in terms:

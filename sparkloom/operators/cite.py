@@ -36,10 +36,13 @@ def citations(answers: DataFrame, text: str = "answer") -> DataFrame:
 
 def bind(cited: DataFrame, hits: DataFrame) -> DataFrame:
     """``cited`` with ``valid``: a number is that of a hit's rank; a name holds, or is held in,
-    the document name, or holds the section title of a hit of its run."""
+    the document name, or holds the section title, or is the chunk id of a hit of its run. A blank
+    citation is valid for none."""
     keyed = cited.withColumn("low", F.lower(F.trim("citation")))
-    sources = hits.select("run_id", F.col("rank").cast("string").alias("r"), F.lower(F.coalesce("document_name", F.lit(""))).alias("d"), F.lower(F.coalesce("section_title", F.lit(""))).alias("s"))
+    sources = hits.select("run_id", F.col("rank").cast("string").alias("r"), F.lower(F.coalesce("document_name", F.lit(""))).alias("d"), F.lower(F.coalesce("section_title", F.lit(""))).alias("s"),
+                           F.lower(F.coalesce("chunk_id", F.lit(""))).alias("c") if "chunk_id" in hits.columns else F.lit("").alias("c"))
     names = ((F.col("d") != "") & (F.col("low").contains(F.col("d")) | F.col("d").contains(F.col("low")))) | ((F.col("s") != "") & F.col("low").contains(F.col("s")))
+    names = (F.col("low") != "") & (names | (F.col("low") == F.col("c")))
     ok = F.when(F.col("kind") == "number", F.col("r") == F.col("low")).otherwise(names)
     joined = keyed.join(sources, "run_id", "left").groupBy("run_id", "kind", "citation").agg(F.max(F.coalesce(ok, F.lit(False))).alias("valid"))
     return cited.join(joined, ["run_id", "kind", "citation"])
@@ -90,6 +93,15 @@ def unsupported_claims(answers: DataFrame, hits: DataFrame, least: float = 0.3)
     return shares.where(F.col("k") / F.greatest(F.col("n"), F.lit(1)) < least).select("run_id", "position", F.substring("sentence", 1, 120).alias("claim"))
 
 
+def claim_faithfulness(answers: DataFrame, hits: DataFrame, least: float = 0.3) -> DataFrame:
+    """(run_id, sentences, unsupported, faithfulness): 1 less the share of unsupported claims in the
+    sentences of an answer."""
+    bad = unsupported_claims(answers, hits, least).groupBy("run_id").agg(F.count(F.lit(1)).alias("unsupported"))
+    rows = answers.select("run_id", F.greatest(F.size(T.sentences(F.col("answer"))), F.lit(1)).alias("sentences")).join(bad, "run_id", "left")
+    rows = rows.withColumn("unsupported", F.coalesce("unsupported", F.lit(0)))
+    return rows.withColumn("faithfulness", F.round(1.0 - F.col("unsupported") / F.col("sentences"), 6))
+
+
 def inject_citations(answers: DataFrame, hits: DataFrame, least: int = 2) -> DataFrame:
     """(run_id, answer): each sentence without a [SOURCE: ...] mark gets that of the hit that
     shares most key terms with it (the first of equals), when they share at least ``least``."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..functions.models import with_retry
 
 
 @dataclass(frozen=True)
@@ -154,3 +155,23 @@ def rerank(rows: DataFrame, top: int, score: Column | None = None, threshold: fl
         scored = scored.where(F.col("rerank_score") >= threshold)
     order = Window.partitionBy(by).orderBy(F.desc("rerank_score"), "id")
     return scored.withColumn("rerank_rank", F.row_number().over(order)).where(F.col("rerank_rank") <= top)
+
+
+def rerank_by(rows: DataFrame, top: int, client, by: str = "query_id", rank: str = "rank") -> DataFrame:
+    """As ``rerank``, with a cross-encoder client over Arrow batches (queries, contents) -> scores.
+    Where it fails after retries, or gives no score, the first ``top`` rows with content keep
+    their order and their similarity is their score."""
+    call = with_retry(lambda both: client(*both))
+
+    @F.pandas_udf("double")
+    def scored(queries: pd.Series, contents: pd.Series) -> pd.Series:
+        try:
+            return pd.Series(call((queries, contents)), dtype="float64")
+        except Exception:
+            return pd.Series([None] * len(queries), dtype="float64")
+
+    valid = rows.where(F.length(F.trim("content")) > 0).withColumn("_score", scored(F.col("query"), F.col("content")))
+    failed = F.max(F.col("_score").isNull()).over(Window.partitionBy(by))
+    valid = valid.withColumn("_failed", failed).withColumn("rerank_score", F.round(F.when(F.col("_failed"), F.coalesce("similarity", F.lit(0.0))).otherwise(F.col("_score")), 6))
+    order = Window.partitionBy(by).orderBy(F.when(F.col("_failed"), F.col(rank)), F.desc("rerank_score"), "id")
+    return valid.withColumn("rerank_rank", F.row_number().over(order)).where(F.col("rerank_rank") <= top).drop("_score", "_failed")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
 from ..functions import text as T
 
 
@@ -45,6 +46,28 @@ def confidence(hits: DataFrame, cited: DataFrame) -> DataFrame:
     return rows.withColumn("confidence", F.when(points >= 7, "HIGH").when(points >= 4, "MEDIUM").when(points >= 2, "LOW").otherwise("INSUFFICIENT"))
 
 
-def parsed_scope(payload: Column, schema: str = "scope string, reason string") -> Column:
-    """The scope of a model's JSON answer, failing closed: what does not parse is REFUSE."""
-    return F.coalesce(F.from_json(F.regexp_replace(payload, "(?s)<think>.*?</think>", ""), schema)["scope"], F.lit("REFUSE"))
+def _json(payload: Column, schema: str) -> Column:
+    return F.from_json(T.strip_thinking(payload), schema)
+
+
+def parsed_scope(payload: Column) -> Column:
+    """The ``scope_level`` of a model's JSON answer, failing closed: what does not parse, is missing or
+    is no level is REFUSE."""
+    level = F.upper(_json(payload, "scope_level string")["scope_level"])
+    return F.when(level.isin(L.SCOPE_LEVELS), level).otherwise("REFUSE")
+
+
+def parsed_scores(payload: Column) -> Column:
+    """The ``scores`` of a critic's JSON answer as array<struct<chunk_idx, score, reasoning>>; what does
+    not parse has none. Scores outside 0 to 10 make the whole answer invalid."""
+    scores = F.coalesce(_json(payload, "scores array<struct<chunk_idx:int,score:int,reasoning:string>>")["scores"], F.array())
+    valid = F.forall(scores, lambda x: F.coalesce(x["score"].between(0, 10), F.lit(False)))
+    return F.when(valid, scores).otherwise(F.slice(scores, 1, 0))
+
+
+def critic_report(scores: Column, least_mean: float = 6.0, least_count: int = 2) -> Column:
+    """struct<verdict, mean_relevance, relevant_count> of such scores; none is INSUFFICIENT."""
+    total = F.aggregate(scores, F.lit(0), lambda a, x: a + x["score"])
+    mean = F.when(F.size(scores) > 0, F.round(total / F.size(scores), 6)).otherwise(F.lit(0.0))
+    count = F.size(F.filter(scores, lambda x: x["score"] >= 6))
+    return F.struct(F.when((mean >= least_mean) & (count >= least_count), "SUFFICIENT").otherwise("INSUFFICIENT").alias("verdict"), mean.alias("mean_relevance"), count.alias("relevant_count"))

@@ -129,6 +129,30 @@ def token_rows(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select("id", F.coalesce(T.tokens(F.col("text")), F.array()).alias("terms"), *more)
 
 
+def weighted_match(queries: DataFrame, rows: DataFrame, k: int, weights: tuple[float, float, float] = (1.0, 0.4, 0.2)) -> DataFrame:
+    """Top k of ``rows`` (id, a, b, c: texts) that hold every term of the query in some field, by the mean
+    over the terms of the largest ``weights`` of a field that holds it (section, name, content)."""
+    a, b, c = (F.coalesce(T.token_set(F.col(x)), F.array()) for x in "abc")
+    once = (a, F.array_except(b, a), F.array_except(F.array_except(c, a), b))
+    weighted = lambda x, w: F.transform(x, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+    terms = F.concat(*[weighted(x, w) for x, w in zip(once, weights)])
+    held = rows.select("id", F.explode(terms).alias("x")).select("id", "x.term", "x.w")
+    got = held.join(bounded(query_terms(queries)), "term").groupBy("query_id", "id").agg(F.first("n_terms").alias("n"), F.count(F.lit(1)).alias("m"), F.sum("w").alias("w"))
+    return top_ranked(got.where("m = n").select("query_id", "id", F.round(F.col("w") / F.col("n"), 6).alias("score")), k)
+
+
+def fallback(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, similarity, rank): what is left when scoring is not to be had. Rows (id, text,
+    document_name, language) with every term of the query, under its optional filters ``document``
+    and ``language`` (null: none), the k smallest ids, similarity 0."""
+    terms = query_terms(queries).join(queries.select("query_id", "document", "language"), "query_id")
+    asked = terms.select("query_id", "n_terms", "term", F.col("document").alias("_d"), F.col("language").alias("_l"))
+    held = rows.select("id", "document_name", "language", F.explode(T.token_set(F.col("text"))).alias("term"))
+    met = held.join(bounded(asked), "term").where("(_d is null or _d = document_name) and (_l is null or _l = language)")
+    got = met.groupBy("query_id", "id").agg(F.first("n_terms").alias("n"), F.count(F.lit(1)).alias("m")).where("m = n")
+    return top_ranked(got.select("query_id", "id", F.lit(0.0).alias("similarity")), k, score="similarity")
+
+
 def coverage(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """Top k by the share of the query's terms a row holds."""
     asked = batch.stated_terms(queries)

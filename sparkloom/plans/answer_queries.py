@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..operators import cite, guard, metrics
+from ..operators import agents, cite, guard, metrics
 from .base import EVIDENCE, JUDGED, RUNS, evidence, judged, query, runs, sentences, squeeze, table, tokset
 
 _RELATED = "(g <> '' AND lower(coalesce(document_name, '')) <> '' AND (contains(lower(coalesce(document_name, '')), g) OR contains(g, lower(coalesce(document_name, '')))))"
@@ -182,12 +182,30 @@ def verdict_accuracy(spark, d):
     )
 
 
-BLOCKED = ["weather", "football", "recipe", "stock price", "bitcoin", "lottery"]
+def _any(x: str, words) -> str:
+    return " OR ".join(f"contains(lower(coalesce({x}, '')), '{w}')" for w in words)
 
 
-@query("SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' OR " + " OR ".join(f"contains(lower(coalesce(text, '')), '{b}')" for b in BLOCKED) + " THEN 'REFUSE' ELSE 'ALLOWED' END AS scope FROM documents")
+@query(f"SELECT id, CASE WHEN trim(coalesce(question, '')) = '' OR {_any('question', L.OFF_TOPIC)} THEN 'REFUSE' ELSE 'ALLOWED' END AS scope, CASE WHEN trim(coalesce(question, '')) = '' OR {_any('question', L.MORE_OFF_TOPIC)} THEN 'REFUSE' ELSE 'ALLOWED' END AS streamed_scope FROM eval_items")
 def scope_keyword_gate(spark, d):
-    return table(spark, d, "documents").select("doc_id", guard.scope(F.col("text"), BLOCKED).alias("scope"))
+    return table(spark, d, "eval_items").select("id", guard.scope(F.col("question"), L.OFF_TOPIC).alias("scope"), guard.scope(F.col("question"), L.MORE_OFF_TOPIC).alias("streamed_scope"))
+
+
+@query(f"SELECT doc_id, CASE WHEN trim(coalesce(title, '')) = '' OR {_any('title', L.OFF_TOPIC)} THEN 'REFUSE' WHEN {_any('title', L.KEYWORD_TERMS)} THEN 'NEEDS_CAUTION' ELSE 'ALLOWED' END AS scope FROM documents")
+def scope_classifier(spark, d):
+    """The pluggable scope checker with its offline rules, on every title: batch, JSON, parse."""
+    return agents.with_scope(table(spark, d, "documents").select("doc_id", "title"), "title").select("doc_id", "scope")
+
+
+_F1 = f"CASE WHEN len(q) > 0 AND len(c) > 0 THEN floor(10 * (2.0::DOUBLE * len(list_intersect(q, c)) / (len(q) + len(c))) + 0.5) ELSE 0 END"
+
+
+@query(f"""WITH {EVIDENCE}, s AS (SELECT run_id, {tokset('query')} AS q, {tokset("substring(coalesce(content, ''), 1, 500)")} AS c FROM evidence WHERE rank <= 5), r AS (SELECT run_id, {_F1} AS score FROM s),
+m AS (SELECT run_id, round(avg(score), 6) AS mean_relevance, (count(*) FILTER (score >= 6))::INT AS relevant_count FROM r GROUP BY 1)
+SELECT run_id, CASE WHEN mean_relevance >= 6 AND relevant_count >= 2 THEN 'SUFFICIENT' ELSE 'INSUFFICIENT' END AS verdict, mean_relevance, relevant_count FROM m""")
+def context_evaluation(spark, d):
+    """The pluggable critic with its offline score, on the evidence of every run: batch, JSON, parse, verdict."""
+    return agents.evaluate(evidence(spark, d))
 
 
 @query(f"WITH {RUNS}, s AS (SELECT run_id, round(10 * coalesce(rerank_score, similarity, 0.0)) AS score FROM runs), c AS (SELECT run_id, round(avg(score), 6) AS mean_relevance, count(*) FILTER (score >= 6) AS relevant_count FROM s GROUP BY 1) SELECT *, CASE WHEN mean_relevance >= 6 AND relevant_count >= 2 THEN 'SUFFICIENT' ELSE 'INSUFFICIENT' END AS verdict FROM c")
@@ -265,13 +283,43 @@ def _plain(spark, d):
     return _answers(spark, d).select("run_id", F.regexp_replace("answer", r" 【Source \d+】", "").alias("answer"))
 
 
-@query(f"""WITH {ANSWERS}, {_PLAIN}, s AS (SELECT run_id, trim(unnest({sentences('answer')})) AS sentence, generate_subscripts({sentences('answer')}, 1)::INT - 1 AS position FROM plain),
+def _truth(spark, d):
+    """The ground truth of each run's item as its answer: its claims need not be in the evidence."""
+    items = table(spark, d, "eval_items").where("ground_truth_answer is not null").select(F.col("id").alias("query_id"), F.col("ground_truth_answer").alias("answer"))
+    return runs(spark, d).select("run_id", "query_id").distinct().join(items, "query_id").select("run_id", "answer")
+
+
+_CLAIMS = f"""truth AS (SELECT DISTINCT run_id, ground_truth_answer AS answer FROM judged j JOIN eval_items e ON e.id = j.query_id WHERE ground_truth_answer IS NOT NULL),
+s AS (SELECT run_id, trim(unnest({sentences('answer')})) AS sentence, generate_subscripts({sentences('answer')}, 1)::INT - 1 AS position FROM truth),
 c AS (SELECT *, {_terms('sentence', 4)} AS terms FROM s WHERE length(sentence) >= 20 AND NOT contains(sentence, '[SOURCE:') AND NOT contains(sentence, '【Source') AND {_CLAIM_MARKS}),
-h AS (SELECT run_id, list_distinct(flatten(list({_terms('content', 4)}))) AS held FROM evidence WHERE rank > 3 GROUP BY 1)
-SELECT c.run_id, position, substring(sentence, 1, 120) AS claim FROM c LEFT JOIN h USING (run_id) WHERE coalesce(len(list_intersect(terms, held)), 0) / greatest(len(terms), 1) < 0.3""")
+h AS (SELECT run_id, list_distinct(flatten(list({_terms('content', 4)}))) AS held FROM evidence GROUP BY 1),
+bad AS (SELECT c.run_id, position, substring(sentence, 1, 120) AS claim FROM c LEFT JOIN h USING (run_id) WHERE coalesce(len(list_intersect(terms, held)), 0) / greatest(len(terms), 1) < 0.3)"""
+
+
+@query(f"WITH {EVIDENCE}, {_CLAIMS} SELECT run_id, position, claim FROM bad")
 def unsupported_claims(spark, d):
-    """Claims of the answer, made from hits 1 to 3, against the other hits of the run."""
-    return cite.unsupported_claims(_plain(spark, d), evidence(spark, d).where("rank > 3"))
+    """Claims of the ground truth that the hits of the run do not bear out."""
+    return cite.unsupported_claims(_truth(spark, d), evidence(spark, d))
+
+
+@query(f"""WITH {EVIDENCE}, {_CLAIMS}, n AS (SELECT run_id, greatest(len({sentences('answer')}), 1)::INT AS sentences FROM truth), b AS (SELECT run_id, count(*) AS unsupported FROM bad GROUP BY 1)
+SELECT run_id, sentences, coalesce(unsupported, 0) AS unsupported, round(1.0 - coalesce(unsupported, 0) / sentences, 6) AS faithfulness FROM n LEFT JOIN b USING (run_id)""")
+def claim_faithfulness(spark, d):
+    return cite.claim_faithfulness(_truth(spark, d), evidence(spark, d))
+
+
+@query(f"WITH {METRICS}, {FAILURES.format(same=4)} SELECT category, count(*) AS runs, count(failure_mode) AS refused, round(count(failure_mode) / count(*), 6) AS refusal_rate FROM metrics LEFT JOIN failures USING (run_id) GROUP BY category")
+def refusal_rate(spark, d):
+    """The share of runs with a failure mode: for questions out of scope, the refusal rate."""
+    rows = _metrics(spark, d).join(metrics.failure_modes(judged(spark, d)), "run_id", "left")
+    refused = F.count("failure_mode")
+    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("runs"), refused.alias("refused"), F.round(refused / F.count(F.lit(1)), 6).alias("refusal_rate"))
+
+
+@query(f"WITH {RUNS} SELECT run_id, max(coalesce(similarity, 0.0)) AS top_similarity, round(avg(coalesce(similarity, 0.0)), 6) AS mean_similarity FROM runs GROUP BY 1")
+def similarity_summary(spark, d):
+    similarity = F.coalesce("similarity", F.lit(0.0))
+    return runs(spark, d).groupBy("run_id").agg(F.max(similarity).alias("top_similarity"), F.round(F.avg(similarity), 6).alias("mean_similarity"))
 
 
 _STOP = [*L.MORE_STOP_WORDS, "that", "this", "has", "have"]
@@ -301,10 +349,37 @@ def confidence_estimate(spark, d):
     return guard.confidence(judged(spark, d), cited)
 
 
-@query("SELECT event_id, coalesce(CASE WHEN json_valid(props) THEN CAST(json_extract(props, '$.k') AS INT) END, -1) AS k FROM events")
+# A model's answer to each evaluation item, as raw text: after its thoughts, cut off, or no JSON.
+_RAW = """raws AS (SELECT id, CASE difficulty WHEN 'hard' THEN '<think>{"scope_level": "REFUSE"}</think> ' ELSE '' END ||
+  CASE category WHEN 'adversarial' THEN '{"scope_level": "' || coalesce(expected_verdict, '') WHEN 'inferential' THEN 'No answer.' ELSE '{"scope_level": "' || lower(coalesce(expected_verdict, '')) || '", "reason": 1}' END AS raw FROM eval_items)"""
+
+
+def _raw(spark, d):
+    verdict = F.coalesce("expected_verdict", F.lit(""))
+    thoughts = F.when(F.col("difficulty") == "hard", '<think>{"scope_level": "REFUSE"}</think> ').otherwise("")
+    said = F.when(F.col("category") == "adversarial", F.concat(F.lit('{"scope_level": "'), verdict)).when(F.col("category") == "inferential", "No answer.")
+    return table(spark, d, "eval_items").select("id", F.concat(thoughts, said.otherwise(F.concat(F.lit('{"scope_level": "'), F.lower(verdict), F.lit('", "reason": 1}')))).alias("raw"))
+
+
+@query(f"""WITH {_RAW}, plain AS (SELECT id, trim(regexp_replace(raw, '(?s)<think>.*?</think>', '', 'g')) AS raw FROM raws), level AS (SELECT id, CASE WHEN json_valid(raw) THEN upper(json_extract_string(raw, '$.scope_level')) END AS x FROM plain)
+SELECT id, CASE WHEN x IN ('ALLOWED', 'NEEDS_CAUTION', 'REFUSE') THEN x ELSE 'REFUSE' END AS scope FROM level""")
 def json_scope_parse(spark, d):
-    """Tolerant JSON parsing with a fixed value for what does not parse."""
-    return table(spark, d, "events").select("event_id", F.coalesce(F.from_json("props", "k int")["k"], F.lit(-1)).alias("k"))
+    """Raw scope answers parsed, failing closed."""
+    return _raw(spark, d).select("id", guard.parsed_scope(F.col("raw")).alias("scope"))
+
+
+@query(f"""WITH {RUNS}, s AS (SELECT run_id, rank - 1 AS i, (round(10 * coalesce(rerank_score, similarity, 0.0)))::INT AS score FROM runs WHERE rank <= 5),
+m AS (SELECT run_id, round(avg(score), 6) AS mean_relevance, (count(*) FILTER (score >= 6))::INT AS relevant_count, count(*) AS n, bool_and(score BETWEEN 0 AND 10) AS valid FROM s GROUP BY 1),
+v AS (SELECT run_id, valid AND n <> 4 AS ok, mean_relevance, relevant_count FROM m)
+SELECT run_id, CASE WHEN ok AND mean_relevance >= 6 AND relevant_count >= 2 THEN 'SUFFICIENT' ELSE 'INSUFFICIENT' END AS verdict, CASE WHEN ok THEN mean_relevance ELSE 0.0 END AS mean_relevance, CASE WHEN ok THEN relevant_count ELSE 0 END AS relevant_count FROM v""")
+def json_critic_parse(spark, d):
+    """Raw critic answers, written from the logged scores and cut off where a run has four hits, parsed:
+    what does not parse is INSUFFICIENT."""
+    score = F.round(10 * F.coalesce("rerank_score", "similarity", F.lit(0.0))).cast("int")
+    rows = runs(spark, d).where("rank <= 5").groupBy("run_id").agg(F.collect_list(F.struct((F.col("rank") - 1).alias("chunk_idx"), score.alias("score"))).alias("scores"))
+    raw = F.to_json(F.struct("scores"))
+    rows = rows.select("run_id", F.when(F.size("scores") == 4, F.expr("substring(x, 1, length(x) - 9)".replace("x", "to_json(struct(scores))"))).otherwise(raw).alias("raw"))
+    return rows.select("run_id", guard.critic_report(guard.parsed_scores(F.col("raw"))).alias("r")).select("run_id", "r.verdict", "r.mean_relevance", "r.relevant_count")
 
 
 @query(f"WITH {JUDGED}, cited AS (SELECT run_id, document_name || '|' || coalesce(section_title, '') AS key, min(rank) AS first_rank FROM judged GROUP BY 1, 2) SELECT run_id, key, first_rank FROM cited")
@@ -327,3 +402,12 @@ def answer_parse(spark, d):
     shown = _answers(spark, d).select("run_id", F.concat(F.lit("📋 **Answer**\n"), "answer", F.lit(f"\n\n🎯 **Confidence**: LOW\n\n⚕️ {NOTE}")).alias("text"))
     parts = shown.select("run_id", cite.answer_sections(F.col("text")).alias("s"))
     return parts.select("run_id", F.trim(F.regexp_replace("s.answer", r"\s+$", "")).alias("answer"), F.size("s.evidence").alias("evidence"), "s.confidence", "s.disclaimer")
+
+
+@query(f"""WITH {ANSWERS}, shown AS (SELECT DISTINCT a.run_id, coalesce(expected_verdict, '') AS verdict, answer || chr(10) || 'Confidence: HIGH' AS answer FROM answers a JOIN judged j USING (run_id))
+SELECT run_id, verdict, CASE WHEN verdict = 'NEEDS_CAUTION' THEN replace(answer, 'Confidence: HIGH', 'Confidence: MEDIUM') || chr(10) || chr(10) || '{NOTE}' ELSE answer END AS answer FROM shown""")
+def disclaimer_cap(spark, d):
+    """Answers that need caution get the disclaimer and lose their high confidence."""
+    verdicts = judged(spark, d).select("run_id", F.coalesce("expected_verdict", F.lit("")).alias("verdict")).distinct()
+    rows = _answers(spark, d).join(verdicts, "run_id").withColumn("answer", F.concat("answer", F.lit("\nConfidence: HIGH")))
+    return rows.select("run_id", "verdict", cite.with_disclaimer(F.col("answer"), F.col("verdict"), NOTE).alias("answer"))

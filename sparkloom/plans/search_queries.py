@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import fusion, search
+from ..operators import fusion, metrics, search
 from ..operators.fusion import DEMO, OFFLINE, SERVER, Profile
 from .base import FIRST_CHUNKS, first_chunks, first_ids, query, registry, runs, RUNS, spread_table, table, tok, tokset
 
@@ -162,15 +162,16 @@ def query_vectors(spark, d) -> DataFrame:
     return hits.groupBy("query_id").agg(F.min_by("v", F.struct("rank", "hit_id")).alias("v"))
 
 
-def _semantic(spark, d, k: int) -> DataFrame:
-    return search.vector_topk(query_vectors(spark, d), chunk_vectors(spark, d).select("id", "v"), k, DIM)
+def _semantic(spark, d, k: int, least: float | None = None) -> DataFrame:
+    got = search.vector_topk(query_vectors(spark, d), chunk_vectors(spark, d).select("id", "v"), k, DIM)
+    return got if least is None else search.above(got, least, strict=False)
 
 
-def _fused(spark, d, profile: Profile, top: int) -> DataFrame:
+def _fused(spark, d, profile: Profile, top: int, least: float | None = None) -> DataFrame:
     """Candidates with fused score and all that the boosts need."""
     n = profile.fetch * top
     weights = _questions(spark, d).select("query_id", F.col("text").alias("query"), fusion.keyword_weight(F.col("text"), profile.lexical_weight).alias("w"))
-    fused = fusion.fuse(_semantic(spark, d, n), _lexical(spark, d, n), profile, top, F.lit(1.0)).drop("score").join(search.bounded(weights), "query_id")
+    fused = fusion.fuse(_semantic(spark, d, n, least), _lexical(spark, d, n), profile, top, F.lit(1.0)).drop("score").join(search.bounded(weights), "query_id")
     fused = fusion_score(fused, profile, n)
     # The candidates' ids are those of first chunks, so only their rows are fetched.
     return fused.join(table(spark, d, "chunks").select("id", "document_name", "section_title", "original_text"), "id")
@@ -183,11 +184,11 @@ def fusion_score(rows: DataFrame, profile: Profile, n: int) -> DataFrame:
     return rows.withColumn("score", part("semantic_rank") + F.col("w") * part("lexical_rank"))
 
 
-def _fused_sql(profile: Profile, top: int) -> str:
+def _fused_sql(profile: Profile, top: int, least: float = -2.0) -> str:
     n = profile.fetch * top
     absent = 1.0 / (profile.rrf_k + n + 1) if profile.absent else 0.0
     keyword = " OR ".join(f"contains(lower(text), '{t}')" for t in L.KEYWORD_TERMS)
-    return f"""{FIRST_CHUNKS}, {_profile_sql(n)}, {QUERY_VECTORS}, semantic AS (SELECT query_id, id, rank FROM {_top(n, 'semn')}),
+    return f"""{FIRST_CHUNKS}, {_profile_sql(n)}, {QUERY_VECTORS}, semantic AS (SELECT query_id, id, rank FROM {_top(n, 'semn')} WHERE score >= {least}),
 fused AS (SELECT coalesce(s.query_id, l.query_id) AS query_id, coalesce(s.id, l.id) AS id, s.rank AS semantic_rank, l.rank AS lexical_rank FROM semantic s FULL OUTER JOIN lexical l ON s.query_id = l.query_id AND s.id = l.id),
 scored AS (SELECT f.*, q.text AS query, document_name, section_title, original_text, coalesce(1.0::DOUBLE / ({profile.rrf_k} + semantic_rank), {absent!r}::DOUBLE) + (CASE WHEN {keyword} THEN {profile.lexical_weight} ELSE 1.0 END)::DOUBLE * coalesce(1.0::DOUBLE / ({profile.rrf_k} + lexical_rank), {absent!r}::DOUBLE) AS score
   FROM fused f JOIN q USING (query_id) JOIN first_chunks c ON c.id = f.id)"""
@@ -277,9 +278,9 @@ def dedup_max_per_doc(spark, d):
     return fusion.deduplicate(runs(spark, d), 5, 2, by="run_id").select("run_id", "hit_id", "position")
 
 
-def hybrid(spark, d, profile: Profile, top: int = 5) -> DataFrame:
+def hybrid(spark, d, profile: Profile, top: int = 5, least: float | None = None) -> DataFrame:
     """Both legs, fusion, boosts, order and deduplication for every question at once."""
-    rows = _fused(spark, d, profile, top)
+    rows = _fused(spark, d, profile, top, least)
     rows = fusion.rule_factors(rows, _org_rules(spark, d), profile.org_factor, _asked(spark, d))
     boosts = F.col("rule_factor") * fusion.section_overlap(F.col("query"), F.col("section_title"), profile)
     if profile is not SERVER:
@@ -289,11 +290,11 @@ def hybrid(spark, d, profile: Profile, top: int = 5) -> DataFrame:
     return fusion.deduplicate(ranked, top, profile.max_per_doc).select("query_id", "position", "id", "document_name", "section_title", "score")
 
 
-def _hybrid_sql(profile: Profile, top: int = 5) -> str:
+def _hybrid_sql(profile: Profile, top: int = 5, least: float = -2.0) -> str:
     boosts = f"({_org_sql(profile.org_factor)})::DOUBLE * ({_section_sql(profile)})::DOUBLE"
     if profile is not SERVER:
         boosts += f" * ({_KEYWORD_SQL})::DOUBLE * ({_content_sql(profile.stop_words)})::DOUBLE"
-    return f"""WITH {RULES}, {_fused_sql(profile, top)}, boosted AS (SELECT * EXCLUDE (score), round(score * ({boosts}), 9) AS score FROM scored),
+    return f"""WITH {RULES}, {_fused_sql(profile, top, least)}, boosted AS (SELECT * EXCLUDE (score), round(score * ({boosts}), 9) AS score FROM scored),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM boosted), {_dedup_sql('ranked', top, profile.max_per_doc)}
 SELECT query_id, position::INT AS position, id, document_name, section_title, score FROM final_{profile.max_per_doc}"""
 
@@ -313,12 +314,91 @@ def hybrid_retrieve_offline(spark, d):
     return hybrid(spark, d, OFFLINE)
 
 
-@query(f"""WITH {FIRST_CHUNKS}, {_profile_sql(5)}, {QUERY_VECTORS}, semantic AS (SELECT query_id, id, rank FROM {_top(5, 'semn')}), modes AS (SELECT 'semantic' AS mode, query_id, id FROM semantic UNION ALL SELECT 'lexical', query_id, id FROM lexical)
-SELECT mode, count(*) AS rows, count(DISTINCT query_id) AS queries, count(DISTINCT c.document_name) AS documents FROM modes JOIN first_chunks c USING (id) GROUP BY mode""")
+def retrieve(spark, d, mode: str, top: int = 5, least: float = 0.15) -> DataFrame:
+    """(query_id, id, rank) by one of the search modes; another name is an error."""
+    if mode == "semantic":
+        return _semantic(spark, d, top, least).select("query_id", "id", "rank")
+    if mode == "bm25":
+        return _lexical(spark, d, top).select("query_id", "id", "rank")
+    if mode == "hybrid":
+        return hybrid(spark, d, DEMO, top, least).select("query_id", "id", F.col("position").alias("rank"))
+    raise ValueError(f"unknown search mode {mode!r}: semantic, bm25 or hybrid")
+
+
+_MODES = f"""{_hybrid_sql(DEMO, 5, 0.15).partition('SELECT query_id, position::INT')[0].rstrip()},
+modes AS (SELECT 'semantic' AS mode, query_id, id, rank FROM semantic WHERE rank <= 5 UNION ALL SELECT 'bm25', query_id, id, rank FROM lexical WHERE rank <= 5 UNION ALL SELECT 'hybrid', query_id, id, position FROM final_3),
+named AS (SELECT mode, query_id, rank, c.document_name, list_distinct(list_transform(coalesce(ground_truth_sources, []), lambda x: lower(x))) AS truth FROM modes JOIN chunks c USING (id) JOIN eval_items e ON e.id = query_id),
+hit AS (SELECT *, len(list_filter(truth, lambda g: g <> '' AND lower(coalesce(document_name, '')) <> '' AND (contains(lower(coalesce(document_name, '')), g) OR contains(g, lower(coalesce(document_name, '')))))) > 0 AS ok FROM named),
+per AS (SELECT mode, query_id, count(*) AS n, count(*) FILTER (ok) / 5 AS p FROM hit GROUP BY 1, 2)"""
+
+
+@query(f"""{_MODES}, docs AS (SELECT mode, count(DISTINCT document_name) AS documents FROM named GROUP BY 1)
+SELECT mode, sum(n)::BIGINT AS rows, count(*) AS queries, any_value(documents) AS documents, round(avg(p), 6) AS precision_at_5 FROM per JOIN docs USING (mode) GROUP BY mode""")
 def mode_comparison(spark, d):
-    names = first_chunks(spark, d, "document_name").select("id", "document_name")
-    legs = _semantic(spark, d, 5).select(F.lit("semantic").alias("mode"), "query_id", "id").unionByName(_lexical(spark, d, 5).select(F.lit("lexical").alias("mode"), "query_id", "id"))
-    return legs.join(names, "id").groupBy("mode").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("query_id").alias("queries"), F.countDistinct("document_name").alias("documents"))
+    """The three modes on every question: five results each, a threshold on similarity, and precision."""
+    rows = None
+    for mode in ("semantic", "bm25", "hybrid"):
+        part = retrieve(spark, d, mode).withColumn("mode", F.lit(mode))
+        rows = part if rows is None else rows.unionByName(part)
+    truth = F.array_distinct(F.transform(F.coalesce("ground_truth_sources", F.array()), F.lower))
+    items = table(spark, d, "eval_items").select(F.col("id").alias("query_id"), truth.alias("ground_truth"))
+    names = table(spark, d, "chunks").select("id", "document_name")
+    found = rows.join(items, "query_id").join(names, "id").withColumn("section_title", F.lit(None).cast("string")).withColumn("run_id", F.concat_ws("|", "mode", "query_id"))
+    precision = metrics.run_metrics(found, ["mode"]).groupBy("mode").agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("precision_at_5"), 6).alias("precision_at_5"))
+    return found.groupBy("mode").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("document_name").alias("documents")).join(precision, "mode").select("mode", "rows", "queries", "documents", "precision_at_5")
+
+
+_TITLES = f"""titles AS (SELECT DISTINCT section_title AS query_id FROM chunks WHERE section_title IS NOT NULL), qt AS (SELECT query_id, len({tokset('query_id')}) AS n, unnest({tokset('query_id')}) AS term FROM titles)"""
+
+
+def _titles(spark, d) -> DataFrame:
+    return table(spark, d, "chunks").where("section_title is not null").select(F.col("section_title").alias("query_id")).distinct().withColumn("text", F.col("query_id"))
+
+
+@query(f"""WITH {_TITLES}, held AS (SELECT id, term, max(w) AS w FROM (SELECT id, unnest({tokset('section_title')}) AS term, 1.0::DOUBLE AS w FROM chunks UNION ALL SELECT id, unnest({tokset('document_name')}), 0.4 FROM chunks
+  UNION ALL SELECT id, unnest({tokset('coalesce(normalized_text, original_text)')}), 0.2 FROM chunks) GROUP BY 1, 2),
+m AS (SELECT query_id, id, round(sum(w) / max(n), 6) AS score FROM held JOIN qt USING (term) GROUP BY 1, 2 HAVING count(*) = max(n)) SELECT query_id AS section_title, id, score, rank::INT AS rank FROM {_top(10, 'm')}""")
+def fts_weighted(spark, d):
+    """Full-text search with weighted fields: section A, name B, content C; section titles as queries."""
+    rows = spread_table(spark, d, "chunks", "id", "section_title", "document_name", "normalized_text", "original_text")
+    rows = rows.select("id", F.col("section_title").alias("a"), F.col("document_name").alias("b"), F.coalesce("normalized_text", "original_text").alias("c"))
+    return search.weighted_match(_titles(spark, d), rows, 10).withColumnRenamed("query_id", "section_title")
+
+
+@query(f"""WITH {_TITLES}, langs AS (SELECT section_title AS query_id, max(language) AS lang FROM chunks WHERE section_title IS NOT NULL GROUP BY 1), held AS (SELECT id, language, unnest({tokset('original_text')}) AS term FROM chunks),
+m AS (SELECT query_id, id, 0.0::DOUBLE AS similarity FROM held JOIN qt USING (term) JOIN langs USING (query_id) WHERE lang IS NULL OR lang = language GROUP BY query_id, id HAVING count(*) = max(n))
+SELECT query_id AS section_title, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY id)::INT AS rank FROM m QUALIFY rank <= 5""")
+def fts_fallback(spark, d):
+    """Plain matching without a score, under a language filter, for every section title."""
+    asked = table(spark, d, "chunks").where("section_title is not null").groupBy(F.col("section_title").alias("query_id")).agg(F.max("language").alias("language"))
+    asked = asked.select("query_id", F.col("query_id").alias("text"), F.lit(None).cast("string").alias("document"), "language")
+    rows = spread_table(spark, d, "chunks", "id", "original_text", "document_name", "language").withColumnRenamed("original_text", "text")
+    return search.fallback(asked, rows, 5).select(F.col("query_id").alias("section_title"), "id", "similarity", "rank")
+
+
+_ARABIC_ITEM = "len(regexp_extract_all(question, '[\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}\\x{08A0}-\\x{08FF}]')) / greatest(len(regexp_extract_all(question, '\\p{L}')), 1) >= 0.40"
+
+
+@query(f"""WITH e AS (SELECT DISTINCT section_title AS term FROM chunks WHERE length(section_title) > 3), names AS (SELECT section_title AS term, min(document_name) AS expansion FROM chunks WHERE section_title IS NOT NULL GROUP BY 1),
+hit AS (SELECT i.id, n.term, n.expansion FROM eval_items i JOIN (SELECT * FROM names JOIN e USING (term)) n ON contains(i.question, n.term)), t AS (SELECT trim(question) AS q, min(category) AS translation FROM eval_items WHERE difficulty = 'easy' GROUP BY 1),
+first AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY id ORDER BY term, expansion) <= 5), once AS (SELECT id, expansion, min(term) AS term FROM first GROUP BY 1, 2), added AS (SELECT id, string_agg(expansion, ' ' ORDER BY term) AS x FROM once GROUP BY 1)
+SELECT i.id AS query_id, CASE WHEN NOT ({_ARABIC_ITEM}) THEN question WHEN translation IS NOT NULL THEN translation WHEN x IS NOT NULL THEN question || ' [' || x || ']' ELSE question END AS expanded
+FROM eval_items i LEFT JOIN t ON t.q = trim(question) LEFT JOIN added USING (id)""")
+def arabic_query_expansion(spark, d):
+    """Arabic questions expanded from tables: the categories of easy items stand for translations,
+    section titles and the documents they are in for entities."""
+    chunks, items = table(spark, d, "chunks"), table(spark, d, "eval_items")
+    entities = chunks.where("length(section_title) > 3").groupBy(F.col("section_title").alias("term")).agg(F.min("document_name").alias("expansion")).withColumn("ordinal", F.col("term"))
+    known = items.where("difficulty = 'easy'").groupBy(F.trim("question").alias("text")).agg(F.min("category").alias("translation"))
+    return search.expand_queries(_questions(spark, d), known, entities).select("query_id", "expanded")
+
+
+@query(f"""WITH {HITS}, s AS (SELECT r.run_id, r.hit_id AS id, round(CASE WHEN len({tokset('h.query')}) > 0 AND len({tokset('h.original_text')}) > 0 THEN 2.0 * len(list_intersect({tokset('h.query')}, {tokset('h.original_text')})) / (len({tokset('h.query')}) + len({tokset('h.original_text')})) ELSE 0.0 END, 6) AS score
+  FROM runs r JOIN hits h USING (hit_id) WHERE trim(h.original_text) <> '') SELECT run_id, id AS hit_id, score AS rerank_score, rank::INT AS rerank_rank FROM {_top(5, '(SELECT * FROM s WHERE score >= 0.1)', by='run_id')}""")
+def rerank_threshold(spark, d):
+    """Reranked hits under a least score."""
+    rows = _hits(spark, d).join(runs(spark, d).select("hit_id", "run_id"), "hit_id").select("run_id", F.col("hit_id").alias("id"), "query", F.col("original_text").alias("content"))
+    return fusion.rerank(rows, 5, threshold=0.1, by="run_id").select("run_id", F.col("id").alias("hit_id"), "rerank_score", "rerank_rank")
 
 
 @query()

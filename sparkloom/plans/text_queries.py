@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -46,12 +48,56 @@ def normalize_by_language(spark, d):
     return spread_table(spark, d, "chunks", "id", "original_text").select("id", T.normalize(F.col("original_text")).alias("normalized"))
 
 
-@query()
+def _compatible() -> str:
+    """Rows (c, p): every character whose compatibility form differs, and that form, by Unicode's rule.
+    Composing what a text becomes character by character is its compatibility composition."""
+    form = lambda kind, ch: unicodedata.normalize(kind, ch)
+    every = (ch for ch in map(chr, range(0x110000)) if not 0xD800 <= ord(ch) <= 0xDFFF and form("NFKC", ch) != form("NFC", ch))
+    return ", ".join("('{}', '{}')".format(ch, form("NFKC", ch).replace("'", "''")) for ch in every)
+
+
+def _composed(source: str, key: str, column: str) -> str:
+    """``composed`` (key, t): the texts of a table in compatibility composition."""
+    return f"""compat(c, p) AS (VALUES {_compatible()}), ch AS (SELECT {key}, unnest(regexp_extract_all({column}, '(?s).')) AS c, generate_subscripts(regexp_extract_all({column}, '(?s).'), 1) AS i FROM {source}),
+composed AS (SELECT {key}, nfc_normalize(string_agg(coalesce(p, c), '' ORDER BY i)) AS t FROM ch LEFT JOIN compat USING (c) GROUP BY {key}),
+texts AS (SELECT {key}, CASE WHEN {column} = '' THEN '' ELSE t END AS t FROM {source} LEFT JOIN composed USING ({key}))"""
+
+
+@query(f"WITH {_composed('chunks', 'id', 'original_text')} SELECT id, CASE WHEN {_language('original_text')} IN ('ar', 'mixed') THEN {_arabic('t')} ELSE {_latin('t')} END AS normalized FROM texts JOIN chunks USING (id)")
 def normalize_composed(spark, d):
-    """With compatibility composition, which SQL lacks; tested against Python's own."""
+    """With compatibility composition, as the reference always does."""
     return spread_table(spark, d, "chunks", "id", "original_text").select("id", T.normalize(F.col("original_text"), compose=True).alias("normalized"))
 
 
+@query(f"WITH {_composed('documents', 'doc_id', 'text')} SELECT doc_id, {_latin('t')} AS english, {_arabic('t')} AS arabic FROM texts")
+def pipelines_composed(spark, d):
+    """The whole English and Arabic pipelines, composition first."""
+    text = F.col("text")
+    return spread_table(spark, d, "documents", "doc_id", "text").select("doc_id", T.normalize_latin(text, True).alias("english"), T.normalize_arabic(text, True).alias("arabic"))
+
+
+_LEGACY = rf"translate(regexp_replace(t, '\x{{0640}}|{_re2([*L.MORE_TASHKEEL, *L.TASHKEEL])}', '', 'g'), '{L.LEGACY_FROM}', '{L.LEGACY_TO}')"
+
+
+@query(f"WITH {_composed('chunks', 'id', 'original_text')} SELECT id, {squeeze(_LEGACY)} AS normalized FROM texts")
+def legacy_arabic(spark, d):
+    return spread_table(spark, d, "chunks", "id", "original_text").select("id", T.legacy_arabic(F.col("original_text")).alias("normalized"))
+
+
+@query(f"SELECT id, {squeeze('x')} AS normalized FROM (SELECT id, translate({_arabic('original_text')}, 'ة', 'ه') AS x FROM chunks)")
+def normalize_ta_marbuta(spark, d):
+    return spread_table(spark, d, "chunks", "id", "original_text").select("id", T.normalize_arabic(F.col("original_text"), ta_marbuta=True).alias("normalized"))
+
+
+_HAS = lambda terms: " OR ".join(f"contains(lower(coalesce(document_name, '')), '{t}')" for t in terms)
+
+
+@query(f"SELECT CASE WHEN {_HAS(L.OFFICIAL)} THEN 'official' WHEN {_HAS(L.PEER_REVIEWED)} THEN 'peer-reviewed' ELSE 'toolkit' END AS badge, count(*) AS chunks, count(DISTINCT document_name) AS documents FROM chunks GROUP BY 1")
+def authority_badges(spark, d):
+    rows = table(spark, d, "chunks").groupBy(T.authority_badge(F.col("document_name")).alias("badge"))
+    return rows.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("document_name").alias("documents"))
+
+
 @query(rf"SELECT doc_id, trim(regexp_replace({squeeze('text')}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{ff}}]', '', 'g')) AS cleaned FROM documents")
 def legacy_clean(spark, d):
     return table(spark, d, "documents").select("doc_id", T.strip_latin1(F.col("text")).alias("cleaned"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import models
 from sparkloom.functions import vectors as V
-from sparkloom.operators import cite, fusion, guard, layout, metrics, search
+from sparkloom.operators import agents, cite, fusion, guard, layout, metrics, search
+from sparkloom.plans import search_queries
 from sparkloom.sources import tables as S
 
 
@@ -203,8 +204,12 @@ def test_citations(spark):
 def test_guards(spark):
     r = spark.createDataFrame([(1, 8.0), (1, 7.0), (1, 3.0), (2, 9.0)], "run_id int, score double")
     assert {x["run_id"]: x["verdict"] for x in guard.critic(r).collect()} == {1: "SUFFICIENT", 2: "INSUFFICIENT"}
-    p = spark.createDataFrame([('{"scope": "ALLOWED"}',), ("no json",), (None,)], "j string").select(guard.parsed_scope(F.col("j"))).collect()
-    assert [x[0] for x in p] == ["ALLOWED", "REFUSE", "REFUSE"]
+    raw = ['{"scope_level": "allowed"}', '<think>{"scope_level": "REFUSE"}</think> {"scope_level": "NEEDS_CAUTION"}', '{"scope_level": "MAYBE"}', "{}", "no json", None]
+    p = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, j string").select("i", guard.parsed_scope(F.col("j"))).collect()
+    assert [x[1] for x in sorted(p)] == ["ALLOWED", "NEEDS_CAUTION", "REFUSE", "REFUSE", "REFUSE", "REFUSE"]
+    raw = ['{"scores": [{"chunk_idx": 0, "score": 9}, {"chunk_idx": 1, "score": 6}]}', '{"scores": [{"chunk_idx": 0, "score": 9}]}', '{"scores": [{"chunk_idx": 0, "score": 11}, {"chunk_idx": 1, "score": 9}]}', '{"scores": []}', "{", None]
+    p = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, j string").select("i", guard.critic_report(guard.parsed_scores(F.col("j"))).alias("r")).collect()
+    assert [tuple(x["r"]) for x in sorted(p, key=lambda x: x["i"])] == [("SUFFICIENT", 7.5, 2), ("INSUFFICIENT", 9.0, 1), *[("INSUFFICIENT", 0.0, 0)] * 4]
     g = guard.similarity_gate(spark.createDataFrame([(1, 0.1), (1, None), (2, 0.9)], "run_id int, similarity double"))
     assert {x["run_id"]: x["verdict"] for x in g.collect()} == {1: "INSUFFICIENT", 2: "SUFFICIENT"}
 
@@ -247,11 +252,60 @@ def test_models(spark):
     v = spark.createDataFrame([("a b",), ("",), (None,)], "x string").select(models.embed(F.col("x")).alias("v")).collect()
     assert abs(sum(x * x for x in v[0]["v"]) - 1) < 1e-6 and not any(v[1]["v"]) and not any(v[2]["v"])
 
-    def broken(prompt):
+
+
+def test_agents(spark):
+    """Pluggable clients: a failing one is passed over, what does not parse fails closed."""
+    def broken(*columns):
         raise OSError
 
-    f = models.Fallback({"one": broken, "two": lambda p: p + "!"}, preferred="one")
-    assert f("hi") == "hi!" and f.last == "two"
+    said = agents.first_answer(broken, lambda texts: texts.map(lambda t: '{"scope_level": "allowed"}' if t == "a" else ""), lambda texts: texts + " is no JSON")
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, text string").withColumn("scope", F.lit("clash"))
+    assert {r["id"]: r["level"] for r in agents.with_scope(rows, "text", said, "level").collect()} == {1: "ALLOWED", 2: "REFUSE", 3: "REFUSE"}
+    assert {r["id"]: r["level"] for r in agents.with_scope(rows, "text", name="level").collect()} == {1: "ALLOWED", 2: "ALLOWED", 3: "REFUSE"}
+    assert agents.with_scope(rows.limit(0), "text").count() == 0
+    hits = spark.createDataFrame([(1, 1, "red fox", "red fox"), (1, 2, "red fox", "fox red"), (1, 3, "red fox", None), (2, 1, "x", ""), (3, 1, None, "x")], "run_id int, rank int, query string, content string")
+    got = {r["run_id"]: (r["verdict"], r["mean_relevance"], r["relevant_count"]) for r in agents.evaluate(hits).collect()}
+    assert got == {1: ("SUFFICIENT", 6.666667, 2), 2: ("INSUFFICIENT", 0.0, 0), 3: ("INSUFFICIENT", 0.0, 0)}
+    assert all(r["verdict"] == "INSUFFICIENT" for r in agents.evaluate(hits, lambda q, c: q.map(lambda x: "?")).collect())
+    told = agents.generate(hits, lambda queries, contexts: queries + ": " + contexts)
+    assert {r["run_id"]: r["answer"] for r in told.collect()}[2] == "x: [EVIDENCE 1] "
+    assert agents.generate(hits).where("run_id = 1").first()["answer"] == "red fox 【Source 1】 fox red 【Source 2】"
+
+
+def test_rerank_by_a_client(spark):
+    rows = spark.createDataFrame([(1, 10, 1, "q", "aa", 0.3), (1, 11, 2, "q", "a", 0.2), (1, 12, 3, "q", " ", 0.9), (2, 13, 1, "q", "fail", 0.1), (2, 14, 2, "q", "aaaa", None)], "query_id int, id int, rank int, query string, content string, similarity double")
+    lengths = lambda q, c: c.map(lambda x: None if x == "fail" else -float(len(x)))
+    got = [tuple(r) for r in fusion.rerank_by(rows, 5, lengths).select("query_id", "id", "rerank_score", "rerank_rank").orderBy("query_id", "rerank_rank").collect()]
+    assert got == [(1, 11, -1.0, 1), (1, 10, -2.0, 2), (2, 13, 0.1, 1), (2, 14, 0.0, 2)]
+
+
+def test_search_modes(spark, data):
+    with pytest.raises(ValueError, match="unknown search mode"):
+        search_queries.retrieve(spark, data, "fuzzy")
+    assert search_queries.retrieve(spark, data, "bm25", 2).groupBy("query_id").count().agg(F.max("count")).first()[0] == 2
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_lexical_scores_in_batches_and_by_joins(spark, monkeypatch, small):
+    """The two ways agree, with nulls, blanks, ties, empty tables and unknown words."""
+    if not small:
+        monkeypatch.setattr(search.batch, "stated_terms", lambda *a, **k: None)
+    queries = spark.createDataFrame([("q1", "screening of red foxes"), ("q2", "zzz"), ("q3", None), ("q4", "red")], "query_id string, text string").withColumn("phrases", F.lit(3))
+    rows = spark.createDataFrame([(i, t, n, s, p) for i, (t, n, s, p) in enumerate([("red foxes", "fox red", "", 1), ("red foxes", "", "of", 3), (None, "", "", 0), ("", "", "", 0), ("detection of birds", "", "", 0), ("red red red", "red", "red", 2)])], "id long, text string, name string, section string, phrases int")
+    pick = lambda df: sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in df.collect())
+    assert pick(search.coverage(queries, rows, 2)) == [("q1", 1, 0, 0.5), ("q1", 2, 1, 0.5), ("q4", 1, 0, 1.0), ("q4", 2, 1, 1.0)]
+    assert pick(search.profile(queries, rows, 2)) == [("q1", 1, 1, 0.92), ("q1", 2, 0, 0.845), ("q4", 1, 5, 1.885), ("q4", 2, 0, 1.69)]
+    best = pick(search.bm25(queries, rows, 1))
+    assert [x[:3] for x in best] == [("q1", 1, 0), ("q4", 1, 5)] and all(x[3] > 0 for x in best)
+    assert search.coverage(queries, rows.limit(0), 2).count() == 0 and search.coverage(queries.limit(0), rows, 2).count() == 0 and search.bm25(queries, rows.limit(0), 2).count() == 0
+
+
+def test_blank_citations_bind_to_nothing(spark):
+    said = spark.createDataFrame([(1, "x [SOURCE:  ] y [SOURCE: C-7] z [SOURCE: doc a, p. 3]")], "run_id int, answer string")
+    hits = spark.createDataFrame([(1, 1, "Doc A", "s", "c-7")], "run_id int, rank int, document_name string, section_title string, chunk_id string")
+    got = {r["citation"]: r["valid"] for r in cite.bind(cite.citations(said), hits).collect()}
+    assert got == {"": False, "C-7": True, "doc a, p. 3": True} or got == {"C-7": True, "doc a, p. 3": True}
 
 
 def test_answer_sections(spark):
