@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,25 +13,53 @@ from ..session import spread
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Only where it
-    is unset, as in tests on one machine, a temporary folder is made and set."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Only where it is
+    unset and all work is on this machine, as in tests, is a temporary folder made; elsewhere that is
+    an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = getattr(spark, "_sparkloom_folder", None)
         if not folder:
             folder = spark._sparkloom_folder = tempfile.mkdtemp(prefix="spark-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder.rstrip("/")
 
 
+def _removed(spark: SparkSession, path: str) -> None:
+    """Delete a staged table; nothing happens when the session has ended."""
+    try:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:
+        pass
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back: lineage is cut and a
-    lost executor loses nothing."""
+    lost executor loses nothing. The table is removed when the driver's process ends, or before by
+    ``clear``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _STAGED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STAGED: list[tuple[SparkSession, str]] = []
+
+
+def clear() -> None:
+    """Remove the tables staged so far; call it when the results that read them are written."""
+    while _STAGED:
+        _removed(*_STAGED.pop())
+
+
+atexit.register(clear)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 

@@ -1,8 +1,8 @@
 """Token counts under an existing tokenizer, and token budgets by slice (problem 1).
 
 Whole texts are hashed; each distinct text is tokenized once; its exact count is joined back and
-totals count every record with its multiplicity. The vocabulary is read from a file on every
-worker; its path is a parameter.
+totals count every record with its multiplicity. The vocabulary is a file of the driver, whose
+path is a parameter; Spark sends it to every worker once.
 
 Edge cases: null and empty texts have 0 tokens and count as records; missing labels and names
 are the slice ``unknown``; records are counted once per name, taken from their smallest id.
@@ -11,15 +11,15 @@ are the slice ``unknown``; records are counted once per name, taken from their s
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
-
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the public pre-tokenization pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -43,9 +43,11 @@ def count_tokens(text: str | None, vocabulary: str = VOCABULARY) -> int:
 def counted(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, n_tokens) for rows (key, text)."""
     kind = rows.schema["key"].dataType.simpleString()
+    rows.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
+        encode = encoder(SparkFiles.get(name)).encode_ordinary
         for batch in batches:
             n = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64())], ["key", "n_tokens"])
@@ -72,12 +74,13 @@ def token_budget(records: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     copies = keyed.select("collection", *named, "_key", F.coalesce(F.length("text"), F.lit(0)).alias("n")).groupBy("collection", "source", "language", "domain", "_key").agg(
         F.count(F.lit(1)).alias("copies"), F.sum("n").alias("n_chars")
     )
-    joined = stage(copies.join(counts.withColumnRenamed("key", "_key"), "_key"), "counts")
-    out = None
-    for level in ("source", "language", "domain"):
-        part = joined.groupBy("collection", F.lit(level).alias("level"), F.col(level).alias("slice")).agg(
-            F.sum("copies").alias("records"), F.countDistinct("_key").alias("distinct_texts"),
-            F.sum("n_chars").alias("n_chars"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    joined = copies.join(counts.withColumnRenamed("key", "_key"), "_key")
+    slices = F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.col(x).alias("slice")) for x in ("source", "language", "domain")])).alias("x")
+    by = ["collection", "level", "slice"]
+    # A text once in each slice first, so that no slice, however large, is one task's work.
+    once = joined.select("collection", "_key", "copies", "n_chars", "n_tokens", slices).select("collection", "x.level", "x.slice", "_key", "copies", "n_chars", "n_tokens").groupBy(*by, "_key").agg(
+        F.sum("copies").alias("copies"), F.sum("n_chars").alias("n_chars"), F.first("n_tokens").alias("n_tokens")
+    )
+    return once.groupBy(*by).agg(
+        F.sum("copies").alias("records"), F.count(F.lit(1)).alias("distinct_texts"), F.sum("n_chars").alias("n_chars"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"),
+    )
