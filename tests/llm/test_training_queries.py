@@ -43,3 +43,14 @@ def test_look_alikes(spark, data):
             by.setdefault(consistent_form(r[1]), set()).add(tuple(r))
     want = {(min(a, b), max(a, b)) for v in by.values() for a, t in v for b, u in v if a != b and t != u}
     assert {tuple(r) for r in Q.p5_found(spark, data).collect()} == want
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_brute_force_sql(spark, data, name):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    for t in ("chunks", "chunk_vectors", "documents", "eval_items"):
+        c.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
+    r = c.execute(Q.oracle_sql()[name])
+    names, want = [x[0] for x in r.description], sorted(r.fetchall())
+    assert want and sorted(tuple(x[n] for n in names) for x in Q.queries()[name](spark, data).collect()) == want
