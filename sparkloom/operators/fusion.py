@@ -78,11 +78,14 @@ def phrase_boost(query_mask: Column, text_mask: Column) -> Column:
     return 1.0 + 0.3 * F.bit_count(query_mask.bitwiseAND(text_mask))
 
 
-def section_overlap(query: Column, section: Column, profile: Profile) -> Column:
+def own_words(text: Column, stop_words: Sequence[str]) -> Column:
+    """The distinct words of a text but for the stop words."""
+    return F.array_except(T.token_set(text), F.array(*map(F.lit, stop_words)))
+
+
+def section_overlap(query_words: Column, section: Column, profile: Profile) -> Column:
     """The section factor when enough of the query's words are in the section title."""
-    stop = F.array(*map(F.lit, profile.stop_words))
-    words = lambda x: F.array_except(T.token_set(x), stop)
-    q, s = words(query), words(F.coalesce(section, F.lit("")))
+    q, s = query_words, own_words(F.coalesce(section, F.lit("")), profile.stop_words)
     share = F.size(F.array_intersect(q, s)) / F.greatest(F.size(q), F.lit(1))
     return F.when((F.size(q) > 0) & (F.size(s) > 0) & (share >= profile.section_least), profile.section_factor).otherwise(1.0)
 
@@ -94,10 +97,11 @@ def section_keywords(section: Column, table: Sequence[tuple[str, float]] = L.SEC
     return out
 
 
-def content_overlap(query: Column, content: Column, stop_words: Sequence[str], least: int = 3, factor: float = 1.15) -> Column:
-    low = F.lower(F.coalesce(content, F.lit("")))
-    words = F.array_except(T.token_set(query), F.array(*map(F.lit, stop_words)))
-    return F.when(F.size(F.filter(words, lambda w: F.contains(low, w))) >= least, factor).otherwise(1.0)
+def content_overlap(query_words: Column, content: Column, least: int = 3, factor: float = 1.15) -> Column:
+    """A factor for contents that hold at least ``least`` of the query's words, case aside."""
+    begin = F.struct(F.lower(F.coalesce(content, F.lit(""))).alias("low"), F.lit(0).alias("n"))  # lower-cased once, not for each word
+    met = F.aggregate(query_words, begin, lambda acc, w: F.struct(acc["low"].alias("low"), (acc["n"] + F.contains(acc["low"], w).cast("int")).alias("n")), lambda acc: acc["n"])
+    return F.when(met >= least, factor).otherwise(1.0)
 
 
 def rule_factors(rows: DataFrame, rules: DataFrame, factor: float, asked: DataFrame, query: str = "query", name: str = "document_name") -> DataFrame:

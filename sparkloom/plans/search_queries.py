@@ -21,7 +21,7 @@ NEAR = f"""{VECTORS}, near AS (SELECT q.vec_id AS query_id, r.vec_id AS id, {COS
 
 
 def _near(spark, d, k: int) -> DataFrame:
-    rows = table(spark, d, "chunk_vectors").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    rows = spread_table(spark, d, "chunk_vectors", "vec_id", "embedding").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return search.vector_topk(rows.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), "v"), rows, k, DIM)
 
 
@@ -149,7 +149,7 @@ semn AS (SELECT query_id, id, {COSINE.format(a='qv.v', b='cvv.v')} AS score FROM
 
 def chunk_vectors(spark, d) -> DataFrame:
     """(id, chunk_id, v): one usable vector, that of the smallest id, for each chunk."""
-    rows = table(spark, d, "chunk_vectors").where(V.usable(F.col("embedding"), DIM))
+    rows = spread_table(spark, d, "chunk_vectors", "vec_id", "chunk_id", "embedding").where(V.usable(F.col("embedding"), DIM))
     first = Window.partitionBy("chunk_id").orderBy("vec_id")
     one = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("chunk_id", F.col("embedding").alias("v"))
     return one.join(first_ids(spark, d), "chunk_id").select("id", "chunk_id", "v")
@@ -170,7 +170,7 @@ def _semantic(spark, d, k: int, least: float | None = None) -> DataFrame:
 def _fused(spark, d, profile: Profile, top: int, least: float | None = None) -> DataFrame:
     """Candidates with fused score and all that the boosts need."""
     n = profile.fetch * top
-    weights = _questions(spark, d).select("query_id", F.col("text").alias("query"), fusion.keyword_weight(F.col("text"), profile.lexical_weight).alias("w"))
+    weights = _questions(spark, d).select("query_id", F.col("text").alias("query"), fusion.own_words(F.col("text"), profile.stop_words).alias("words"), fusion.keyword_weight(F.col("text"), profile.lexical_weight).alias("w"))
     fused = fusion.fuse(_semantic(spark, d, n, least), _lexical(spark, d, n), profile, top, F.lit(1.0)).drop("score").join(search.bounded(weights), "query_id")
     fused = fusion_score(fused, profile, n)
     # The candidates' ids are those of first chunks, so only their rows are fetched.
@@ -248,8 +248,8 @@ def org_boost(spark, d):
 
 @query(f"WITH {HITS} SELECT hit_id, ({_section_sql(SERVER)})::DOUBLE AS server_factor, ({_section_sql(DEMO)})::DOUBLE AS demo_factor FROM hits")
 def section_overlap_boost(spark, d):
-    q, s = F.col("query"), F.col("section_title")
-    return _hits(spark, d).select("hit_id", fusion.section_overlap(q, s, SERVER).alias("server_factor"), fusion.section_overlap(q, s, DEMO).alias("demo_factor"))
+    s, words = F.col("section_title"), lambda p: fusion.own_words(F.col("query"), p.stop_words)
+    return _hits(spark, d).select("hit_id", fusion.section_overlap(words(SERVER), s, SERVER).alias("server_factor"), fusion.section_overlap(words(DEMO), s, DEMO).alias("demo_factor"))
 
 
 @query(f"SELECT id, ({_KEYWORD_SQL})::DOUBLE AS factor FROM chunks")
@@ -259,7 +259,7 @@ def section_keyword_boost(spark, d):
 
 @query(f"WITH {HITS} SELECT hit_id, ({_content_sql(L.MORE_STOP_WORDS)})::DOUBLE AS factor FROM hits")
 def content_boost(spark, d):
-    return _hits(spark, d).select("hit_id", fusion.content_overlap(F.col("query"), F.col("original_text"), L.MORE_STOP_WORDS).alias("factor"))
+    return _hits(spark, d).select("hit_id", fusion.content_overlap(fusion.own_words(F.col("query"), L.MORE_STOP_WORDS), F.col("original_text")).alias("factor"))
 
 
 @query(f"WITH {HITS} SELECT hit_id, round({_PHRASE.replace('lower(text)', 'lower(query)')}, 6)::DOUBLE AS factor FROM hits")
@@ -282,9 +282,9 @@ def hybrid(spark, d, profile: Profile, top: int = 5, least: float | None = None)
     """Both legs, fusion, boosts, order and deduplication for every question at once."""
     rows = _fused(spark, d, profile, top, least)
     rows = fusion.rule_factors(rows, _org_rules(spark, d), profile.org_factor, _asked(spark, d))
-    boosts = F.col("rule_factor") * fusion.section_overlap(F.col("query"), F.col("section_title"), profile)
+    boosts = F.col("rule_factor") * fusion.section_overlap(F.col("words"), F.col("section_title"), profile)
     if profile is not SERVER:
-        boosts = boosts * fusion.section_keywords(F.col("section_title")) * fusion.content_overlap(F.col("query"), F.col("original_text"), profile.stop_words)
+        boosts = boosts * fusion.section_keywords(F.col("section_title")) * fusion.content_overlap(F.col("words"), F.col("original_text"))
     ranked = rows.withColumn("score", F.round(F.col("score") * boosts, 9))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return fusion.deduplicate(ranked, top, profile.max_per_doc).select("query_id", "position", "id", "document_name", "section_title", "score")

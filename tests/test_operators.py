@@ -101,8 +101,8 @@ def test_rerank_drops_blank_and_orders(spark):
 def test_boosts(spark):
     df = spark.createDataFrame([("early screening for autism", "Screening and early signs", "early screening autism x")], "q string, s string, c string")
     r = df.select(
-        fusion.section_overlap(F.col("q"), F.col("s"), fusion.SERVER).alias("a"), fusion.section_keywords(F.col("s")).alias("b"), fusion.content_overlap(F.col("q"), F.col("c"), ["for"]).alias("c"),
-        fusion.phrase_boost(fusion.phrase_mask(F.col("q")), fusion.phrase_mask(F.col("c"))).alias("d"), fusion.section_overlap(F.col("q"), F.lit(None).cast("string"), fusion.SERVER).alias("e"),
+        fusion.section_overlap(fusion.own_words(F.col("q"), fusion.SERVER.stop_words), F.col("s"), fusion.SERVER).alias("a"), fusion.section_keywords(F.col("s")).alias("b"), fusion.content_overlap(fusion.own_words(F.col("q"), ["for"]), F.col("c")).alias("c"),
+        fusion.phrase_boost(fusion.phrase_mask(F.col("q")), fusion.phrase_mask(F.col("c"))).alias("d"), fusion.section_overlap(fusion.own_words(F.col("q"), fusion.SERVER.stop_words), F.lit(None).cast("string"), fusion.SERVER).alias("e"),
     ).first()
     assert (r["a"], r["b"], r["c"], r["d"], r["e"]) == (1.35, 1.2, 1.15, 1.3, 1.0)
 
