@@ -180,10 +180,12 @@ def before_folding_lines(text: str) -> str:
     return "\n".join(before_folding(line) for line in text.splitlines())
 
 
-def _sample_rows(samples: list[tuple[str, str]]) -> list[tuple[str, list[str], np.ndarray, np.ndarray]]:
-    """(label, words, feature places, feature values) of the sentences of three words or more."""
-    rows, known = [], {}
+def _sample_rows(samples: list[tuple[str, str]]) -> list[list[tuple[str, list[str], np.ndarray, np.ndarray]]]:
+    """For each text (label, words, feature places, feature values) of its sentences of three words or more."""
+    out, known = [], {}
     for label, text in samples:
+        rows = []
+        out.append(rows)
         for s in sentences(before_folding_lines(text)):
             family, words = family_words(s)
             if family and len(words) >= 3 and label in FAMILIES[family]:
@@ -194,7 +196,7 @@ def _sample_rows(samples: list[tuple[str, str]]) -> list[tuple[str, list[str], n
                 values = np.concatenate([np.full(len(x), len(x) ** -0.5 / len(f), np.float32) for x in f])
                 at, back = np.unique(np.concatenate(f), return_inverse=True)
                 rows.append((label, words, at, np.bincount(back, values).astype(np.float32)))
-    return rows
+    return out
 
 
 def _duels(weights: np.ndarray, label: str, at: np.ndarray, x: np.ndarray) -> list[float]:
@@ -239,21 +241,21 @@ def fitted_slope(duels: np.ndarray, right: np.ndarray) -> float:
 
 def train(samples: list[tuple[str, str]], epochs: int = 6, rounds: int = 2) -> Model:
     """A model from (label, text) rows."""
-    parts = [[_sample_rows([x]) for x in samples[i::5]] for i in range(5)]
-    held = [r for x in parts[4] for r in x]
-    first, _ = _machines([r for p in parts[:4] for x in p for r in x], epochs, rounds)
+    texts = _sample_rows(samples)
+    held = [r for x in texts[4::5] for r in x]
+    first, _ = _machines([r for i, x in enumerate(texts) if i % 5 != 4 for r in x], max(1, epochs // 2), 1)
     duels, right = [], []
     for label, _, at, x in held:
         family = next(f for f, langs in FAMILIES.items() if label in langs)
         lang, duel = closest_duel(family, [float(w[at] @ x) for w in first])
         duels.append(duel), right.append(lang == label)
-    rows = [r for p in parts for x in p for r in x]
+    rows = [r for x in texts for r in x]
     weights, keep = _machines(rows, epochs, rounds)
-    seen = np.zeros((len(LANGUAGES), TRIGRAMS), np.float32)
-    for (label, words, _, _), ok in zip(rows, keep):
-        if ok:
-            seen[LANGUAGES.index(label), [t for w in words for t in _trigrams(w)]] = 1
-    return Model(weights, seen.astype(bool), fitted_slope(np.array(duels), np.array(right, bool)))
+    seen = np.zeros((len(LANGUAGES), TRIGRAMS), bool)
+    for i, lang in enumerate(LANGUAGES):
+        for word in {w for (label, words, _, _), ok in zip(rows, keep) if ok and label == lang for w in words}:
+            seen[i, _trigrams(word)] = True
+    return Model(weights, seen, fitted_slope(np.array(duels), np.array(right, bool)))
 
 
 def label_of(label: Column) -> Column:
