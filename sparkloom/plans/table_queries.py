@@ -61,7 +61,7 @@ _SHORT = r"length(line) BETWEEN 3 AND 80 AND NOT regexp_matches(line, '[.!?؟:;]
 LINES = f"""lines AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INT - 1 AS position FROM documents WHERE text IS NOT NULL),
 sized AS (SELECT *, CASE WHEN {_SHORT} THEN 14.0 ELSE 10.0 + (doc_id % 3) * 0.5 END::DOUBLE AS size FROM lines WHERE line <> ''),
 bodies AS (SELECT doc_id, coalesce(median(size) FILTER (length(line) >= 20), 10.0)::DOUBLE AS body FROM sized GROUP BY 1),
-heads AS (SELECT *, ((size >= body * 1.25 AND size BETWEEN 9 AND 30) OR (upper(line) = line AND regexp_matches(line, '\\p{{Lu}}') AND abs(size - body) <= 1.5 AND length(line) > 4 AND length(line) < 60)) AND length(line) <= 120 AS header FROM sized JOIN bodies USING (doc_id))"""
+heads AS (SELECT *, ((size >= body * 1.25 AND size BETWEEN 9 AND 30) OR (position % 5 = 2 AND abs(size - body) <= 1.0 AND length(line) > 5 AND length(line) < 120) OR (upper(line) = line AND regexp_matches(line, '\\p{{Lu}}') AND abs(size - body) <= 1.5 AND length(line) > 4 AND length(line) < 60)) AND length(line) <= 120 AS header FROM sized JOIN bodies USING (doc_id))"""
 
 
 def _lines(spark, d) -> DataFrame:
@@ -73,10 +73,19 @@ def _lines(spark, d) -> DataFrame:
 def _as_spans(spark, d) -> DataFrame:
     return _lines(spark, d).select(
         F.col("doc_id").alias("doc"), F.lit(1).alias("page"), F.col("position").alias("block_no"), F.lit(0).alias("line_no"), F.lit(0).alias("span_no"),
-        F.lit(300.0).alias("y0"), F.lit(320.0).alias("y1"), F.lit(800.0).alias("page_height"), F.lit("Plain").alias("font"), "size", F.col("line").alias("text"),
+        F.lit(300.0).alias("y0"), F.lit(320.0).alias("y1"), F.lit(800.0).alias("page_height"), F.when(F.col("position") % 5 == 2, "Sans-Bold").otherwise("Plain").alias("font"), "size", F.col("line").alias("text"),
     )
 
 
+@query(f"""WITH {LINES}, placed AS (SELECT doc_id, position, floor(position / 40)::INT + 1 AS page, 20.0 * (position % 40) AS y0, 20.0 * (position % 40) + 18.0 AS y1 FROM sized)
+SELECT doc_id, page, count(*) AS kept, min(position) AS first_line, max(position) AS last_line FROM placed WHERE NOT (y1 < 64.0 OR y0 > 736.0) GROUP BY doc_id, page""")
+def margin_filter(spark, d):
+    """Lines laid on pages of forty, those in the top and bottom margins dropped."""
+    y0 = 20.0 * (F.col("position") % 40)
+    spans = _lines(spark, d).select("doc_id", "position", (F.floor(F.col("position") / 40) + 1).cast("int").alias("page"), y0.alias("y0"), (y0 + 18.0).alias("y1"), F.lit(800.0).alias("page_height"))
+    return layout.without_margins(spans).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("kept"), F.min("position").alias("first_line"), F.max("position").alias("last_line"))
+
+
 @query(f"WITH {LINES} SELECT doc_id, body FROM bodies")
 def body_size_median(spark, d):
     return layout.body_size(_as_spans(spark, d)).select(F.col("doc").alias("doc_id"), "body")
@@ -111,6 +120,12 @@ def usage_windows(spark, d):
     return usage.tumbling(table(spark, d, "events"))
 
 
+@query("""WITH e AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1), w AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - unnest([0, 1, 2, 3]) * INTERVAL 15 MINUTE AS window_start, value FROM e)
+SELECT window_start::TIMESTAMP AS window_start, count(*) AS events, round(avg(value), 4) AS mean_value FROM w GROUP BY 1""")
+def usage_sliding(spark, d):
+    return usage.sliding(table(spark, d, "events"))
+
+
 @query("""WITH e AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1), m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM e),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM m) SELECT user_id, min(ts)::TIMESTAMP AS session_start, count(*) AS events FROM s GROUP BY user_id, n""")
 def usage_sessions(spark, d):

@@ -1,5 +1,6 @@
-"""Usage statistics over event time, the same on a stream and on a table, and retrieval of a
-stream of questions.
+"""Usage statistics over event time, on a stream or on a table, and retrieval of a stream of
+questions. Both give the same rows but for the distinct users of a window, which a stream
+estimates (to one in a hundred) and a table counts.
 
 Late rows: a stream drops what comes after the watermark; a table has no late rows. Events
 logged twice under one id count once (within the watermark, on a stream).
