@@ -3,8 +3,9 @@
 Hierarchical discrimination. A text is cut into sentences. The script of a sentence's letters
 predicts its family (Arabic script, Latin script, or another); within a family of several
 languages one-versus-one linear support vector machines over words and character n-grams separate
-them. A sentence of ``FEW`` words or more whose character trigrams are mostly foreign to the
-language that won is of none of them: it is ``other``, like a sentence in another script.
+them. A sentence of ``FEW`` words or more of whose character trigrams too few occur in the sample of
+the language that won, the fewer the closer the duel, is of none of them: it is ``other``, like a
+sentence in another script.
 
 The machines are trained here, on a sample of labelled rows of at most ``per_label`` rows for
 each label; labels may be noisy, so training drops what its first round contradicts and is
@@ -21,7 +22,8 @@ picks the sample.
 Edge cases: null, blank and letterless texts are ``unknown`` with confidence 0; a family with no
 labelled rows gives its first language; an unsure sentence takes the language of the sentence
 before it in the same text (or of most of the text) if of the same family, with its own low
-confidence; a sentence of one or two words in another script than the rest is a part of its own;
+confidence; a sentence of one or two words in another script than the rest is a part of its own, but
+not what a full stop inside a number cut off; a sentence in capitals is read like any other;
 nulls in the label count as missing.
 """
 
@@ -50,8 +52,10 @@ LABELS = {
 }
 MISSING = ["", "unknown", "und", "n/a", "na", "none", "null", "nan", "undetermined", "undefined", "unk", "zxx", "-", "--", "?", "??", "tbd", "other", "xx"]
 DIMENSIONS, TRIGRAMS = 1 << 16, 1 << 18
-FEW, FAMILIAR = 4, 0.6  # words from which a sentence can be foreign, and the share of known trigrams below which it is
-SHORT, SURE, QUITE_SURE = 3, 0.75, 0.9  # confidence that a sentence, or one of fewer than ``SHORT`` words, needs to keep its language
+# Words from which a sentence can be foreign, the share of known trigrams below which it is, and the share
+# below which it is if its closest duel is also under the last value.
+FEW, FAMILIAR, DOUBTFUL, CLOSE = 4, 0.6, 0.75, 0.75
+SHORT, SURE, QUITE_SURE = 3, 0.75, 0.8  # confidence that a sentence, or one of fewer than ``SHORT`` words, needs to keep its language
 
 _SENTENCE = re.compile(r"(?<=[.!?؟…])[\"'”»)\]]*\s+|[\r\n]+")
 _WORDS = re.compile(r"[^\W\d_]+(?:[ً-ٰٟ‌'’][^\W\d_]+)*")
@@ -119,7 +123,9 @@ def family_words(sentence: str) -> tuple[str | None, list[str]]:
     if family != "latin":
         return family, kinds[family]
     latin = kinds["latin"]
-    return "latin", [w.lower() for w in latin if len(w) == 1 or not w.isupper()] or [w.lower() for w in latin]
+    plain = [w for w in latin if len(w) == 1 or not w.isupper()]
+    codes = 2 * sum(map(len, plain)) >= sum(map(len, latin))  # else the sentence is written in capitals
+    return "latin", [w.lower() for w in (plain if codes and plain else latin)]
 
 
 def closest_duel(family: str, scores: np.ndarray) -> tuple[str, float]:
@@ -139,11 +145,18 @@ def decide(family: str, words: list[str], scorer: Scorer) -> tuple[str, str, flo
     scores = scorer.scores(words)
     lang, duel = closest_duel(family, scores)
     familiar = float(scores[len(PAIRS) + LANGUAGES.index(lang)])
-    if len(words) >= FEW and familiar < FAMILIAR:
+    if len(words) >= FEW and (familiar < FAMILIAR or (familiar < DOUBTFUL and duel < CLOSE)):
         return "other", "other", 1.0 - familiar
     return family, lang, float(1 / (1 + np.exp(-scorer.model.slope * min(8.0, duel))))
 
 
+def whole(sentence: str) -> bool:
+    """Whether a stretch of one or two words can be a sentence, not what a full stop in a number or an
+    abbreviation cut off: it begins like one and has neither digits nor brackets."""
+    s = sentence.strip().lstrip("¿¡\"'«“ ")
+    return bool(s) and s[0].isalpha() and not s[0].islower() and not any(c.isdigit() or c in "()[]" for c in s)
+
+
 def segments(text: str | None, scorer: Scorer) -> list[tuple[str, float, int]]:
     """(language, confidence, letters) of the parts of a text: neighbouring sentences of one
     language are one part."""
@@ -152,19 +165,23 @@ def segments(text: str | None, scorer: Scorer) -> list[tuple[str, float, int]]:
         family, words = family_words(s)
         if family:
             family, lang, p = decide(family, words, scorer)
-            found.append([family, lang, p, p >= (SURE if len(words) >= SHORT else QUITE_SURE), sum(map(len, words))])
+            counts = len(words) >= SHORT or whole(s)
+            found.append([family, lang, p, counts and p >= (SURE if len(words) >= SHORT else QUITE_SURE), sum(map(len, words)), counts])
+    if any(x[5] for x in found):  # what was cut off in another script is a term, not a sentence
+        families = {x[0] for x in found if x[5]}
+        found = [x for x in found if x[0] in families]
     # Unsure sentences follow the language of surer ones of their family.
     weight = {}
-    for _, lang, _, sure, letters in found:
+    for _, lang, _, sure, letters, _ in found:
         if sure:
             weight[lang] = weight.get(lang, 0) + letters
     lead = {f: max((x for x in langs if x in weight), key=lambda x: weight[x], default=None) for f, langs in FAMILIES.items()}
-    for i, (family, _, p, sure, _) in enumerate(found):
+    for i, (family, _, p, sure, _, _) in enumerate(found):
         if not sure and lead[family]:
             found[i][1] = next((x[1] for x in reversed(found[:i]) if x[0] == family and x[3]), lead[family])
             found[i][2] = min(p, SURE)
     out = []
-    for _, lang, p, _, letters in found:
+    for _, lang, p, _, letters, _ in found:
         if out and out[-1][0] == lang:
             w = out[-1][2] + letters
             out[-1] = (lang, (out[-1][1] * out[-1][2] + p * letters) / max(1, w), w)

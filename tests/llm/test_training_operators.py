@@ -194,6 +194,9 @@ def weights():
     [
         ("The parents were in the area with children. (CHIME-R, n = 12)", ["en"]), ("Les parents et les enfants dans la salle pendant cette année.", ["fr"]), ("Los padres y los niños en la sala durante este curso.", ["es"]),
         ("يحتاج الأهل إلى خطة المدرسة قبل الإحالة وفق مقياس SOCRA.", ["ar"]), ("خانواده‌ها برنامه کودکان را می‌کند و پاسخ گرفتند.", ["fa"]),
+        ("Дети пришли домой после школы.", ["other"]), ("孩子们在学校里学习得很好。", ["other"]), ("Die Kinder wurden gestern mit ihren Eltern in der Schule gesehen und sprachen darüber.", ["other"]),
+        ("Les enfants dans la salle avec leurs parents. نعم بالطبع.", ["fr", "ar"]), ("The children were seen in the school. Дети пришли домой.", ["en", "other"]), ("µ-scale of the children during the school year.", ["en"]),
+        ("LES ENFANTS ONT ÉTÉ VUS in part DANS LA SALLE AVEC LEURS PARENTS.", ["fr"]), ("Les enfants dans la salle avec leurs parents (n = 3. the children 216). Les familles demandent plus de soutien.", ["fr"]),
         ("The parents were in the area with children. يحتاج الأهل إلى خطة المدرسة قبل الإحالة.", ["en", "ar"]), ("12.4 | 99 ***", []), ("", []), (None, []),
     ],
 )
@@ -203,6 +206,21 @@ def test_segments(weights, text, want):
     assert all(0 < x[1] <= 1 for x in got)
 
 
+def test_confidence_follows_held_out_outcomes():
+    rng = np.random.default_rng(1)
+    duels = np.abs(rng.normal(size=4000)) * 1.5
+    for slope in (1, 4):
+        right = rng.random(4000) < 1 / (1 + np.exp(-slope * duels))
+        assert abs(langid.fitted_slope(duels, right) - slope) <= 1
+    assert langid.fitted_slope(duels[:3], right[:3]) == 4
+
+
+def test_labels_of_other_languages(spark, weights):
+    rows = [(1, "Дети пришли домой после школы.", x) for x in ("ru",)] + [(2, "Дети пришли домой после школы.", "en"), (3, "Дети пришли домой после школы.", None)]
+    got = {r["id"]: r["languages"] for r in langid.wrong_labels(spark.createDataFrame(rows, "id long, text string, label string"), weights).collect()}
+    assert got == {2: ["other"], 3: ["other"]}
+
+
 def test_wrong_labels(spark, weights):
     en, mix = SAMPLE["en"][0], SAMPLE["en"][0] + " " + SAMPLE["ar"][0]
     rows = [(1, en, "en"), (2, en, " EN-us"), (3, en, "English"), (4, en, None), (5, en, "fr"), (6, mix, "mixed"), (7, mix, "en"), (8, "123", "en"), (9, "123", "n/a"), (10, None, None), (11, "...", "Mixed"), (12, en, "und")]
