@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions.models import with_retry
+from .bounds import dimension
 
 
 @dataclass(frozen=True)
@@ -107,9 +108,9 @@ def content_overlap(query_words: Column, content: Column, least: int = 3, factor
 def rule_factors(rows: DataFrame, rules: DataFrame, factor: float, asked: DataFrame, query: str = "query", name: str = "document_name") -> DataFrame:
     """``rows`` with ``rule_factor``: ``factor`` when some rule (term, pattern) has its term in
     the query and its pattern in the document name, else 1. ``asked`` holds the stated queries in
-    the column ``query``; they meet the rules (one row per registered document or so) before the
+    the column ``query``; they meet the rules (a dimension: over the bound of a broadcast they are an error) before the
     rows do, so the rows are neither paired with rules nor computed twice."""
-    met = asked.select(query).distinct().join(rules, F.lower(query).contains(F.lower("term")))
+    met = asked.select(query).distinct().join(dimension(rules, "rules"), F.lower(query).contains(F.lower("term")))
     patterns = met.groupBy(query).agg(F.collect_set(F.lower("pattern")).alias("_patterns"))
     hit = F.exists("_patterns", lambda p: F.contains(F.lower(F.coalesce(name, F.lit(""))), p))
     return rows.join(patterns, query, "left").withColumn("rule_factor", F.when(hit, factor).otherwise(1.0)).drop("_patterns")

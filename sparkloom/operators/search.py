@@ -4,7 +4,7 @@ Both score Arrow batches of rows against a block of queries and keep the best k
 a task (see ``batch``), so a task sends k rows a query, not a row a pair. One block of queries
 goes to the tasks with the code. More vectors are laid out with the rows in a grid of cells by
 shuffle and never pass through the driver; more terms meet the rows' terms in an equi-join, where
-they are broadcast up to ``SMALL`` rows and ``SMALL_BYTES``, measured first, or joined by shuffle.
+they are broadcast within the measured bound of ``bounds``, or joined by shuffle.
 """
 
 from __future__ import annotations
@@ -21,22 +21,11 @@ from pyspark.sql.types import DoubleType
 from ..functions import text as T
 from ..functions import vectors as V
 from . import batch, fusion
+from .bounds import bounded, dimension, fits
 
-SMALL, SMALL_BYTES = 200_000, 32 << 20  # rows, and bytes as JSON, that are broadcast at most
 CELL = 20_000  # rows of a cell of the grid of vector search (64 floats each: 5 MB)
 
 
-def fits(rows: DataFrame) -> bool:
-    """Whether ``rows`` are few and short enough to broadcast; looked at up to the bound."""
-    n, size = rows.limit(SMALL + 1).select(F.struct("*").alias("x")).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json("x")))).first()
-    return n <= SMALL and (size or 0) <= SMALL_BYTES
-
-
-def bounded(rows: DataFrame) -> DataFrame:
-    """``rows`` marked for broadcast if they are few, else as they are: then the join shuffles."""
-    return F.broadcast(rows) if fits(rows) else rows
-
-
 def top_ranked(rows: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "id") -> DataFrame:
     """``rank`` 1..k by score, ties to the smaller id."""
     order = Window.partitionBy(by).orderBy(F.desc(score), tie)
@@ -240,10 +229,10 @@ def expand_queries(queries: DataFrame, translations: DataFrame, entities: DataFr
     """(query_id, text, expanded): Arabic queries become their known translation (text,
     translation), or else get, in brackets, the expansions of the first ``most`` entities
     (ordinal, term, expansion) they contain, each once; others stay as they are. Both tables are
-    small dimensions, one row a phrase."""
+    dimensions, one row a phrase; entities over the bound of a broadcast are an error."""
     known = translations.select(F.trim("text").alias("_t"), "translation").dropDuplicates(["_t"])
     rows = queries.join(known, F.trim("text") == F.col("_t"), "left").withColumn("arabic", T.detect_language(F.col("text")) == "ar")
-    hit = queries.join(entities, F.contains("text", "term")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "expansion"))).alias("found"))
+    hit = queries.join(dimension(entities, "entities"), F.contains("text", "term")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "expansion"))).alias("found"))
     added = F.array_join(F.array_distinct(F.transform(F.slice("found", 1, most), lambda x: x["expansion"])), " ")
     rows = rows.join(hit, "query_id", "left")
     return rows.select(

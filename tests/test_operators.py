@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import models
 from sparkloom.functions import vectors as V
-from sparkloom.operators import agents, cite, fusion, guard, layout, metrics, search
+from sparkloom.operators import agents, bounds, cite, fusion, guard, layout, metrics, search
 from sparkloom.plans import search_queries
 from sparkloom.sources import tables as S
 
@@ -131,7 +131,8 @@ def test_lexical_search_is_the_same_when_terms_are_too_many_to_broadcast(spark,
     rows = spark.createDataFrame([(1, "Red fox and red hen"), (2, "hen"), (3, None), (4, "a fox a"), (5, "")], "id int, text string")
     every = lambda: [sorted(map(tuple, f(q, rows, 3).collect())) for f in (search.coverage, search.bm25, search.cover_density)] + [sorted(map(tuple, f(q, rows).collect())) for f in (search.match_all, search.expanded_coverage)]
     few = every()
-    monkeypatch.setattr(search, "SMALL", 0)
+    monkeypatch.setattr(bounds, "SMALL", 0)
+    monkeypatch.setattr(search.batch, "stated_terms", lambda *a, **k: None)
     assert every() == few and all(few)
     assert search.bm25(q, rows.where("id < 0"), 3).count() == 0
 
@@ -301,6 +302,15 @@ def test_lexical_scores_in_batches_and_by_joins(spark, monkeypatch, small):
     assert search.coverage(queries, rows.limit(0), 2).count() == 0 and search.coverage(queries.limit(0), rows, 2).count() == 0 and search.bm25(queries, rows.limit(0), 2).count() == 0
 
 
+def test_dimensions_over_the_bound_are_an_error(spark, monkeypatch):
+    rules, asked = spark.createDataFrame([("a", "b")], "term string, pattern string"), spark.createDataFrame([("a x",)], "query string")
+    rows = spark.createDataFrame([("a x", "doc b"), ("a x", None)], "query string, document_name string")
+    assert sorted(r["rule_factor"] for r in fusion.rule_factors(rows, rules, 2.0, asked).collect()) == [1.0, 2.0]
+    monkeypatch.setattr(bounds, "SMALL", 0)
+    with pytest.raises(ValueError, match="rules"):
+        fusion.rule_factors(rows, rules, 2.0, asked)
+
+
 def test_blank_citations_bind_to_nothing(spark):
     said = spark.createDataFrame([(1, "x [SOURCE:  ] y [SOURCE: C-7] z [SOURCE: doc a, p. 3]")], "run_id int, answer string")
     hits = spark.createDataFrame([(1, 1, "Doc A", "s", "c-7")], "run_id int, rank int, document_name string, section_title string, chunk_id string")
