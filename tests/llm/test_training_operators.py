@@ -76,14 +76,26 @@ def test_footrule():
     assert near(1, first, 1) == [2] and near(1, first, 3) == []
 
 
-def test_nearest_pivots_in_cells(monkeypatch):
+def test_nearest_pivots():
     m = vectors(600, 3)
     u = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
-    exact = knn.Pivots(u[::3], 8).orders(u)
-    assert (exact[::3, 0] == np.arange(200)).mean() > 0.7  # but for the copies
-    monkeypatch.setattr(knn, "NEAR", 60)
-    some = knn.Pivots(u[::3], 8).orders(u)
-    assert np.mean([len(set(x) & set(y)) / 8 for x, y in zip(exact, some)]) > 0.6
+    got = knn.nearest_pivots(u, u[:50], 8)
+    close = u @ u[:50].T
+    for i in range(600):
+        assert np.allclose(close[i, got[i]], np.sort(close[i])[::-1][:8]) and len(set(got[i])) == 8
+    assert knn.nearest_pivots(u[:0], u[:50], 8).shape == (0, 8)
+
+
+def test_knn_limits_of_larger_tables(spark, monkeypatch):
+    """The footrule limit and the bound of the pivots, as in tables of ``FEW`` vectors and more."""
+    monkeypatch.setattr(knn, "FEW", 0)
+    m = vectors(900, 5)
+    got = {}
+    for r in knn.most_similar(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<float>"), k=5, dim=16, per_root=3).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["other"]))
+    want, _ = brute_lists(m, 5)
+    assert all([n for n, _ in sorted(x)] == [1, 2, 3, 4, 5] for x in got.values()) and len(got) == 900
+    assert np.mean([len({o for _, o in got[i]} & set(want[i])) / 5 for i in want]) >= 0.9
 
 
 # --- near duplicates -------------------------------------------------------------------
