@@ -46,6 +46,12 @@ _USABLE = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NUL
 _COSINE = "round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6)"
 
 
+_SPANS = """WITH w AS (SELECT doc_id, unnest(range(0, length(text) - 199)) AS i, text FROM documents WHERE length(text) >= 200), h AS (SELECT doc_id, i, md5(substring(text, i + 1, 200)) AS h FROM w),
+shared AS (SELECT h FROM h GROUP BY h HAVING min(doc_id) <> max(doc_id)), s AS (SELECT doc_id, i FROM h JOIN shared USING (h)),
+m AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM s), g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM m),
+spans AS (SELECT doc_id, min(i) AS span_start, max(i) + 200 AS span_end FROM g GROUP BY doc_id, g)"""
+
+
 def oracle_sql() -> dict[str, str]:
     firsts = "firsts AS (SELECT chunk_id, original_text FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY id) = 1)"
     return {
@@ -61,8 +67,10 @@ SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b FROM t a JOIN t b ON a.form
 both_ AS (SELECT 'i' || k AS k, text FROM items UNION ALL SELECT 'd' || doc_id, text FROM documents), {_forms('both_', 'k', 'text')}, w AS (SELECT k, {_words('form')} AS w FROM forms),
 r AS (SELECT DISTINCT k, {_runs('w', 10)} AS s FROM w WHERE len(w) >= 10)
 SELECT DISTINCT substring(d.k, 2)::BIGINT AS doc_id, i.id AS item_id FROM r d JOIN r x ON d.s = x.s JOIN items i ON x.k = 'i' || i.k WHERE d.k[1] = 'd' AND x.k[1] = 'i'""",
-        "p8_found": """WITH w AS (SELECT doc_id, unnest(range(0, length(text) - 199)) AS i, text FROM documents WHERE length(text) >= 200), h AS (SELECT doc_id, i, md5(substring(text, i + 1, 200)) AS h FROM w),
-shared AS (SELECT h FROM h GROUP BY h HAVING min(doc_id) <> max(doc_id)), s AS (SELECT doc_id, i FROM h JOIN shared USING (h)),
-m AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM s), g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM m)
-SELECT doc_id, min(i) AS span_start, max(i) + 200 AS span_end FROM g GROUP BY doc_id, g""",
+        "p5_forms": f"""WITH texts AS (SELECT 'o' || id AS k, original_text AS text FROM chunks UNION ALL SELECT 'n' || id, normalized_text FROM chunks), {_forms('texts', 'k', 'text')}
+SELECT id, CASE WHEN original_text IS NOT NULL THEN coalesce(o.form, '') END AS original_form, CASE WHEN normalized_text IS NOT NULL THEN coalesce(n.form, '') END AS normalized_form
+FROM chunks LEFT JOIN forms o ON o.k = 'o' || id LEFT JOIN forms n ON n.k = 'n' || id""",
+        "p8_found": f"{_SPANS} SELECT doc_id, span_start, span_end FROM spans",
+        "p8_coverage": f"""{_SPANS} SELECT doc_id, count(*) AS n_spans, sum(span_end - span_start)::BIGINT AS shared_chars, any_value(length(text)) AS n_chars, round(sum(span_end - span_start) / any_value(length(text)), 6) AS shared_share
+FROM spans JOIN documents USING (doc_id) GROUP BY doc_id""",
     }
