@@ -6,7 +6,9 @@ file the entries are ranked by the footrule distance of their pivot orders to th
 asked for (a pivot missing from a prefix counts as place ``prefix``); those nearer than a limit are
 reranked by cosine, and the best k over all files are kept. The limit is the footrule distance of
 the ``depth``-th best of the pivots nearest to the vector: as pivots are a sample of the vectors, about
-``depth`` vectors a pivot are within it (below ``FEW`` vectors there is no limit). A pair is ranked in the first file that both are in, and
+``depth`` vectors a pivot are within it. By default ``depth`` is ``prefix`` and nothing in a file is beyond
+it, whatever the number of vectors: a smaller limit lost cases.
+A pair is ranked in the first file that both are in, and
 leaves it only if its cosine reaches that of the k-th best pivot within the limit, which is a vector too.
 
 Distribution: identical vectors are collapsed first. Pivots are drawn from the distinct vectors,
@@ -14,10 +16,8 @@ so dense regions hold more of them and files stay even; their number grows with
 that of the vectors (times ``per_root``), and with it the candidates of a vector, up to
 ``MAX_PIVOTS``, 16 MB of floats that go to every task: finding the pivots and looking through the
 files then cost about the same. A file of more than ``block`` entries
-is parted by the next pivots of its entries, each entry in ``PARTS`` of the parts, so work follows
-the number of vectors also where pivots no longer grow. Only a part that is still larger, of vectors
-with nearly the same orders, is cut into blocks, and every pair of its blocks is one group; so no task
-holds more than two blocks and no entry of a part is left out.
+is cut into blocks, and every pair of its blocks is one group; so no task
+holds more than two blocks and no pair of a file is left out.
 
 Edge cases: null vectors, other lengths than ``dim``, null, NaN or infinite entries and
 all-zero vectors are not usable and left out; identical vectors have cosine 1; ties go to the
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-MAX_PIVOTS, BLOCK, PARTS, FEW = 65_536, 12_000, 4, 10_000
+MAX_PIVOTS, BLOCK = 65_536, 12_000
+FEW = 0  # for those who set it; no number of vectors changes the method
 _INDEX = "id long, vec binary, pivots binary, least int, bound float, posts array<int>"
 
 
@@ -88,13 +89,15 @@ def _indexed(pivots: np.ndarray, prefix: int, posts: int, depth: int, k: int):
                 unit = unit_rows(part.column("vec").to_pylist()).astype(np.float32)
                 order = nearest_pivots(unit, pivots, prefix)
                 least, bound = np.ones(len(order), np.int64), np.full(len(order), -2, np.float32)
-                if depth < prefix:
+                met = np.ones((len(order), posts), bool)
+                if depth < prefix and len(order):
                     gain = np.concatenate([shared_ranks(o.astype(np.uint16), own[o]) for o in np.array_split(order, max(1, len(order) // 200))])
                     least = np.maximum(1, np.sort(gain, axis=1)[:, prefix - depth])
-                    if posts >= k:  # of the pivots that are surely met, but for itself
-                        close = np.einsum("ij,ikj->ik", unit, pivots[order[:, :posts]])
-                        close[(gain[:, :posts] < least[:, None]) | (close > 0.999999)] = -2
-                        bound = np.sort(close, axis=1)[:, posts - k]
+                    met = gain[:, :posts] >= least[:, None]
+                if posts >= k and len(order):  # of the pivots that are surely met, but for itself
+                    close = np.einsum("ij,ikj->ik", unit, pivots[order[:, :posts]])
+                    close[~met | (close > 0.999999)] = -2
+                    bound = np.sort(close, axis=1)[:, posts - k]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("vec"), pa.array([o.tobytes() for o in order.astype(np.uint16)], pa.binary()), pa.array(least, pa.int32()), pa.array(bound, pa.float32()), pa.array(list(order[:, :posts].astype(np.int32)), pa.list_(pa.int32()))],
                     ["id", "vec", "pivots", "least", "bound", "posts"],
@@ -113,10 +116,10 @@ def places_table(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pivots, left
 
 
-def footrule_near(a: np.ndarray, least: np.ndarray, table: tuple[np.ndarray, np.ndarray], earlier: np.ndarray, posts: int) -> tuple[np.ndarray, np.ndarray]:
+def footrule_near(a: np.ndarray, least: np.ndarray, table: tuple[np.ndarray, np.ndarray], earlier: np.ndarray, posts: int, also: np.ndarray | bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(row, column): for each prefix in the rows of a the rows of the table whose shared remaining
     ranks are ``least`` or more, but for those that share a file before: ``earlier`` marks the pivots
-    of a whose files come first."""
+    of a whose files come first. Only where ``also`` holds."""
     pivots, left = table
     m = a.shape[1]
     at = np.minimum(np.searchsorted(pivots, a), len(pivots) - 1)
@@ -129,7 +132,7 @@ def footrule_near(a: np.ndarray, least: np.ndarray, table: tuple[np.ndarray, np.
         elif j < posts and earlier[:, j].any():
             met |= (rank > m - posts) & earlier[:, j, None]
         gain += np.minimum(rank, left.dtype.type(m - j), out=rank)
-    return np.nonzero((gain >= least[:, None]) & ~met)
+    return np.nonzero((gain >= least[:, None]) & ~met & also)
 
 
 class _Side:
@@ -143,20 +146,21 @@ class _Side:
         self.short = self.unit.astype(np.float32)
 
 
-def _best(a: _Side, b: _Side, pivot: int, k: int, posts: int, whole: np.ndarray) -> Iterator[tuple]:
+def _best(a: _Side, b: _Side, pivot: int, k: int, posts: int) -> Iterator[tuple]:
     """(id, other, cosine) of the k best of b for each of a: ranked by footrule, reranked by cosine."""
     n, table = len(b.ids), places_table(b.order)
     front = a.order[:, :posts]
     turn = np.where((front == pivot).any(1), (front == pivot).argmax(1), posts)
-    earlier = (np.arange(front.shape[1]) < turn[:, None]) & whole[front]
-    bound = np.where(whole[front].all(1), a.bound - np.float32(1e-5), np.float32(-2))
+    earlier = np.arange(front.shape[1]) < turn[:, None]
+    bound = a.bound - np.float32(1e-5)
     alike = np.argsort(turn, kind="stable")  # rows with the same files before them stand together
     for i in range(0, len(a.ids), 128):
         some = alike[i : i + 128]
-        row, col = footrule_near(a.order[some], a.least[some], table, earlier[some], posts)
-        near = np.einsum("ij,ij->i", a.short[some[row]], b.short[col])
-        kept = (near >= bound[some[row]]) & (a.ids[some[row]] != b.ids[col])
-        row, col, near = row[kept], col[kept], near[kept]
+        close = a.short[some] @ b.short.T  # most of a file is within the limit, so all products at once
+        row, col = footrule_near(a.order[some], a.least[some], table, earlier[some], posts, close >= bound[some, None])
+        kept = a.ids[some[row]] != b.ids[col]
+        row, col = row[kept], col[kept]
+        near = close[row, col]
         if not len(row):
             continue
         # One number to sort by: the row, the distance, the column.
@@ -173,7 +177,7 @@ def _best(a: _Side, b: _Side, pivot: int, k: int, posts: int, whole: np.ndarray)
         yield a.ids[some[row[first]]], b.ids[col[first]], exact[first]
 
 
-def _file(k: int, prefix: int, posts: int, whole: np.ndarray):
+def _file(k: int, prefix: int, posts: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         side, pivot = group.column("side").to_numpy(), group.column("pivot")[0].as_py()
@@ -181,43 +185,31 @@ def _file(k: int, prefix: int, posts: int, whole: np.ndarray):
         got = []
         for a, b in ((0, 1), (1, 0), (2, 2)):
             if a in sides and b in sides:
-                got += _best(sides[a], sides[b], pivot, k, posts, whole)
+                got += _best(sides[a], sides[b], pivot, k, posts)
         out = [np.concatenate(x) for x in zip(*got)] if got else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table([pa.array(x) for x in out], ["id", "other", "cosine"])
 
     return run
 
 
-def _files(index: DataFrame, block: int) -> tuple[DataFrame, list[int]]:
-    """The postings with the part and the pair of blocks in which they are compared, and the pivots
-    whose files are parted."""
-    pivot, parted = F.explode("posts").alias("pivot"), "_large"
-    large = index.select(pivot).groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("pivot")
-    hot = sorted(r[0] for r in large.collect())  # at most a row a pivot
-    marks = F.broadcast(large.withColumn(parted, F.lit(True)))
-    next_ones = F.slice(F.filter("posts", lambda x: x != F.col("pivot")), 1, PARTS)
-    parts = F.when(F.col(parted) & (F.size(next_ones) > 0), next_ones).otherwise(F.array(F.lit(-1)))
-
-    def placed(rows: DataFrame) -> DataFrame:
-        if not hot:
-            return rows.withColumn("part", F.lit(-1))
-        return rows.join(marks, "pivot", "left").withColumn(parted, F.coalesce(parted, F.lit(False))).withColumn("part", F.explode(parts)).drop(parted)
-
-    posted = placed(index.select("id", "vec", "pivots", "least", "bound", "posts", pivot))
-    if not hot:
-        return posted.select("id", "vec", "pivots", "least", "bound", "pivot", "part", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")), hot
-    counts = placed(index.select("posts", pivot)).groupBy("pivot", "part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    cut = stage(counts.where("blocks > 1"), "blocks")
-    known = F.broadcast(cut) if cut.limit(100_001).count() <= 100_000 else cut
-    placed_in = posted.join(known, ["pivot", "part"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed_in = placed_in.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("its", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _files(index: DataFrame, block: int) -> DataFrame:
+    """The postings with the pair of blocks in which they are compared."""
+    pivot = F.explode("posts").alias("pivot")
+    blocks = F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")
+    cut = index.select(pivot).groupBy("pivot").agg(blocks).where("blocks > 1").collect()  # at most a row a pivot
+    posted = index.select("id", "vec", "pivots", "least", "bound", pivot)
+    if not cut:
+        return posted.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"))
+    known = F.broadcast(index.sparkSession.createDataFrame(cut, "pivot int, blocks int"))
+    placed = posted.join(known, "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("its", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("mine") == F.col("its"), 2).when(F.col("mine") < F.col("its"), 0).otherwise(1)
-    return placed_in.select("id", "vec", "pivots", "least", "bound", "pivot", "part", F.least("mine", "its").alias("i"), F.greatest("mine", "its").alias("j"), side.alias("side")), hot
+    return placed.select("id", "vec", "pivots", "least", "bound", "pivot", F.least("mine", "its").alias("i"), F.greatest("mine", "its").alias("j"), side.alias("side"))
 
 
 def most_similar(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, dim: int = 64,
-    prefix: int = 22, posts: int = 12, depth: int = 13, per_root: int = 8, max_pivots: int = MAX_PIVOTS, block: int = BLOCK,
+    prefix: int = 22, posts: int = 12, depth: int = 22, per_root: int = 8, max_pivots: int = MAX_PIVOTS, block: int = BLOCK,
 ) -> DataFrame:
     """(id, rank, other, cosine): for every usable vector the k others of the highest cosine
     (double precision, rounded to 6 decimals, ties to the smaller id). Identical vectors are
@@ -243,15 +235,10 @@ def most_similar(
     else:
         prefix = min(prefix, len(sample))
         posts = min(posts, prefix)
-        if n < FEW:
-            depth = prefix  # every vector in the files is a candidate
-        index = stage(reps.mapInArrow(_indexed(unit_rows(sample), prefix, posts, depth, k), _INDEX), "index")
-        files, hot = _files(index, block)
-        whole = np.ones(len(sample), bool)
-        whole[hot] = False
-        found = files.groupBy("pivot", "part", "i", "j").applyInArrow(_file(k, prefix, posts, whole), "id long, other long, cosine double")
+        index = stage(reps.mapInArrow(_indexed(unit_rows(sample), prefix, posts, min(depth, prefix), k), _INDEX), "index")
+        found = _files(index, block).groupBy("pivot", "i", "j").applyInArrow(_file(k, prefix, posts), "id long, other long, cosine double")
         best = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
-        near = (found.distinct() if hot else found).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("id", "other", "cosine")
+        near = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("id", "other", "cosine")
     near = stage(near, "near")
     # The k + 1 best members for each class, its own included; each member then leaves itself out.
     listed = near.join(own.select(F.col("rep").alias("other"), F.col("id").alias("member")), "other").select(F.col("id").alias("rep"), "member", "cosine")

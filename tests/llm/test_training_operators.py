@@ -375,3 +375,14 @@ def test_shared_share_and_empty(spark):
     got = {r["doc_id"]: (r["n_spans"], r["shared_chars"], r["shared_share"]) for r in spans.shared_share(df, min_len=20).collect()}
     assert got == {1: (1, 30, 0.75), 2: (1, 30, round(30 / 35, 6))}
     assert spans.shared_spans(df.limit(0), min_len=20).count() == 0
+
+
+def test_knn_size_changes_no_rule(spark, monkeypatch):
+    """What is compared does not follow the number of vectors: no bound on it changes a row."""
+    m = np.random.default_rng(5).normal(size=(700, 32))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
+    lists = []
+    for few in (0, 10**9):
+        monkeypatch.setattr(knn, "FEW", few)
+        lists.append({tuple(r) for r in knn.most_similar(df, k=5, dim=32).collect()})
+    assert lists[0] == lists[1]
