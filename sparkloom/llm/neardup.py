@@ -227,8 +227,11 @@ def _met(threshold: float, least_shared: int):
     passes every bound, in how many lists of the bucket it meets, and in how many it must."""
     least, most = threshold / (1 + threshold), (1 - threshold) / (1 + threshold)  # of both sizes: shared, different
 
-    def differ(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64)
+    def differ(sketch: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        total = np.bitwise_count(sketch[0][a] ^ sketch[0][b]).astype(np.int16)
+        for word in sketch[1:]:
+            total += np.bitwise_count(word[a] ^ word[b])
+        return total
 
     def pairs(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         read = lambda c, kind: [np.frombuffer(r[c], kind) for r in rows]
@@ -240,6 +243,7 @@ def _met(threshold: float, least_shared: int):
         owner = back.ravel()[owner]  # a class once
         sketch = np.concatenate(read("sketches", np.uint64)).reshape(-1, BITS // 64)[first]
         half, quarter = _folds(sketch)
+        sketch, half, quarter = ([np.ascontiguousarray(w) for w in x.T] for x in (sketch, half, quarter))  # by words
         key, cell, at = np.concatenate(read("keys", np.uint32)), np.concatenate(read("cells", np.uint32)), np.concatenate(read("places", np.int32)).astype(np.int64)
         side = np.where(cell > 0, (cell.astype(np.int64) - 1) & 3, 2)
         line = (key.astype(np.uint64) << np.uint64(32)) | ((cell.astype(np.uint64) + np.uint64(3)) >> np.uint64(2))
@@ -251,8 +255,10 @@ def _met(threshold: float, least_shared: int):
         new = np.concatenate(([True], line[1:] != line[:-1]))
         lists = np.cumsum(new)
         wide = int(n.max()) + 2
-        end = np.searchsorted(lists * wide + n, lists * wide + np.minimum(np.floor(n / threshold + SLACK).astype(np.int64), wide - 1), "right")
         here, extra = np.arange(len(line)), least_shared - 1  # a list need not be the first in which a pair meets
+        # The largest size to be met: by the ratio, and by what is left behind the place of the smaller of two.
+        upper = np.minimum(np.floor(n / threshold + SLACK), np.floor((n - at + extra + SLACK) / least) - n).astype(np.int64)
+        end = np.searchsorted(lists * wide + n, lists * wide + np.clip(upper, 0, wide - 1), "right")
         left = here[(n - at + extra >= 2 * least * n - SLACK) & (end > here + 1)]  # the smaller of two
         many = end[left] - left - 1
         total = np.cumsum(many)
@@ -266,10 +272,12 @@ def _met(threshold: float, least_shared: int):
             both = n[a] + n[b]
             ok = np.minimum(n[a] - at[a], n[b] - at[b]) + extra >= least * both - SLACK
             ok &= (side[a] == 2) | (side[a] != side[b])
-            a, b, both = owner[a[ok]], owner[b[ok]], both[ok]
+            a, b, limit = owner[a[ok]], owner[b[ok]], np.floor(most * both[ok] + SLACK)
             for fold, above in ((quarter, 0), (half, QUARTER), (sketch, HALF)):  # a fold is held against what both have at least
-                ok = (np.minimum(sizes[a], sizes[b]) <= above) | (differ(fold, a, b) <= most * both + SLACK)
-                a, b, both = a[ok], b[ok], both[ok]
+                ok = differ(fold, a, b) <= limit
+                if above:
+                    ok |= np.minimum(sizes[a], sizes[b]) <= above
+                a, b, limit = a[ok], b[ok], limit[ok]
             if len(a):
                 a, b = np.minimum(a, b), np.maximum(a, b)  # records are in order of their marks
                 found, first, shared = np.unique(a * len(marks) + b, return_index=True, return_counts=True)

@@ -386,3 +386,24 @@ def test_knn_size_changes_no_rule(spark, monkeypatch):
         monkeypatch.setattr(knn, "FEW", few)
         lists.append({tuple(r) for r in knn.most_similar(df, k=5, dim=32).collect()})
     assert lists[0] == lists[1]
+
+
+def test_pairs_out_of_reach_are_not_made(monkeypatch):
+    """Of one list only pairs that can still reach the threshold are made, not all in the ratio of the sizes."""
+    import pyarrow as pa
+
+    n = np.arange(60, 120, dtype=np.int64)
+    at = n * 3 // 10  # where the shared byte stands in the order of each record
+    *keys, shared = np.random.default_rng(3).permutation(2**20)[: n.sum() + 1].astype(np.uint32) << np.uint32(12)
+    keys, counts, ends = np.array(keys), np.full(neardup.SLOTS, 100, np.int32), np.cumsum(n)
+    for first, k, m in zip(ends - n, at, n):
+        counts[neardup._slot(keys[first : first + k])] = 1
+        keys[first + k] = shared
+        keys[first : first + m].sort()
+    counts[neardup._slot(np.array([shared]))] = 50
+    posts = list(neardup._posted(0.5, counts, 1, 1, 10**6)(iter([pa.record_batch([pa.array(np.arange(60)), pa.array(n), neardup._binaries(keys, ends)], ["mark", "n", "keys"])])))
+    made, repeat = [], np.repeat
+    monkeypatch.setattr(neardup.np, "repeat", lambda x, m, *more: made.append(int(np.sum(m))) or repeat(x, m, *more))
+    list(neardup._met(0.5, 1)(iter(posts)))
+    want = sum(int(n[j] <= 3 * (n[i] - at[i]) - n[i]) for i in range(60) for j in range(i + 1, 60))
+    assert made and max(made) == want < 60 * 59 // 2
